@@ -53,10 +53,9 @@ def extension_counts(files: DataFrame) -> DataFrame:
 def read_texts(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """The text route: one row per file with its whole text."""
     texts = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", str(recursive).lower())
+        spark.read.option("recursiveFileLookup", str(recursive).lower())
         .option("pathGlobFilter", pattern)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
     return texts.withColumn("file", file_name(F.col("path"))).withColumn("extension", extension(F.col("path")))

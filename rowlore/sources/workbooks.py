@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +23,15 @@ RAW_SCHEMA = (
     "path string, file string, sheet_index int, worksheet string, first_row int, first_col int, last_col int, "
     f"row_number int, hidden boolean, hidden_cols array<int>, header {CELL}, cells {CELL}, error string"
 )
+ARROW_CELL = pa.list_(pa.struct([("col", pa.int32()), ("kind", pa.string()), ("raw", pa.string())]))
+ARROW_SCHEMA = pa.schema(
+    [
+        ("path", pa.string()), ("file", pa.string()), ("sheet_index", pa.int32()), ("worksheet", pa.string()),
+        ("first_row", pa.int32()), ("first_col", pa.int32()), ("last_col", pa.int32()),
+        ("row_number", pa.int32()), ("hidden", pa.bool_()), ("hidden_cols", pa.list_(pa.int32())),
+        ("header", ARROW_CELL), ("cells", ARROW_CELL), ("error", pa.string()),
+    ]
+)
 ROWS_PER_BATCH = 2000
 # Number formats of the file format that show a date or a time.
 DATE_FORMATS = frozenset((14, 15, 16, 17, 22))
@@ -139,22 +148,20 @@ def _decode(path: str, file: str, content: bytes, header_index: int) -> Iterator
 
 
 def _decode_batches(header_index: int):
-    names = [f.strip().split(" ")[0] for f in re.sub(r"<[^ ]*>", "", RAW_SCHEMA).split(",")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, file, content in zip(frame["path"], frame["file"], frame["content"]):
-                batch: list[dict] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for files in batches:
+            for one in files.to_pylist():
+                path, file, rows = one["path"], one["file"], []
                 try:
-                    for row in _decode(path, file, content, header_index):
-                        batch.append(row)
-                        if len(batch) >= ROWS_PER_BATCH:
-                            yield pd.DataFrame(batch, columns=names)
-                            batch = []
+                    for row in _decode(path, file, one["content"], header_index):
+                        rows.append(row)
+                        if len(rows) >= ROWS_PER_BATCH:
+                            yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
+                            rows = []
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, EOFError) as exc:
-                    batch.append(dict(path=path, file=file, row_number=0, error=f"{type(exc).__name__}: {exc}"))
-                if batch:
-                    yield pd.DataFrame(batch, columns=names)
+                    rows.append({"path": path, "file": file, "row_number": 0, "error": f"{type(exc).__name__}: {exc}"})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
 
     return run
 
@@ -164,7 +171,7 @@ def raw_workbooks(
 ) -> DataFrame:
     """Raw cells of every used row, plus one error row per undecodable file."""
     files = scan_files(spark, path, pattern, recursive, content=True).select("path", "file", "content")
-    return files.mapInPandas(_decode_batches(options.header_row_index), RAW_SCHEMA)
+    return files.mapInArrow(_decode_batches(options.header_row_index), RAW_SCHEMA)
 
 
 def decode_errors(raw: DataFrame) -> DataFrame:
