@@ -116,11 +116,14 @@ class RecordStore:
         stored = stored.withColumn("_folder", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
         affected = self._touched(stored, keys)
         kept = materialize(affected.join(keys, KEY, "left_anti"), "delete")
-        self._write(collection, kept.drop("_folder"))
-        # Dynamic overwrite leaves a bucket that lost its last record as it was: remove those folders.
+        # Dynamic overwrite leaves a bucket that lost its last record as it was: those folders are
+        # listed before the write and removed after it.
         folders = affected.select("_folder").distinct()
-        emptied = folders.join(kept.select("_folder").distinct(), "_folder", "left_anti")
-        for row in materialize(emptied, "emptied").toLocalIterator():
+        emptied = materialize(
+            folders.join(kept.select("_folder").distinct(), "_folder", "left_anti"), "emptied"
+        )
+        self._write(collection, kept.drop("_folder"))
+        for row in emptied.toLocalIterator():
             target = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI(row["_folder"]))
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
