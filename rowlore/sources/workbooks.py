@@ -166,12 +166,18 @@ def _decode_batches(header_index: int):
     return run
 
 
+def decode_workbooks(files: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
+    """Raw cells of every used row of `(path, file, content)`, one error row per undecodable file."""
+    return files.select("path", "file", "content").mapInArrow(
+        _decode_batches(options.header_row_index), RAW_SCHEMA
+    )
+
+
 def raw_workbooks(
     spark: SparkSession, path: str, options: DecodeOptions = DecodeOptions(), pattern: str = "*.xlsx", recursive: bool = True
 ) -> DataFrame:
-    """Raw cells of every used row, plus one error row per undecodable file."""
-    files = scan_files(spark, path, pattern, recursive, content=True).select("path", "file", "content")
-    return files.mapInArrow(_decode_batches(options.header_row_index), RAW_SCHEMA)
+    """The same for the workbooks of a folder."""
+    return decode_workbooks(scan_files(spark, path, pattern, recursive, content=True), options)
 
 
 def decode_errors(raw: DataFrame) -> DataFrame:
