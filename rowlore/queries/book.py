@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlore.functions.values import BOOLEAN_PATTERN, DATE_PATTERN, NUMBER_PATTERN
+from rowlore.operators.catalog import collect_columns, extract_schema
+from rowlore.plans.sizing import materialize
 
 
 class Book:
@@ -79,6 +83,52 @@ PART_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailp
 CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
+# Tables the catalog queries describe: key and columns of each.
+DESCRIBED = {
+    "part": ("p_partkey", PART_COLUMNS),
+    "customer": ("c_custkey", CUSTOMER_COLUMNS),
+    "supplier": ("s_suppkey", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]),
+    "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]),
+    "events": ("event_id", ["event_id", "user_id", "event_type", "value", "props"]),
+}
+
+
+def catalog(spark: SparkSession, sf: str, tables: tuple[str, ...] = tuple(DESCRIBED)) -> DataFrame:
+    """A stored catalog with one entry per table, derived from its rows."""
+    entries = [
+        extract_schema(load(spark, sf, t), DESCRIBED[t][1], DESCRIBED[t][0]).withColumn("dataset_name", F.lit(t))
+        for t in tables
+    ]
+    nested = collect_columns(reduce(DataFrame.unionByName, entries), ("dataset_name",))
+    full = nested.select(
+        F.lit("tabular").alias("collection"), F.concat(F.lit("schema_"), "dataset_name").alias("id"), "dataset_name",
+        F.concat("dataset_name", F.lit(".parquet")).alias("source_file"),
+        F.concat("dataset_name", F.lit(".parquet")).alias("file"),
+        F.lit("2024-01-01").cast("timestamp").alias("import_date"), F.lit("batch_0").alias("import_batch_id"),
+        F.create_map(F.lit("document_type"), F.lit("schema")).alias("metadata"), "columns",
+    )
+    return materialize(full, "catalog")
+
+
+def catalog_columns_sql(tables: tuple[str, ...] = tuple(DESCRIBED)) -> str:
+    """One row per catalog column: dataset, position, col, kind, vals (list of up to ten values)."""
+    return "\nUNION ALL\n".join(f"SELECT '{t}' AS dataset, * FROM ({columns_sql(t, *DESCRIBED[t])})" for t in tables)
+
+
+def columns_sql(table: str, key: str, columns: list[str], rows: int = 100) -> str:
+    sample = f"(SELECT * FROM {table} ORDER BY {key} LIMIT {rows})"
+    return f"""
+WITH cells AS (SELECT *, {type_sql('v')} AS t FROM ({cells_sql(sample, key, columns)})),
+votes AS (SELECT position, col, count(*) FILTER (t = 'string' AND coalesce(v, '') <> '') AS s, count(*) FILTER (t = 'number' AND coalesce(v, '') <> '') AS n,
+  count(*) FILTER (t = 'boolean' AND coalesce(v, '') <> '') AS b, count(*) FILTER (t = 'date' AND coalesce(v, '') <> '') AS d FROM cells GROUP BY ALL),
+seen AS (SELECT position, v, min(seq) AS seq FROM cells WHERE coalesce(v, '') <> '' GROUP BY ALL),
+firsts AS (SELECT position, list(v ORDER BY seq, v) AS vals FROM (
+  SELECT *, row_number() OVER (PARTITION BY position ORDER BY seq, v) AS rn FROM seen) WHERE rn <= 10 GROUP BY position)
+SELECT position, col, CASE WHEN s = greatest(s, n, b, d) THEN 'string' WHEN n = greatest(s, n, b, d) THEN 'number'
+  WHEN b = greatest(s, n, b, d) THEN 'boolean' ELSE 'date' END AS kind, coalesce(vals, []) AS vals
+FROM votes LEFT JOIN firsts USING (position)"""
+
+
 def cells_sql(table: str, key: str, columns: list[str]) -> str:
     """The table's cells in long form: seq, position, column, value."""
     return "\nUNION ALL\n".join(
