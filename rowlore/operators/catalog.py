@@ -263,11 +263,11 @@ def schema_for_record(records: DataFrame, schemas: DataFrame) -> DataFrame:
     return records.join(broadcast_if_small(entry), "schema_id", "left")
 
 
-def match_columns(params: DataFrame, schemas: DataFrame, param_id: tuple[str, ...], field: Column) -> DataFrame:
+def match_columns(params: DataFrame, schemas: DataFrame, field: Column) -> DataFrame:
     """Parameters with the first catalog column whose name or normalised name fits.
 
     Both spellings become equi-join keys, so the OR never turns into a nested
-    loop.
+    loop. Parameters come from questions, not records: AQE picks the join.
     """
     columns = schema_columns(latest_schemas(schemas), "dataset_name")
     spellings = columns.withColumn(
@@ -275,10 +275,10 @@ def match_columns(params: DataFrame, schemas: DataFrame, param_id: tuple[str, ..
     ).select("dataset_name", "_match", F.struct("position", "name", "normalized_name", "data_type").alias("_col"))
     spellings = spellings.groupBy("dataset_name", "_match").agg(F.min_by("_col", "_col.position").alias("column"))
     keyed = params.withColumn("_match", F.lower(field))
-    return keyed.join(broadcast_if_small(spellings), ["dataset_name", "_match"], "left").drop("_match")
+    return keyed.join(spellings, ["dataset_name", "_match"], "left").drop("_match")
 
 
-def validate_params(params: DataFrame, schemas: DataFrame, param_id: tuple[str, ...]) -> DataFrame:
+def validate_params(params: DataFrame, schemas: DataFrame) -> DataFrame:
     """Parameters `(dataset_name, key, value)` checked against the catalog.
 
     Adds `valid_key` (renamed to the normalised name when the value fits) and
@@ -287,7 +287,7 @@ def validate_params(params: DataFrame, schemas: DataFrame, param_id: tuple[str,
     prefixed = F.col("key").startswith("data.")
     field = F.when(prefixed, F.substring("key", 6, 1 << 30)).otherwise(F.col("key"))
     known = latest_schemas(schemas).select("dataset_name", F.lit(True).alias("_known"))
-    matched = match_columns(params, schemas, param_id, field).join(broadcast_if_small(known), "dataset_name", "left")
+    matched = match_columns(params, schemas, field).join(known, "dataset_name", "left")
     found, fits = F.col("column").isNotNull(), validate_value(F.col("value"), F.col("column.data_type"))
     renamed = F.when(prefixed, F.concat(F.lit("data."), F.col("column.normalized_name"))).otherwise(
         F.col("column.normalized_name")

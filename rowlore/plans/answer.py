@@ -44,7 +44,7 @@ def rank_datasets(questions: DataFrame, schemas: DataFrame, limit: int = DATASET
     """Up to `limit` datasets per question, best first; none when no word fits."""
     asked = questions.select("question_id", F.explode(F.array_distinct(words(F.col("question")))).alias("word"))
     scored = (
-        asked.join(broadcast_if_small(catalog_words(schemas)), "word")
+        asked.join(catalog_words(schemas), "word")
         .groupBy("question_id", "dataset_name")
         .agg(F.sum("weight").alias("score"))
     )
@@ -87,7 +87,7 @@ def derive_filters(asked: DataFrame, schemas: DataFrame, limit: int = FILTER_TEM
     named = tokenised.select(
         "question_id", "dataset_name", "_text", F.explode(F.array_distinct("_w")).alias("anchor")
     )
-    met = named.join(broadcast_if_small(known_values(schemas)), ["dataset_name", "anchor"]).where(
+    met = named.join(known_values(schemas), ["dataset_name", "anchor"]).where(
         F.contains("_text", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     )
     fields = met.groupBy("question_id", "dataset_name", "key").agg(
@@ -117,7 +117,7 @@ def derive_filters(asked: DataFrame, schemas: DataFrame, limit: int = FILTER_TEM
 def validated_filters(filters: DataFrame, schemas: DataFrame) -> DataFrame:
     """C8 over filter rows: each value checked, keys renamed where they fit the catalog."""
     spread = filters.select("question_id", "ordinal", "dataset_name", "key", F.explode_outer("values").alias("value"))
-    checked = validate_params(spread, schemas, ("question_id", "ordinal", "key"))
+    checked = validate_params(spread, schemas)
     return (
         checked.withColumn("key", F.when(F.col("key").isNotNull(), F.col("valid_key")))
         .groupBy("question_id", "ordinal", "dataset_name", "key")

@@ -176,7 +176,7 @@ def q_validate_params(spark, sf):
     params = load(spark, sf, "part").select(
         "p_partkey", F.when(n == 4, F.col("p_type")).otherwise("part").alias("dataset_name"), key.alias("key"), value.alias("value")
     )
-    return validate_params(params, catalog(spark, sf), ("p_partkey",)).select("p_partkey", "valid_key", "warning")
+    return validate_params(params, catalog(spark, sf)).select("p_partkey", "valid_key", "warning")
 
 
 def examples_sql(n: int) -> str:

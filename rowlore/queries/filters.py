@@ -81,7 +81,7 @@ def q_filter_validated(spark, sf):
     params = spark.createDataFrame(asked, "dataset_name string, key string, value string")
     merged: dict[str, list[str]] = {}
     # A filter the caller wrote: a handful of rows.
-    for row in validate_params(params, schemas, ("key",)).collect():
+    for row in validate_params(params, schemas).collect():
         merged.setdefault(row["valid_key"], []).append(row["value"])
     return df.where(compile_filter(merged, df)).select(*P_OUT)
 

@@ -107,7 +107,7 @@ def test_validate_params(spark, schemas):
          ("servers", "CORES", "4"), ("servers", "data.nope", "1"), ("gone", "data.a", "1")],
         "dataset_name string, key string, value string",
     )
-    got = {r["key"]: (r["valid_key"], r["warning"]) for r in validate_params(params, schemas, ("key",)).collect()}
+    got = {r["key"]: (r["valid_key"], r["warning"]) for r in validate_params(params, schemas).collect()}
     assert got["data.SERVER NAME"] == got["data.server_name"] == ("data.server_name", None)
     assert got["CORES"] == ("cores", None)
     assert got["cores"] == ("cores", "Value 'abc' is not valid for field 'cores' of type 'number'.")
