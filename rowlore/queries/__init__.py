@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("filters", "catalog", "retrieval", "documents")
+MODULES = ("values", "filters", "catalog", "retrieval", "documents", "files", "stores", "questions")
 
 
 def all_queries() -> dict[str, Query]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlore.functions.values import BOOLEAN_PATTERN, DATE_PATTERN, NUMBER_PATTERN
-from rowlore.operators.catalog import collect_columns, extract_schema
+from rowlore.operators.catalog import collect_columns, describe_cells, first_rows, to_cells
 from rowlore.plans.sizing import materialize
 
 
@@ -95,11 +95,15 @@ DESCRIBED = {
 
 def catalog(spark: SparkSession, sf: str, tables: tuple[str, ...] = tuple(DESCRIBED)) -> DataFrame:
     """A stored catalog with one entry per table, derived from its rows."""
-    entries = [
-        extract_schema(load(spark, sf, t), DESCRIBED[t][1], DESCRIBED[t][0]).withColumn("dataset_name", F.lit(t))
+    samples = [
+        to_cells(first_rows(load(spark, sf, t), 100, (key,)), columns, F.col(key).cast("bigint")).withColumn(
+            "dataset_name", F.lit(t)
+        )
         for t in tables
+        for key, columns in [DESCRIBED[t]]
     ]
-    nested = collect_columns(reduce(DataFrame.unionByName, entries), ("dataset_name",))
+    cells = reduce(DataFrame.unionByName, samples)
+    nested = collect_columns(describe_cells(cells, by=("dataset_name",)), ("dataset_name",))
     full = nested.select(
         F.lit("tabular").alias("collection"), F.concat(F.lit("schema_"), "dataset_name").alias("id"), "dataset_name",
         F.concat("dataset_name", F.lit(".parquet")).alias("source_file"),

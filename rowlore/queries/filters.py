@@ -78,7 +78,8 @@ def q_filter_validated(spark, sf):
     df = parts(spark, sf)
     schemas = catalog(spark, sf, ("part",))
     asked = [("part", "data.P_BRAND", "Brand#4"), ("part", "data.P_BRAND", "Brand#5"), ("part", "data.P_Size", "20")]
-    params = spark.createDataFrame(asked, "dataset_name string, key string, value string")
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("dataset_name", "key", "value"), r)]) for r in asked])
+    params = spark.range(1).select(F.inline(rows))
     merged: dict[str, list[str]] = {}
     # A filter the caller wrote: a handful of rows.
     for row in validate_params(params, schemas).collect():
