@@ -128,8 +128,10 @@ class RecordStore:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
     def _write(self, collection: str, staged: DataFrame) -> None:
+        # Rebalancing gives each bucket few files and lets AQE split one that is too large.
         (
-            staged.write.mode("overwrite")
+            staged.hint("rebalance", "dataset", "bucket")
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("dataset", "bucket")
             .parquet(self._path(collection))

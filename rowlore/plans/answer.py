@@ -13,7 +13,7 @@ from rowlore.operators.filter_table import filter_table_match, pack_filters
 from rowlore.operators.retrieve import similar_batch
 from rowlore.operators.text import words
 from rowlore.plans.prompts import build_prompt
-from rowlore.plans.sizing import broadcast_if_small
+from rowlore.plans.sizing import broadcast_if_small, materialize
 
 # How much a question word counts when it is part of a dataset name, a field name, an example value.
 NAME_WEIGHT, FIELD_WEIGHT, VALUE_WEIGHT = 3, 2, 1
@@ -226,9 +226,11 @@ def ask_tabular(
     `records` also carries `collection`. Given `filters` replace the derived ones.
     """
     best = rank_datasets(questions, schemas, 1).select("question_id", "dataset_name")
-    asked = questions.join(best, "question_id", "left")
+    # Questions and filters are read several times below; records only once.
+    asked = materialize(questions.join(best, "question_id", "left"), "questions")
+    questions = asked.select(*questions.columns)
     if filters is None:
-        filters = validated_filters(derive_filters(asked, schemas), schemas)
+        filters = materialize(validated_filters(derive_filters(asked, schemas), schemas), "filters")
     hits = search_multi_filter(records, questions, filters, limit, fuzzy, data_map, tags)
     contexts = answer_context(hits.withColumnRenamed("file", "source"), limit)
     return with_prompts(asked.drop("question_vector"), contexts)
