@@ -43,14 +43,14 @@ def filter_key(key: str) -> str:
 
 def encode_id(c: Column) -> Column:
     """base64 of the UTF-8 bytes with `=` written as `_`."""
-    # base64() wraps nothing in Spark's default mode, but strip line breaks anyway.
-    plain = F.regexp_replace(F.base64(F.encode(c, "UTF-8")), "[\r\n]", "")
-    return F.translate(plain, "=", "_")
+    # Legacy sessions wrap base64 lines: drop the breaks.
+    plain = F.replace(F.base64(F.encode(c, "UTF-8")), F.lit("\r\n"), F.lit(""))
+    return F.replace(plain, F.lit("="), F.lit("_"))
 
 
 def decode_id(c: Column) -> Column:
     """P8 reversed; malformed ids decode to the empty string."""
-    raw = F.try_to_binary(F.translate(c, "_", "="), F.lit("base64"))
+    raw = F.try_to_binary(F.replace(c, F.lit("_"), F.lit("=")), F.lit("base64"))
     return F.when(c.isNotNull(), F.coalesce(F.decode(raw, "UTF-8"), F.lit("")))
 
 

@@ -107,8 +107,11 @@ def parse_sentences(df: DataFrame, text: str = "text") -> DataFrame:
             ),
         )
         .withColumn("_pairs", F.coalesce(entry, F.array().cast("array<struct<key:string,value:string>>")))
-        .withColumn("parsed_source", last_wins(as_source))
-        .withColumn("parsed", last_wins(as_data))
+        # Own columns, so that each expression is evaluated once.
+        .withColumn("parsed_source", as_source)
+        .withColumn("parsed", as_data)
+        .withColumn("parsed_source", last_wins(F.col("parsed_source")))
+        .withColumn("parsed", last_wins(F.col("parsed")))
         .drop("_head", "_body", "_pairs")
     )
 
@@ -136,7 +139,9 @@ def parse_key_values(df: DataFrame, text: str = "text") -> DataFrame:
         df.withColumn("_pairs", F.coalesce(entry, F.array().cast("array<struct<key:string,value:string>>")))
         .withColumn("parsed_worksheet", _strip(F.substring_index(place, ",", 1)))
         .withColumn("parsed_row", F.regexp_extract(after_comma, r"^Row: \s*([0-9]+)\s*$", 1).try_cast("int"))
-        .withColumn("parsed_source", last_wins(meta))
-        .withColumn("parsed", last_wins(as_data))
+        .withColumn("parsed_source", meta)
+        .withColumn("parsed", as_data)
+        .withColumn("parsed_source", last_wins(F.col("parsed_source")))
+        .withColumn("parsed", last_wins(F.col("parsed")))
         .drop("_pairs")
     )

@@ -61,34 +61,34 @@ def infer_type(c: Column) -> Column:
 
 def typed_value(c: Column) -> Column:
     """P5: a struct naming the type and holding the value in that type's field."""
+    kinds = {"b": "boolean", "i": "int", "d": "double", "s": "string"}
+
+    def holding(name: str, **value: Column) -> Column:
+        fields = [value.get(f, F.lit(None).cast(t)).alias(f) for f, t in kinds.items()]
+        return F.struct(F.lit(name).alias("type"), *fields)
+
     blank = c.isNull() | (c == "NULL") | (c == "")
     whole, number = as_integer(c), as_number(c)
-    kind = (
-        F.when(blank, "null")
-        .when(is_boolean(c), "boolean")
-        .when(whole.isNotNull(), "int")
-        .when(number.isNotNull(), "double")
-        .otherwise("string")
-    )
-    return F.struct(
-        kind.alias("type"),
-        F.when(kind == "boolean", F.lower(F.trim(c)).try_cast("boolean")).alias("b"),
-        F.when(kind == "int", whole).alias("i"),
-        F.when(kind == "double", number).alias("d"),
-        F.when(kind == "string", c).alias("s"),
+    return (
+        F.when(blank, holding("null"))
+        .when(is_boolean(c), holding("boolean", b=F.lower(F.trim(c)).try_cast("boolean")))
+        .when(whole.isNotNull(), holding("int", i=whole))
+        .when(number.isNotNull(), holding("double", d=number))
+        .otherwise(holding("string", s=c))
     )
 
 
 def typed_variant(c: Column) -> Column:
     """P5 folded to one VARIANT, null for `NULL` and empty text."""
     blank = c.isNull() | (c == "NULL") | (c == "")
-    return (
-        F.when(blank, F.lit(None).cast("variant"))
-        .when(is_boolean(c), F.lower(F.trim(c)).try_cast("boolean").cast("variant"))
-        .when(as_integer(c).isNotNull(), as_integer(c).cast("variant"))
-        .when(as_number(c).isNotNull(), as_number(c).cast("variant"))
-        .otherwise(c.cast("variant"))
+    # coalesce stops at the first spelling that fits.
+    typed = F.coalesce(
+        F.when(is_boolean(c), F.lower(F.trim(c)).try_cast("boolean")).cast("variant"),
+        as_integer(c).cast("variant"),
+        as_number(c).cast("variant"),
+        c.cast("variant"),
     )
+    return F.when(~blank, typed)
 
 
 def validate_value(c: Column, logical_type: Column) -> Column:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from rowlore.functions.names import normalize_filter_key
 from rowlore.model import FILTER_TEMPLATES, FuzzyMatch
-from rowlore.plans.sizing import BROADCAST_BYTES, BROADCAST_ROWS, measured
+from rowlore.plans.sizing import BROADCAST_BYTES, BROADCAST_ROWS, materialize, measured
 
-# Filters evaluated together against one row; more than this go in further blocks.
+# Filters per array in the shuffled form.
 BLOCK_FILTERS = 256
+# Fields filters may be found by, one broadcast join each.
+MAX_ANCHORS = 32
 CONDITIONS = (
     "array<struct<key:string,kind:string,values:array<struct<how:string,text:string>>>>"
 )
@@ -121,6 +123,35 @@ def _holds(condition: Column, data: Column, tags: Column, case_insensitive: bool
     return F.coalesce(F.when(condition["kind"] == "tag", on_tag).otherwise(on_data), F.lit(False))
 
 
+def _anchored(filters: DataFrame) -> DataFrame:
+    """Adds `_anchor`, the filter's data condition with the fewest values among those that only compare exactly."""
+    exact = F.filter(
+        "conditions",
+        lambda c: (c["kind"] == "data") & F.forall(c["values"], lambda v: v["how"] == "exact"),
+    )
+    by_size = F.array_sort(
+        F.transform(exact, lambda c: F.struct(F.size(c["values"]).alias("n"), c["key"].alias("key"), c["values"].alias("values")))
+    )
+    return filters.withColumn("_anchor", F.get(by_size, F.lit(0)))
+
+
+def _gathered(filters: DataFrame, by: list[str], filter_id: str, name: str) -> DataFrame:
+    """One array of filters per group, for filter tables already measured small."""
+    return filters.groupBy(*by).agg(F.collect_list(F.struct(F.col(filter_id).alias("id"), "conditions")).alias(name))
+
+
+def _blocks(filters: DataFrame, by: list[str], filter_id: str, name: str) -> DataFrame:
+    """Arrays of about `BLOCK_FILTERS` filters, filled by hash; a large group gets several rows."""
+    sizes = filters.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK_FILTERS).alias("_blocks"))
+    placed = filters.join(sizes, by).withColumn("_block", F.pmod(F.xxhash64(filter_id), F.col("_blocks")))
+    return _gathered(placed, [*by, "_block"], filter_id, name).drop("_block")
+
+
+def _fits(df: DataFrame) -> bool:
+    rows, size = measured(df, BROADCAST_ROWS)
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def filter_table_match(
     records: DataFrame,
     filters: DataFrame,
@@ -131,41 +162,60 @@ def filter_table_match(
     tags: Column | None = None,
     fuzzy: FuzzyMatch = FuzzyMatch(),
 ) -> DataFrame:
-    """every record paired with the ids of the filters it meets.
+    """every record paired with the ids of the filters it meets, in one scan of the records.
+
+    `filters` comes from `pack_filters(..., partition=...)`. A filter with an
+    exact data condition is found by that value: one broadcast hash join per
+    such field hands a record only the filters asking for its own value. Other
+    filters ride along per collection as arrays. Either way the remaining
+    conditions are tested inside the row, records are not shuffled, and only
+    matches are emitted.
 
-    `filters` comes from `pack_filters(..., partition=...)`. The filters of a
-    collection ride to its records as arrays of about `BLOCK_FILTERS` filters,
-    so one scan answers all of them and the records are not shuffled while the
-    filter table is small. Only matches are emitted, never record-filter pairs.
     A filter table beyond the broadcast bound meets the records through a
     salted shuffle join, since one collection may hold every record.
     """
     data_map = F.col("data").try_cast("map<string,string>") if data_map is None else data_map
     tags = F.col("tags") if tags is None else tags
-    # Blocks are filled by hash, their number taken from the size of each collection's filter set.
-    sizes = filters.groupBy(partition).agg(F.ceil(F.count("*") / BLOCK_FILTERS).alias("_blocks"))
-    blocks = (
-        filters.join(sizes, partition)
-        .groupBy(partition, F.pmod(F.xxhash64(filter_id), F.col("_blocks")).alias("_block"))
-        .agg(F.collect_list(F.struct(F.col(filter_id).alias("id"), "conditions")).alias("_filters"))
-        .drop("_block")
+    found_by: list[str] = []
+    met = records.withColumn("_data", data_map).withColumn("_tags", tags)
+    marked = _anchored(materialize(filters, "filters"))
+    keys = [r[0] for r in marked.select("_anchor.key").distinct().limit(MAX_ANCHORS + 2).collect()]
+    named = sorted(k for k in keys if k is not None)
+    spread_filters = marked.select(partition, filter_id, "conditions", "_anchor").withColumn(
+        "_values", F.array_distinct(F.transform("_anchor.values", lambda v: v["text"]))
     )
-    rows, size = measured(blocks)
-    prepared = records.withColumn("_data", data_map).withColumn("_tags", tags)
-    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
-        met = prepared.join(F.broadcast(blocks), partition)
+    if keys and len(named) <= MAX_ANCHORS and _fits(marked):
+        for i, key in enumerate(named):
+            name, value = f"_by_{i}", f"_value_{i}"
+            wanted = spread_filters.where(F.col("_anchor.key") == key).withColumn(value, F.explode("_values"))
+            index = _gathered(wanted, [partition, value], filter_id, name)
+            field = F.col("_data")[key]
+            met = met.withColumn(value, F.lower(field) if fuzzy.case_insensitive else field)
+            met = met.join(F.broadcast(index), [partition, value], "left").drop(value)
+            found_by.append(name)
+        rest = marked.where(F.col("_anchor").isNull())
+        if None in keys:
+            met = met.join(F.broadcast(_gathered(rest, [partition], filter_id, "_rest")), partition, "left")
+            found_by.append("_rest")
     else:
         salts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salted = prepared.withColumn("_salt", F.pmod(F.xxhash64(record_id), F.lit(salts)).cast("int"))
+        salted = met.withColumn("_salt", F.pmod(F.xxhash64(record_id), F.lit(salts)).cast("int"))
+        blocks = _blocks(marked, [partition], filter_id, "_rest")
         copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = salted.join(copies, [partition, "_salt"]).drop("_salt")
-    found = F.transform(
-        F.filter(
-            F.col("_filters"),
-            lambda f: F.forall(
-                f["conditions"], lambda c: _holds(c, F.col("_data"), F.col("_tags"), fuzzy.case_insensitive)
+        found_by.append("_rest")
+
+    def holding(name: str) -> Column:
+        return F.transform(
+            F.filter(
+                F.coalesce(F.col(name), F.array().cast(dict(met.dtypes)[name])),
+                lambda f: F.forall(
+                    f["conditions"], lambda c: _holds(c, F.col("_data"), F.col("_tags"), fuzzy.case_insensitive)
+                ),
             ),
-        ),
-        lambda f: f["id"],
-    )
-    return met.withColumn(filter_id, F.explode(found)).drop("_filters", "_data", "_tags")
+            lambda f: f["id"],
+        )
+
+    # Each filter has one anchor, so no two arrays hold the same filter.
+    found = F.flatten(F.array(*[holding(n) for n in found_by]))
+    return met.withColumn(filter_id, F.explode(found)).drop("_data", "_tags", *found_by)

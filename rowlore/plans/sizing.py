@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+# Inputs below this many bytes per core are worth one shuffle before CPU-heavy work.
+SPREAD_BYTES = 32 << 20
 
 
 def measured(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[int, int]:
@@ -30,6 +32,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input too small to fill them, such as a single row group.
+
+    A table of the size a cluster is for is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share.
 

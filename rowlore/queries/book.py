@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowlore.functions.values import BOOLEAN_PATTERN, DATE_PATTERN, NUMBER_PATTERN
 from rowlore.operators.catalog import collect_columns, describe_cells, first_rows, to_cells
-from rowlore.plans.sizing import materialize
+from rowlore.plans.sizing import materialize, spread
 
 
 class Book:
@@ -30,6 +30,12 @@ def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def load_spread(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
+    """The same for CPU-heavy work: the columns wanted, on all cores even when the file is small."""
+    df = load(spark, sf, table)
+    return spread(df.select(*columns) if columns else df)
+
+
 def tags_of(**columns: str) -> Column:
     return F.create_map(*[x for k, c in columns.items() for x in (F.lit(k), F.array(F.col(c)))])
 
@@ -64,7 +70,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 VECTORS = "(SELECT e.*, d.lang, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"
 
 
-def as_record_form(df: DataFrame, table: str, key: str, columns: list[str]) -> DataFrame:
+def as_record_form(df: DataFrame, table: str, key: str, columns: list[str], *more: str) -> DataFrame:
     """A typed table in the generic record layout."""
     return df.select(
         F.lit(table).alias("dataset"),
@@ -76,6 +82,7 @@ def as_record_form(df: DataFrame, table: str, key: str, columns: list[str]) -> D
         F.to_variant_object(F.struct(*columns)).alias("data"),
         F.lit(f"schema_{table}").alias("schema_id"),
         F.concat(F.lit("batch_"), (F.col(key) % 4).cast("string")).alias("import_batch_id"),
+        *more,
     )
 
 
@@ -171,7 +178,7 @@ def spelled(spark: SparkSession, sf: str) -> DataFrame:
         .when(n == 9, F.concat(F.col("user_id").cast("string"), F.lit("000000000000")))
         .when(n == 10, F.concat(F.col("user_id").cast("string"), F.lit("d")))
     )
-    return load(spark, sf, "events").select("event_id", "event_type", text.alias("v"))
+    return load_spread(spark, sf, "events").select("event_id", "event_type", text.alias("v"))
 
 
 SPELLED = """(SELECT event_id, event_type, CASE event_id % 12 WHEN 0 THEN CAST(user_id AS VARCHAR)

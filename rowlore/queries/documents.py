@@ -7,7 +7,7 @@ from rowlore.operators.text import (
 )
 from rowlore.plans.prompts import KNOWN, TEMPLATES, UNKNOWN, build_prompt, parse_dataset_reply
 from rowlore.plans.providers import record_answers
-from rowlore.queries.book import Book, load
+from rowlore.queries.book import Book, load, load_spread
 
 BOOK = Book()
 TOKENS = "list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda t: t <> '')"
@@ -21,7 +21,7 @@ SELECT doc_id, CAST(i AS INTEGER) AS chunk_number, md5(array_to_string(toks[i *
 FROM (SELECT doc_id, toks, unnest(range(CAST(ceil(greatest(len(toks) - 1000, 0) / 900.0) AS BIGINT) + 1)) AS i
   FROM (SELECT doc_id, {TOKENS} AS toks FROM documents) WHERE len(toks) > 0)""")
 def q_chunk_text(spark, sf):
-    return chunk_text(load(spark, sf, "documents").select("doc_id", "text")).select(
+    return chunk_text(load_spread(spark, sf, "documents", "doc_id", "text")).select(
         "doc_id", "chunk_number", F.md5("chunk_text").alias("chunk"), "token_count"
     )
 
@@ -39,7 +39,7 @@ def extract_sql() -> str:
 
 @BOOK.query("extract_text", extract_sql())
 def q_extract_text(spark, sf):
-    return load(spark, sf, "pages").select("page_id", extract_text(F.col("html")).alias("text"))
+    return load_spread(spark, sf, "pages", "page_id", "html").select("page_id", extract_text(F.col("html")).alias("text"))
 
 
 @BOOK.query("summarize_extractive", f"""
@@ -53,7 +53,7 @@ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORD
 SELECT doc_id, string_agg(sentence, '. ' ORDER BY position) || '.' AS summary FROM best JOIN s USING (doc_id, position) GROUP BY doc_id""".replace(
     "unnest(range(10000000)[1:len(", "unnest(range(len(").replace("> 0))]) AS position", "> 0)))) AS position"))
 def q_summarize_extractive(spark, sf):
-    return summarize(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return summarize(load_spread(spark, sf, "documents", "doc_id", "text"), "doc_id")
 
 
 @BOOK.query("embed_text", f"""
@@ -61,7 +61,7 @@ WITH b AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 7))::BIGINT % {WIDTH} AS bu
   FROM (SELECT doc_id, unnest({WORDS.format(c='text')}) AS w FROM documents) GROUP BY ALL)
 SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS weight FROM b""")
 def q_embed_text(spark, sf):
-    docs = load(spark, sf, "documents").select("doc_id", embed_text(F.col("text"), WIDTH).alias("e"))
+    docs = load_spread(spark, sf, "documents", "doc_id", "text").select("doc_id", embed_text(F.col("text"), WIDTH).alias("e"))
     cells = docs.select("doc_id", F.posexplode("e").alias("bucket", "w")).where(F.col("w") != 0)
     return cells.select("doc_id", "bucket", F.round(F.col("w").cast("double"), 5).alias("weight"))
 

@@ -21,13 +21,12 @@ from rowlore.streaming.incremental import line_stream, run_once
 BOOK = Book()
 # One file per segment or language: small exports whose file count is known.
 CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
-ONE_LINE = F.regexp_replace("text", "[\r\n]+", " ")
 
 
 def export_documents(spark, sf):
     """Documents as one CSV file per language, lines in id order."""
     path = scratch_dir(spark, "documents-csv")
-    docs = load(spark, sf, "documents").select("lang", "doc_id", ONE_LINE.alias("Full Text"), "source", "n_chars")
+    docs = load(spark, sf, "documents").select("lang", "doc_id", F.regexp_replace("text", "[\r\n]+", " ").alias("Full Text"), "source", "n_chars")
     sorted_docs = docs.repartition("lang").sortWithinPartitions("lang", "doc_id")
     sorted_docs.write.options(**CSV).partitionBy("lang").csv(path)
     return path
@@ -163,7 +162,8 @@ def q_xlsx_rows(spark, sf):
     )
     block = F.floor(F.col("o_orderkey") / BOOK_ROWS).alias("block")
     blocks = load(spark, sf, "orders").groupBy(block).agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    files = blocks.mapInPandas(_write_books, "path string, file string, content binary")
+    # A fixed partition count keeps AQE from putting all workbooks into one task.
+    files = blocks.repartition(spark.sparkContext.defaultParallelism, "block").mapInPandas(_write_books, "path string, file string, content binary")
     rows = workbook_rows(decode_workbooks(files))
     typed = {"Order_Key": ("order_key", "double"), "Status": ("status", "string"), "Column3": ("priority", "string"),
              "Date": ("day", "string"), "Price": ("price", "double"), "Urgent": ("urgent", "boolean")}

@@ -8,6 +8,7 @@ from rowlore.operators.filter_table import filter_table_match, filter_templates,
 from rowlore.operators.filters import (
     compile_filter, data_filter, exclude_catalog, strict_recheck, tag_filter, where_filters,
 )
+from rowlore.plans.sizing import spread
 from rowlore.queries.book import CUSTOMERS, Book, catalog, customers, documents, load, parts
 
 BOOK = Book()
@@ -113,7 +114,7 @@ SELECT f.filter_id, p.p_partkey FROM part p JOIN (SELECT DISTINCT p_brand || '/'
   AND (lower(p.p_name) LIKE '%b_l%' OR contains(lower(p.p_name), lower('ring')))""")
 def q_filter_table_match(spark, sf):
     """One filter per brand and type found in the table, answered in one scan."""
-    df = parts(spark, sf)
+    df = spread(parts(spark, sf))
     found = df.select("p_brand", "p_type").distinct().withColumn("filter_id", F.concat_ws("/", "p_brand", "p_type"))
     asked = {
         "data.p_brand": F.array(F.upper("p_brand")),

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from rowlore.functions.sentences import row_sentence
 from rowlore.operators.text import chunk_text, embed_text
 from rowlore.plans.answer import ask_documents, ask_tabular, derive_filters, rank_datasets
-from rowlore.queries.book import PART_COLUMNS, Book, as_record_form, catalog, catalog_columns_sql, load, parts
+from rowlore.plans.sizing import spread
+from rowlore.queries.book import PART_COLUMNS, Book, as_record_form, catalog, catalog_columns_sql, load, load_spread, parts
 
 BOOK = Book()
 WIDTH = 64
@@ -20,7 +21,7 @@ NAME_WORDS = "list_filter(string_split_regex(lower(replace({c}, '_', ' ')), '[^\
 
 def part_questions(spark, sf):
     """One question per part."""
-    return load(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), QUESTION.alias("question"))
+    return load_spread(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), QUESTION.alias("question"))
 
 
 @BOOK.query("rank_datasets", f"""
@@ -55,11 +56,10 @@ def q_derive_filters(spark, sf):
 
 def part_records(spark, sf):
     """Parts as searchable records of one collection, embedded by their sentence."""
-    df = parts(spark, sf)
+    df = spread(parts(spark, sf))
     entries = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in PART_COLUMNS])
     text = row_sentence(F.lit("part"), F.col("p_partkey") + 2, entries)
-    texts = df.select(F.col("p_partkey").cast("string").alias("id"), text.alias("text"))
-    records = as_record_form(df, "part", "p_partkey", PART_COLUMNS).join(texts, "id")
+    records = as_record_form(df.withColumn("text", text), "part", "p_partkey", PART_COLUMNS, "text")
     return records.withColumn("collection", F.lit("tabular")).withColumn("embedding", embed_text(F.col("text"), WIDTH))
 
 
@@ -78,7 +78,7 @@ def q_ask_tabular(spark, sf):
 @BOOK.query("ask_documents")
 def q_ask_documents(spark, sf):
     """Every benchmark text asked against the chunks of all documents."""
-    chunks = chunk_text(load(spark, sf, "documents").select("doc_id", "source", "text")).select(
+    chunks = chunk_text(load_spread(spark, sf, "documents", "doc_id", "source", "text")).select(
         F.concat_ws("-", "doc_id", "chunk_number").alias("id"), "source", "chunk_text",
         F.create_map(F.lit("file"), F.array("source")).alias("tags"), embed_text(F.col("chunk_text"), WIDTH).alias("embedding"),
     )

@@ -14,7 +14,7 @@ from rowlore.functions.values import (
 )
 from rowlore.operators.records import assemble_record, enrich_payload, extract_lineage, project_record
 from rowlore.queries.book import (
-    CUSTOMER_COLUMNS, PART_COLUMNS, SPELLED, Book, as_record_form, customers, date_sql, load, number_sql, spelled, type_sql,
+    CUSTOMER_COLUMNS, PART_COLUMNS, SPELLED, Book, as_record_form, customers, date_sql, load, load_spread, number_sql, spelled, type_sql,
 )
 
 BOOK = Book()
@@ -24,14 +24,14 @@ BOOK = Book()
 SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}]', '_', 'g'), '_+', '_', 'g'), '_')
   AS header FROM conversations""")
 def q_normalize_header(spark, sf):
-    return load(spark, sf, "conversations").select("conv_id", "turn", normalize_header(F.col("text")).alias("header"))
+    return load_spread(spark, sf, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", normalize_header(F.col("text")).alias("header"))
 
 
 @BOOK.query("normalize_column", """
 SELECT page_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(url || html, '([a-z])([A-Z])', '\\1_\\2', 'g')),
   '[^a-z0-9]', '_', 'g'), '_+', '_', 'g'), '_') AS name FROM pages""")
 def q_normalize_column(spark, sf):
-    return load(spark, sf, "pages").select("page_id", normalize_column(F.concat("url", "html")).alias("name"))
+    return load_spread(spark, sf, "pages", "page_id", "url", "html").select("page_id", normalize_column(F.concat("url", "html")).alias("name"))
 
 
 @BOOK.query("normalize_filter_key", """
@@ -98,7 +98,7 @@ def q_format_cell(spark, sf):
 @BOOK.query("encode_id", """
 SELECT doc_id, md5(replace(base64(encode(text)), '=', '_')) AS encoded, md5(text) AS decoded, '' AS malformed FROM documents""")
 def q_encode_id(spark, sf):
-    coded = load(spark, sf, "documents").select("doc_id", encode_id(F.col("text")).alias("e"))
+    coded = load_spread(spark, sf, "documents", "doc_id", "text").select("doc_id", encode_id(F.col("text")).alias("e"))
     bad = decode_id(F.concat(F.lit("%%"), "e"))
     return coded.select(
         "doc_id", F.md5("e").alias("encoded"), F.md5(decode_id(F.col("e"))).alias("decoded"), bad.alias("malformed")
@@ -125,7 +125,7 @@ def part_sentences(spark, sf):
         F.lit("part"), F.col("p_partkey") + 2, entries, F.lit("schema_part"),
         F.concat(F.lit("batch_"), (F.col("p_partkey") % 4).cast("string")),
     )
-    return load(spark, sf, "part").select("*", text.alias("text"))
+    return load_spread(spark, sf, "part").select("*", text.alias("text"))
 
 
 PART_TEXT = "'Record from worksheet part, row ' || (p_partkey + 2) || ': schema_id is schema_part. import_batch_id is batch_' || (p_partkey % 4) || '. ' || " + " || ' ' || ".join(
@@ -163,7 +163,7 @@ def q_parse_key_value(spark, sf):
         F.lit("\nPart Name: "), "p_name", F.lit("\nno colon here\npartSize: "), F.col("p_size").cast("string"),
         F.lit("\nPart Brand: "), "p_brand",
     )
-    found = parse_key_values(load(spark, sf, "part").select(text.alias("text"))).withColumn(
+    found = parse_key_values(load_spread(spark, sf, "part").select(text.alias("text"))).withColumn(
         "d", entries_to_variant(F.col("parsed"), typed_variant)
     )
     return found.select(

@@ -23,14 +23,19 @@ def split_line(line: Column) -> Column:
     Between quotes every second piece is quoted text. An empty piece outside
     quotes, between two others, is a doubled quote seen from inside.
     """
-    pieces = F.split(line, '"', -1)
     marked = F.transform(
-        pieces,
+        F.split(line, '"', -1),
         lambda s, i: F.when(i % 2 == 1, s)
-        .when((s == "") & (i > 0) & (i < F.size(pieces) - 1), F.lit('"'))
+        .when((s == "") & (i > 0), F.lit('"'))
         .otherwise(F.replace(s, F.lit(","), F.lit(SEPARATOR))),
     )
-    quoted = F.split(F.array_join(marked, ""), SEPARATOR, -1)
+    # The empty piece after a closing quote at the end of the line is no doubled quote.
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    closed = line.endswith('"') & (quotes % 2 == 0)
+    joined = F.array_join(marked, "")
+    quoted = F.split(
+        F.when(closed, F.regexp_replace(joined, r'"\z', "")).otherwise(joined), SEPARATOR, -1
+    )
     plain = F.split(line, ",", -1)
     return (
         F.when(line == "", F.array().cast("array<string>"))
