@@ -38,6 +38,11 @@ def _spread(values: np.ndarray, present: np.ndarray) -> pa.Array:
     return pa.array(out, mask=np.isnan(out))
 
 
+def once(udf):
+    """Keep the optimizer from copying a Python function into the filters it infers or pushes down."""
+    return udf.asNondeterministic()
+
+
 def relevance_to(question: Sequence[float]):
     """V3 against one fixed vector: (1 + cosine) / 2, null for missing or zero vectors."""
     q = np.asarray(question, dtype=np.float64)
@@ -48,11 +53,11 @@ def relevance_to(question: Sequence[float]):
         m, present = as_matrix(vectors)
         return _spread((1 + (unit_rows(m) * q).sum(axis=1)) / 2 if m.size else np.empty(0), present)
 
-    return score
+    return once(score)
 
 
 @F.arrow_udf(DoubleType())
-def pair_relevance(left: pa.Array, right: pa.Array) -> pa.Array:
+def _pair_relevance(left: pa.Array, right: pa.Array) -> pa.Array:
     """V3 between two vector columns."""
     valid = np.asarray(left.is_valid()) & np.asarray(right.is_valid())
     keep = pa.array(valid)
@@ -62,6 +67,9 @@ def pair_relevance(left: pa.Array, right: pa.Array) -> pa.Array:
     return _spread(values, valid)
 
 
+pair_relevance = once(_pair_relevance)
+
+
 def rank_key(score: Column) -> Column:
     return F.round(score, TIE_DIGITS)
 
@@ -88,4 +96,4 @@ def bag_vector(width: int):
         offsets = pa.array(np.arange(rows + 1) * width, type=pa.int32())
         return pa.ListArray.from_arrays(offsets, pa.array(unit.reshape(-1)))
 
-    return vectorise
+    return once(vectorise)

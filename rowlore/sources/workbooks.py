@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -18,21 +19,21 @@ from rowlore.functions.values import cell_variant, format_cell
 from rowlore.model import DecodeOptions
 from rowlore.sources.folders import scan_files
 
-CELL = "array<struct<col:int,kind:string,raw:string>>"
+CELL = "array<struct<kind:string,raw:string>>"
 RAW_SCHEMA = (
-    "path string, file string, sheet_index int, worksheet string, first_row int, first_col int, last_col int, "
-    f"row_number int, hidden boolean, hidden_cols array<int>, header {CELL}, cells {CELL}, error string"
+    "path string, file string, sheet_index int, worksheet string, first_row int, row_number int, hidden boolean, "
+    f"columns array<int>, header {CELL}, cells {CELL}, error string"
 )
-ARROW_CELL = pa.list_(pa.struct([("col", pa.int32()), ("kind", pa.string()), ("raw", pa.string())]))
+ARROW_CELL = pa.list_(pa.struct([("kind", pa.string()), ("raw", pa.string())]))
 ARROW_SCHEMA = pa.schema(
     [
         ("path", pa.string()), ("file", pa.string()), ("sheet_index", pa.int32()), ("worksheet", pa.string()),
-        ("first_row", pa.int32()), ("first_col", pa.int32()), ("last_col", pa.int32()),
-        ("row_number", pa.int32()), ("hidden", pa.bool_()), ("hidden_cols", pa.list_(pa.int32())),
-        ("header", ARROW_CELL), ("cells", ARROW_CELL), ("error", pa.string()),
+        ("first_row", pa.int32()), ("row_number", pa.int32()), ("hidden", pa.bool_()),
+        ("columns", pa.list_(pa.int32())), ("header", ARROW_CELL), ("cells", ARROW_CELL), ("error", pa.string()),
     ]
 )
 ROWS_PER_BATCH = 2000
+BLANK = {"kind": "blank", "raw": None}
 # Number formats of the file format that show a date or a time.
 DATE_FORMATS = frozenset((14, 15, 16, 17, 22))
 TIME_FORMATS = frozenset((18, 19, 20, 21, 45, 46, 47))
@@ -42,15 +43,18 @@ def _tag(element) -> str:
     return element.tag.rsplit("}", 1)[-1]
 
 
-def _column(ref: str) -> int:
+@lru_cache(maxsize=20_000)
+def _letters(name: str) -> int:
     n = 0
-    for ch in ref:
-        if not ch.isalpha():
-            break
-        n = n * 26 + ord(ch.upper()) - 64
+    for ch in name:
+        n = n * 26 + ord(ch) - 64
     return n
 
 
+def _column(ref: str) -> int:
+    return _letters(ref.rstrip("0123456789"))
+
+
 def _style_kinds(book: zipfile.ZipFile) -> list[str]:
     """Cell kind (date, time or number) per style index."""
     if "xl/styles.xml" not in book.namelist():
@@ -90,70 +94,67 @@ def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return found
 
 
-def _cell(c, texts: list[str], kinds: list[str]) -> tuple[int, str, str] | None:
-    """(column, kind, stored value), or None for a blank cell."""
-    value = next((v for v in c if _tag(v) in ("v", "is")), None)
-    if value is None:
-        return None
-    raw, t = "".join(value.itertext()), c.get("t", "n")
+def _value(c, ns: str):
+    """The element holding a cell's value, None for a blank cell."""
+    v = c.find(f"{ns}is" if c.get("t") == "inlineStr" else f"{ns}v")
+    return None if v is None or (not len(v) and not v.text) else v
+
+
+def _cell(c, v, texts: list[str], kinds: list[str]) -> dict:
+    raw, t = "".join(v.itertext()), c.get("t", "n")
     if t == "s":
-        kind, raw = "text", texts[int(raw)]
-    elif t in ("str", "inlineStr"):
-        kind = "text"
-    elif t in ("b", "e"):
-        kind = {"b": "boolean", "e": "error"}[t]
-    else:
+        return {"kind": "text", "raw": texts[int(raw)]}
+    if t == "n":
         style = int(c.get("s", "0"))
-        kind = kinds[style] if style < len(kinds) else "number"
-    return (_column(c.get("r")), kind, raw) if raw != "" else None
+        return {"kind": kinds[style] if style < len(kinds) else "number", "raw": raw}
+    return {"kind": {"b": "boolean", "e": "error"}.get(t, "text"), "raw": raw}
 
 
-def _rows(book: zipfile.ZipFile, part: str, texts: list[str], kinds: list[str]):
-    """(row number, hidden, cells) per used row, and hidden columns once known."""
-    hidden_cols: list[int] = []
+def _rows(book: zipfile.ZipFile, part: str, hidden_columns: set[int]):
+    """(row element, its non-blank cells, namespace), streamed; fills `hidden_columns` on the way."""
     with book.open(part) as stream:
         for _, e in ElementTree.iterparse(stream):
-            name = _tag(e)
-            if name == "col" and e.get("hidden") in ("1", "true"):
-                hidden_cols.extend(range(int(e.get("min")), int(e.get("max")) + 1))
-            elif name == "row":
-                found = [x for x in (_cell(c, texts, kinds) for c in e if _tag(c) == "c") if x]
-                if found:
-                    yield int(e.get("r")), e.get("hidden") in ("1", "true"), found, hidden_cols
+            tag = e.tag
+            if tag.endswith("row") and _tag(e) == "row":
+                ns = tag[: tag.rfind("}") + 1]
+                filled = [(_column(c.get("r")), c, v) for c in e if (v := _value(c, ns)) is not None]
+                if filled:
+                    yield e, filled
                 e.clear()
+            elif tag.endswith("col") and _tag(e) == "col" and e.get("hidden") in ("1", "true"):
+                hidden_columns.update(range(int(e.get("min")), int(e.get("max")) + 1))
 
 
-def _as_dicts(cells: list[tuple[int, str, str]]) -> list[dict]:
-    return [{"col": c, "kind": k, "raw": r} for c, k, r in cells]
-
-
-def _decode(path: str, file: str, content: bytes, header_index: int) -> Iterator[dict]:
+def _decode(path: str, file: str, content: bytes, header_index: int, skip_hidden: bool) -> Iterator[dict]:
+    """Rows of all sheets: cells and header dense over the used columns."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         texts, kinds = _shared_texts(book), _style_kinds(book)
         for index, (sheet, part) in enumerate(_sheets(book)):
-            first_row, first_col, last_col, header = None, None, 0, []
-            for row, _, cells, _ in _rows(book, part, texts, kinds):
-                first_row = row if first_row is None else first_row
-                if row == first_row + header_index:
-                    header = _as_dicts(cells)
-                columns = [c for c, _, _ in cells]
-                first_col = min(columns) if first_col is None else min(first_col, *columns)
-                last_col = max(last_col, *columns)
-            for row, hidden, cells, hidden_cols in _rows(book, part, texts, kinds):
-                yield dict(
-                    path=path, file=file, sheet_index=index, worksheet=sheet, first_row=first_row,
-                    first_col=first_col, last_col=last_col, row_number=row, hidden=hidden,
-                    hidden_cols=list(hidden_cols), header=header, cells=_as_dicts(cells), error=None,
-                )
-
-
-def _decode_batches(header_index: int):
+            first_row, low, high, header, hidden_columns = None, 1 << 30, 0, {}, set()
+            for e, filled in _rows(book, part, hidden_columns):
+                number = int(e.get("r"))
+                first_row = number if first_row is None else first_row
+                if number == first_row + header_index:
+                    header = {col: _cell(c, v, texts, kinds) for col, c, v in filled}
+                low, high = min(low, filled[0][0]), max(high, filled[-1][0])
+            columns = [c for c in range(low, high + 1) if not (skip_hidden and c in hidden_columns)]
+            names = [header.get(c, BLANK) for c in columns]
+            for e, filled in _rows(book, part, set()):
+                found = {col: _cell(c, v, texts, kinds) for col, c, v in filled}
+                yield {
+                    "path": path, "file": file, "sheet_index": index, "worksheet": sheet, "first_row": first_row,
+                    "row_number": int(e.get("r")), "hidden": e.get("hidden") in ("1", "true"), "columns": columns,
+                    "header": names, "cells": [found.get(c, BLANK) for c in columns],
+                }
+
+
+def _decode_batches(header_index: int, skip_hidden: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files in batches:
             for one in files.to_pylist():
                 path, file, rows = one["path"], one["file"], []
                 try:
-                    for row in _decode(path, file, one["content"], header_index):
+                    for row in _decode(path, file, one["content"], header_index, skip_hidden):
                         rows.append(row)
                         if len(rows) >= ROWS_PER_BATCH:
                             yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
@@ -169,7 +170,7 @@ def _decode_batches(header_index: int):
 def decode_workbooks(files: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """Raw cells of every used row of `(path, file, content)`, one error row per undecodable file."""
     return files.select("path", "file", "content").mapInArrow(
-        _decode_batches(options.header_row_index), RAW_SCHEMA
+        _decode_batches(options.header_row_index, options.skip_hidden_columns), RAW_SCHEMA
     )
 
 
@@ -203,30 +204,22 @@ def workbook_rows(raw: DataFrame, options: DecodeOptions = DecodeOptions()) -> D
     if options.use_first_row_as_header:
         rows = rows.where(F.col("row_number") > F.col("first_row") + options.header_row_index)
 
-    def header_of(col):
-        cell = F.get(F.filter("header", lambda h: h["col"] == col), F.lit(0))
+    def name_of(number, cell):
         text = format_cell(cell["kind"], cell["raw"], options)
         named = normalize_header(text) if options.normalize_headers else text
-        generated = F.concat(F.lit(options.column_prefix), col.cast("string"))
-        usable = F.lit(options.use_first_row_as_header) & (F.trim(F.coalesce(named, F.lit(""))) != "")
+        generated = F.concat(F.lit(options.column_prefix), number.cast("string"))
+        usable = F.lit(options.use_first_row_as_header) & (F.trim(named) != "")
         return F.when(usable, named).otherwise(generated)
 
-    columns = F.sequence("first_col", "last_col")
-    if options.skip_hidden_columns:
-        columns = F.filter(columns, lambda c: ~F.array_contains("hidden_cols", c))
-    named = rows.withColumn(
-        "_named", F.transform(columns, lambda c: F.struct(c.alias("col"), header_of(c).alias("key")))
-    )
-
-    def value_of(column):
-        cell = F.get(F.filter("cells", lambda x: x["col"] == column["col"]), F.lit(0))
-        return F.struct(
-            F.coalesce(cell["kind"], F.lit("blank")).alias("kind"), cell["raw"].alias("raw")
+    # Own columns, so that each expression is evaluated once.
+    entries = (
+        rows.withColumn("_names", F.zip_with("columns", "header", name_of))
+        .withColumn(
+            "_entries",
+            F.zip_with("_names", "cells", lambda n, c: F.struct(n.alias("key"), c.alias("value"))),
         )
-
-    entries = named.withColumn(
-        "_entries", F.transform("_named", lambda c: F.struct(c["key"].alias("key"), value_of(c).alias("value")))
-    ).withColumn("_entries", last_wins(F.col("_entries")))
+        .withColumn("_entries", last_wins(F.col("_entries")))
+    )
     text = F.transform(
         "_entries",
         lambda e: F.struct(
