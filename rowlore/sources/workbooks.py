@@ -6,7 +6,6 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from functools import lru_cache
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -43,18 +42,15 @@ def _tag(element) -> str:
     return element.tag.rsplit("}", 1)[-1]
 
 
-@lru_cache(maxsize=20_000)
-def _letters(name: str) -> int:
+def _column(ref: str) -> int:
     n = 0
-    for ch in name:
+    for ch in ref:
+        if ch.isdigit():
+            break
         n = n * 26 + ord(ch) - 64
     return n
 
 
-def _column(ref: str) -> int:
-    return _letters(ref.rstrip("0123456789"))
-
-
 def _style_kinds(book: zipfile.ZipFile) -> list[str]:
     """Cell kind (date, time or number) per style index."""
     if "xl/styles.xml" not in book.namelist():
