@@ -163,54 +163,51 @@ def merge_schema(
     old = previous.select(
         fold(F.col("name")).alias("key"), "position", "name", "normalized_name", "data_type", "common_values"
     )
+    # Cells shrink to distinct (column, value) pairs first, in a hash aggregate over plain numbers.
     new = (
         cells.select(
-            fold(F.col("column")).alias("key"), "seq", "position", "column",
-            F.coalesce("value", F.lit("")).alias("value"),
-            F.col("value").isNull().alias("_null"),
+            fold(F.col("column")).alias("key"), F.col("column").alias("name"), F.coalesce("value", F.lit("")).alias("value"),
+            F.col("seq").cast("bigint").alias("seq"), "position", F.col("value").isNull().alias("empty"),
         )
-        .groupBy("key", "value")
-        .agg(
-            F.min("seq").alias("seq"),
-            F.min_by("column", F.struct("seq", "position")).alias("name"),
-            F.min("position").alias("position"),
-            F.bool_and("_null").alias("_null"),
-        )
-        .withColumn("type", F.when(F.col("_null"), "string").otherwise(infer_type(F.col("value"))))
+        .groupBy("key", "name", "value")
+        .agg(F.min("seq").alias("seq"), F.min("position").alias("position"), F.bool_and("empty").alias("empty"))
+        .select("key", "value", "seq", F.struct("seq", "position", "name").alias("new"), "empty")
     )
     # Previous values precede every new one: they get negative ordinals.
-    before = old.select(
-        "key", F.posexplode("common_values").alias("_i", "value"),
-        F.size("common_values").alias("_n"),
-    ).select("key", "value", (F.col("_i") - F.col("_n")).cast("bigint").alias("seq"))
-    sightings = before.unionByName(new.select("key", "value", F.col("seq").cast("bigint").alias("seq")))
-    distinct = sightings.groupBy("key", "value").agg(F.min("seq").alias("seq"))
+    before = old.select("key", F.posexplode("common_values").alias("_i", "value"), F.size("common_values").alias("_n")).select(
+        "key", "value", (F.col("_i") - F.col("_n")).cast("bigint").alias("seq"),
+        F.lit(None).cast("struct<seq:bigint,position:int,name:string>").alias("new"), F.lit(None).cast("boolean").alias("empty"),
+    )
+    # Spellings of one column that differ only in case meet here, on the reduced rows.
+    distinct = (
+        before.unionByName(new)
+        .groupBy("key", "value")
+        .agg(F.min("seq").alias("seq"), F.min("new").alias("new"), F.bool_and("empty").alias("empty"))
+    )
     latest = Window.partitionBy("key").orderBy(F.desc("seq"), F.desc("value"))
+    # The list carries every column of `distinct`, so that this branch and the next share one shuffle.
+    item = F.struct((-F.col("_rn")).alias("_o"), "value", "new", "empty")
     values = (
         distinct.withColumn("_rn", F.row_number().over(latest))
         .where(F.col("_rn") <= keep)
         .groupBy("key")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct((-F.col("_rn")).alias("_o"), "value"))), lambda e: e["value"]
-            ).alias("common_values"),
-        )
+        .agg(F.transform(F.array_sort(F.collect_list(item)), lambda e: e["value"]).alias("common_values"))
     )
-    fresh = distinct.groupBy("key").agg((F.max("seq") >= 0).alias("_new_value"))
-    columns = new.groupBy("key").agg(
-        F.min_by("type", "seq").alias("first_type"),
+    kind = F.when(F.col("empty"), "string").when(F.col("new").isNotNull(), infer_type(F.col("value")))
+    columns = distinct.withColumn("type", kind).groupBy("key").agg(
+        (F.max("seq") >= 0).alias("_new_value"),
+        F.min_by("type", "new.seq").alias("first_type"),
         F.collect_set(F.when(F.col("type") != "string", F.col("type"))).alias("_types"),
-        F.min_by("name", F.struct("seq", "position")).alias("new_name"),
-        F.min(F.struct("seq", "position")).alias("_at"),
+        F.min("new").alias("_at"),
     )
     start = F.coalesce("data_type", "first_type")
     kinds = F.array_union(F.coalesce("_types", F.array().cast("array<string>")), F.array(start))
     merged_type = F.when((start != "string") & (F.size(kinds) > 1), "string").otherwise(start)
-    name = F.coalesce("name", "new_name")
+    name = F.coalesce("name", "_at.name")
+    # Every key of `old` without values or cells is kept by the full join.
     return (
         columns.join(old.drop("common_values"), "key", "full")
         .join(values, "key", "left")
-        .join(fresh, "key", "left")
         .select(
             name.alias("name"),
             F.coalesce("normalized_name", normalize_column(name)).alias("normalized_name"),

@@ -28,6 +28,7 @@ class RecordStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._bucket_counts: dict[str, int] = {}
 
     def _path(self, collection: str) -> str:
         return f"{self.root}/records/{collection}"
@@ -60,15 +61,19 @@ class RecordStore:
 
     def drop(self, collection: str) -> None:
         """Drop a collection and its records; a missing one is not an error."""
+        self._bucket_counts.pop(collection, None)
         for path in (self._path(collection), f"{self.root}/collections/name={collection}"):
             fs, target = self._files(path)
             fs.delete(target, True)
 
     def buckets(self, collection: str) -> int:
-        row = self.list_collections().where(F.col("collection") == collection).first()
-        if row is None:
-            raise ValueError(f"collection {collection!r} does not exist")
-        return row["buckets"]
+        """Bucket count of a collection; fixed at creation, so read once."""
+        if collection not in self._bucket_counts:
+            row = self.list_collections().where(F.col("collection") == collection).first()
+            if row is None:
+                raise ValueError(f"collection {collection!r} does not exist")
+            self._bucket_counts[collection] = row["buckets"]
+        return self._bucket_counts[collection]
 
     def _bucketed(self, collection: str, df: DataFrame) -> DataFrame:
         # The bucket depends on nothing but the id, so readers can compute it.

@@ -104,7 +104,8 @@ SELECT question_id, vec_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(rank AS IN
 QUALIFY row_number() OVER (PARTITION BY question_id, vec_id ORDER BY ordinal, rank) = 1""")
 def q_search_multi_filter(spark, sf):
     """One question per label, each with two or three filters over all vectors."""
-    stored = vectors(spark, sf).withColumn("collection", F.lit("vec"))
+    # A column, as in a stored table, not a constant the optimizer could fold the join key to.
+    stored = vectors(spark, sf).withColumn("collection", F.when(F.col("vec_id").isNotNull(), "vec"))
     questions = load(spark, sf, "embeddings").groupBy(F.col("label").alias("question_id")).agg(
         F.min_by("embedding", "vec_id").alias("question_vector")
     ).withColumn("collection", F.lit("vec"))
