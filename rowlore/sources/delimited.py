@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from rowlore.functions.maps import last_wins
 from rowlore.functions.names import normalize_header
 from rowlore.model import DecodeOptions
-from rowlore.plans.sizing import BROADCAST_ROWS
-from rowlore.sources.folders import file_name, scan_files
+from rowlore.plans.sizing import broadcast_if_small, materialize
+from rowlore.sources.folders import file_name
 
 # A line never holds a line break, so it can stand for a field separator.
 SEPARATOR = "\n"
-LEAST_SPLIT = 1 << 20
 CELLS = "array<struct<key:string,value:string>>"
 
 
@@ -59,11 +58,10 @@ def numbered_lines(spark: SparkSession, path: str, pattern: str = "*.csv", recur
     )
 
 
-def _block_bound(spark: SparkSession, path: str, pattern: str, recursive: bool) -> int:
-    """An upper bound on the number of file blocks, from the listing alone."""
-    # With few bytes per core splits shrink towards the open cost (4 MB), never below a quarter of it.
-    files = scan_files(spark, path, pattern, recursive)
-    return files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / LEAST_SPLIT) + 1), F.lit(0))).first()[0]
+def pin_splits(spark: SparkSession) -> None:
+    """Cut files alike in every pass, whatever number of executors is up at the time."""
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
 def header_names(fields: Column, options: DecodeOptions) -> Column:
@@ -85,29 +83,31 @@ def read_lines(
 ) -> DataFrame:
     """Every line below the header with its 1-based number, fields and the file's header.
 
-    Files stay splittable: lines are counted per file block, the counts summed
-    per file, and each block's offset joined back. The lines themselves are not
-    shuffled while the block table is provably small; beyond the bound the join
-    shuffles on (path, block), whose groups are one block large.
+    Files stay splittable. One pass counts the lines of each file block, one
+    picks the header lines, one reads the rows; the two small tables between
+    them are written to the shared folder. The lines themselves are not shuffled
+    while the block table is provably small; beyond the bound the join shuffles
+    on (path, block), whose groups are one block large.
     """
+    pin_splits(spark)
     lines = numbered_lines(spark, path, pattern, recursive)
     per_block = lines.groupBy("path", "block").agg(F.min("rid").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = per_block.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    small = _block_bound(spark, path, pattern, recursive) <= BROADCAST_ROWS
-
-    def sized(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df
-
-    at = F.col("rid") - F.col("first") + F.col("offset")
-    placed = lines.join(sized(blocks), ["path", "block"]).withColumn("line", (at + 1).cast("int"))
+    blocks = materialize(
+        per_block.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "blocks"
+    )
+    at = F.col("rid") - F.col("first") + F.col("offset") + 1
+    lost = F.raise_error("a file changed or was split differently while it was read")
+    line = F.when(F.col("first").isNotNull(), at).otherwise(lost.cast("bigint"))
+    placed = lines.join(broadcast_if_small(blocks), ["path", "block"], "left").withColumn("line", line.cast("int"))
     header_line = options.header_row_index + 1
     headers = placed.where(F.col("line") == header_line).select(
         "path", header_names(split_line(F.col("value")), options).alias("header")
     )
+    headers = materialize(headers, "headers")
     return (
         placed.where(F.col("line") > header_line)
-        .join(sized(headers), "path", "left")
+        .join(broadcast_if_small(headers), "path", "left")
         .select(
             "path",
             file_name(F.col("path")).alias("file"),
