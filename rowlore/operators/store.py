@@ -102,14 +102,16 @@ class RecordStore:
     def upsert(self, collection: str, batch: DataFrame, order: str = "ingest_seq") -> None:
         """Write records; for equal (dataset, id) the highest `order` wins.
 
-        Only buckets that receive records are read and rewritten. The merged
-        rows are written aside first, so no plan overwrites what it reads and a
-        failed job leaves the old files in place.
+        Only buckets that receive records are read and rewritten. The batch is
+        evaluated once; merged rows are written aside first, so no plan
+        overwrites what it reads and a failed job leaves the old files in place.
         """
-        incoming = self._bucketed(collection, as_records(batch))
+        incoming = materialize(self._bucketed(collection, as_records(batch)), "incoming")
+        if not self._exists(self._path(collection)):
+            self._write(collection, latest(incoming, order))
+            return
         affected = self._touched(self.read(collection), incoming)
-        merged = latest(affected.unionByName(incoming), order)
-        self._write(collection, materialize(merged, "upsert"))
+        self._write(collection, materialize(latest(affected.unionByName(incoming), order), "upsert"))
 
     # S10
     def delete(self, collection: str, keys: DataFrame) -> None:
