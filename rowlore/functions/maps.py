@@ -38,7 +38,3 @@ def entries_to_variant(entries: Column, convert: Callable[[Column], Column]) ->
     """Entries without repeated keys to one VARIANT object."""
     values = F.transform(entries, lambda e: convert(e["value"]))
     return F.to_variant_object(F.map_from_arrays(keys_of(entries), values))
-
-
-def map_to_entries(m: Column) -> Column:
-    return F.map_entries(m)

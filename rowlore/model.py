@@ -13,7 +13,6 @@ LIST_LIMIT = 5
 TOP_VALUES_LIMIT = 10
 RECORDS_LIMIT = 100
 SEARCH_LIMIT = 100
-FIELD_SAMPLE = 100
 TYPE_SAMPLE_ROWS = 100
 COMMON_VALUES = 10
 CHUNK_TOKENS = 1000
