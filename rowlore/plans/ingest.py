@@ -15,6 +15,7 @@ from rowlore.functions.values import infer_type
 from rowlore.model import TYPE_SAMPLE_ROWS, VECTOR_WIDTH, DecodeOptions
 from rowlore.operators.catalog import collect_columns, describe_cells, first_rows
 from rowlore.operators.text import embed_text
+from rowlore.plans.sizing import materialize
 from rowlore.sources.decoders import decode
 
 
@@ -58,9 +59,11 @@ def ingest_tabular(
     same rows; no value is drawn at random.
     """
     when = F.lit(imported_at).cast("timestamp")
-    rows = decode(spark, path, extension, options).withColumn(
-        "dataset", effective_dataset_name(F.lit(dataset), F.col("file"))
-    )
+    rows = decode(spark, path, extension, options)
+    if extension != "csv":
+        # Records and catalog both read the rows: decode in Python once.
+        rows = materialize(rows, "decoded")
+    rows = rows.withColumn("dataset", effective_dataset_name(F.lit(dataset), F.col("file")))
     rows = rows.withColumn("schema_id", schema_id(F.col("file"), when, F.concat_ws("|", "dataset", "path"))).withColumn(
         "import_batch_id", F.sha2(F.concat_ws("|", "dataset", "path", when.cast("string")), 256)
     )
