@@ -11,10 +11,6 @@ from rowlore.queries.book import PART_COLUMNS, Book, as_record_form, catalog, ca
 
 BOOK = Book()
 WIDTH = 64
-QUESTION = F.concat(
-    F.lit("Show every "), F.lower("p_type"), F.lit(" item named "), "p_name", F.lit(" of brand "), "p_brand",
-    F.lit(" with a size of "), F.col("p_size").cast("string"),
-)
 QUESTION_SQL = "'Show every ' || lower(p_type) || ' item named ' || p_name || ' of brand ' || p_brand || ' with a size of ' || p_size"
 WORDS = "list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda t: t <> '')"
 NAME_WORDS = "list_filter(string_split_regex(lower(replace({c}, '_', ' ')), '[^\\p{{L}}\\p{{Nd}}]+'), lambda t: t <> '')"
@@ -22,7 +18,11 @@ NAME_WORDS = "list_filter(string_split_regex(lower(replace({c}, '_', ' ')), '[^\
 
 def part_questions(spark, sf):
     """One question per part."""
-    return load_spread(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), QUESTION.alias("question"))
+    question = F.concat(
+        F.lit("Show every "), F.lower("p_type"), F.lit(" item named "), "p_name", F.lit(" of brand "), "p_brand",
+        F.lit(" with a size of "), F.col("p_size").cast("string"),
+    )
+    return load_spread(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), question.alias("question"))
 
 
 @BOOK.query("rank_datasets", f"""

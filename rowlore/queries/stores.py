@@ -10,12 +10,12 @@ from rowlore.queries.book import Book, load
 BOOK = Book()
 
 
-def order_records(df, seq: int, price=F.col("o_totalprice")):
+def order_records(df, seq: int, price: str = "o_totalprice"):
     return df.select(
         F.col("o_orderpriority").alias("dataset"), F.col("o_orderkey").cast("string").alias("id"),
         F.lit("orders.parquet").alias("file"), F.lit("orders").alias("worksheet"),
         (F.col("o_orderkey") + 2).cast("int").alias("row_number"),
-        F.to_variant_object(F.create_map(F.lit("price"), price)).alias("data"),
+        F.to_variant_object(F.create_map(F.lit("price"), F.expr(price))).alias("data"),
         F.concat(F.lit("batch_"), F.col("o_orderstatus")).alias("import_batch_id"), F.lit(seq).cast("bigint").alias("ingest_seq"),
     )
 
@@ -26,7 +26,7 @@ def filled_store(spark, sf):
     store.create("orders", 64, 4)
     orders = load(spark, sf, "orders")
     store.upsert("orders", order_records(orders, 1))
-    store.upsert("orders", order_records(orders.where(F.col("o_orderstatus") == "F"), 2, F.col("o_totalprice") + 1))
+    store.upsert("orders", order_records(orders.where(F.col("o_orderstatus") == "F"), 2, "o_totalprice + 1"))
     return store
 
 

@@ -52,6 +52,12 @@ def test_every_query_has_sql():
     assert set(entry.queries()) == set(entry.oracle_sql())
 
 
+def test_registry_needs_no_session():
+    root = str(Path(__file__).resolve().parent.parent)
+    code = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
 def test_functions_travel_by_value(tmp_path):
     """A worker without the package can load the package's functions."""
     file = tmp_path / "f.bin"
