@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlore.llm.common import ChunkTable, in_groups
+from rowlore.llm.common import in_groups
 from rowlore.plans.sizing import materialize
 
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 TABLE_LIMIT = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -28,27 +29,45 @@ CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _TABLES: dict = {}
 
 
-def _id_table(path: str | None) -> ChunkTable:
-    """This worker's table of chunks and their ids as little-endian unsigned 32-bit numbers."""
-    if path not in _TABLES:
-        import os
+class IdTable(dict):
+    """Chunks and their ids as little-endian unsigned 32-bit numbers; a chunk is encoded when first asked for.
+
+    The default vocabulary is also there as ranks, which encode a short chunk
+    faster; a chunk with a special token's text goes to the tokenizers library.
+    """
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str | None):
+        import base64
+
+        import public_tokenizers
         from tokenizers import Tokenizer
 
+        self.model = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.encode = None
         if path is None:
-            import public_tokenizers
+            import tiktoken
+
+            with open(public_tokenizers.path(RANKS), "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            pattern = public_tokenizers.PATTERN
+            self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-            name = public_tokenizers.path(VOCABULARY)
+    def __missing__(self, chunk: str) -> bytes:
+        if self.encode is None or any(t in chunk for t in self.special):
+            ids = self.model.encode(chunk, add_special_tokens=False).ids
         else:
-            name = path
-        model = Tokenizer.from_file(name)
+            ids = self.encode(chunk)
+        self[chunk] = blob = np.array(ids, "<u4").tobytes()
+        return blob
 
-        def ids(chunks: list[str]) -> list[bytes]:
-            encoded = model.encode_batch_fast(chunks, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-        _TABLES[path] = ChunkTable(ids, TABLE_LIMIT)
+def _id_table(path: str | None) -> IdTable:
+    """This worker's table; one over the limit starts anew, which costs time but changes no id."""
+    if path not in _TABLES:
+        _TABLES[path] = IdTable(path)
+    elif len(_TABLES[path]) > TABLE_LIMIT:
+        _TABLES[path].clear()
     return _TABLES[path]
 
 
@@ -62,15 +81,13 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     end = np.array([end_id], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _id_table(vocabulary)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, texts in in_groups(batch.column(1).to_pylist()):
-                cut = [CHUNK.findall(t) for t in texts]
-                known = table.load(cut)
+                ids_of = _id_table(vocabulary).__getitem__
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for i, chunks in enumerate(cut, first):
-                    blob = b"".join(map(known.__getitem__, chunks)) + end
+                for i, text in enumerate(texts, first):
+                    blob = b"".join(map(ids_of, CHUNK.findall(text))) + end
                     total = len(blob) // 4
                     start, piece, stop = 0, 0, (total - 1) % capacity + 1
                     while start < total:
