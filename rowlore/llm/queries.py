@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from rowlore.llm.common import documents
 from rowlore.llm.packing import pack_documents
 from rowlore.llm.pieces import encode_decode
+from rowlore.llm.quality_rules import judge
 from rowlore.llm.secret_scan import find_secrets
+from rowlore.llm.simhash import near_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +28,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that labels call good: the target of the likelihood ratio."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge(documents(spark, sf_dir).select("doc_id", "text"), trusted(spark, sf_dir))
+    return found.drop("text")
+
+
 def all_queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
