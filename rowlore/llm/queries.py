@@ -12,6 +12,7 @@ from rowlore.llm.pieces import encode_decode
 from rowlore.llm.quality_rules import judge
 from rowlore.llm.secret_scan import find_secrets
 from rowlore.llm.simhash import near_groups
+from rowlore.llm.suffixes import without_earlier_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_earlier_passages(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
