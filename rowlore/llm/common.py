@@ -22,16 +22,6 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(fold == 0, F.lit(True))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """At most `rows` learnable (doc_id, label) rows, chosen by a hash of the id; one row an id.
-
-    The bound keeps a model's training set the same size at any input size.
-    """
-    known = labels.filter(F.col(label).isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(label).alias("label"))
-    present = docs.select("doc_id").distinct()
-    return known.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-
-
 class ChunkTable:
     """Values of distinct chunks: each chunk that is not in the table yet is computed once.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowlore.llm import quality_model, toxicity
 from rowlore.llm.common import documents
 from rowlore.llm.packing import pack_documents
 from rowlore.llm.pieces import encode_decode
@@ -47,6 +48,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_model.score(docs, quality_model.fit(docs, labels(spark, sf_dir)))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
