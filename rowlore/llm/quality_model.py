@@ -24,19 +24,24 @@ RATE = 0.1
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every word, of every run of bytes of the given lengths, and of words said twice in a row."""
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, share) of every word, word said twice in a row, and run of bytes of each length.
+
+    Words and each length of runs have equal parts in a text; within a part all
+    of its features have equal shares.
+    """
     text = Bytes(texts)
     start, stop = text.words()
     words = text.hashes(start, stop)
     twice = np.flatnonzero((words[1:] == words[:-1]) & (text.doc[start[1:]] == text.doc[start[:-1]]))
-    own, found = [text.doc[start], text.doc[start[twice]]], [words, np.full(len(twice), 1, np.uint64)]
+    parts = [(np.concatenate([text.doc[start], text.doc[start[twice]]]), np.concatenate([words, np.full(len(twice), 1, np.uint64)]))]
     for n in GRAMS:
         doc, value = text.grams(n)
-        own.append(doc)
-        found.append(value + np.uint64(n))
-    bucket = mixed(np.concatenate(found)) & np.uint64((1 << BUCKET_BITS) - 1)
-    return np.concatenate(own), bucket.astype(np.int64)
+        parts.append((doc, value + np.uint64(n)))
+    own, found = (np.concatenate(c) for c in zip(*parts))
+    share = np.concatenate([1 / (len(parts) * np.bincount(doc, minlength=len(texts))[doc]) for doc, _ in parts])
+    bucket = mixed(found) & np.uint64((1 << BUCKET_BITS) - 1)
+    return own, bucket.astype(np.int64), share
 
 
 @dataclass
@@ -53,9 +58,8 @@ class QualityModel:
         base = self.bias[1] - self.bias[0]
         logit = np.full(len(texts), float(base))
         for first, last in chunks(texts):
-            own, bucket = features(texts[first:last])
-            number = np.bincount(own, minlength=last - first)
-            logit[first:last] += np.bincount(own, worth[bucket], last - first) / np.maximum(number, 1)
+            own, bucket, share = features(texts[first:last])
+            logit[first:last] += np.bincount(own, worth[bucket] * share, last - first)
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
@@ -114,10 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> QualityModel |
         for batch in batches:
             rows = batch.column(2).to_pylist()
             for first, last in chunks(rows):
-                own, bucket = features(rows[first:last])
-                pairs, often = np.unique(own << BUCKET_BITS | bucket, return_counts=True)
-                doc = pairs >> BUCKET_BITS
-                share = often / np.bincount(own, minlength=last - first)[doc]
+                own, bucket, each = features(rows[first:last])
+                pairs, place = np.unique(own << BUCKET_BITS | bucket, return_inverse=True)
+                doc, share = pairs >> BUCKET_BITS, np.bincount(place, each)
                 bounds = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=last - first))].astype(np.int32))
                 buckets = pa.ListArray.from_arrays(bounds, pa.array((pairs & (1 << BUCKET_BITS) - 1).astype(np.int32)))
                 shares = pa.ListArray.from_arrays(bounds, pa.array(share.astype(np.float32)))
