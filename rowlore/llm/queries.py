@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rowlore.llm import quality_model, toxicity
 from rowlore.llm.common import documents
+from rowlore.llm.near_vectors import near_vectors
 from rowlore.llm.packing import pack_documents
 from rowlore.llm.pieces import encode_decode
 from rowlore.llm.quality_rules import judge
@@ -62,6 +63,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
