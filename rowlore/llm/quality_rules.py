@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]"
 SPACE_CHARACTERS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "base_failed", "kept")
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -97,7 +98,9 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
     its words in five-word windows that occur again. Of the others those are kept
     whose ratio reaches the threshold. Null and empty texts have no words and
     fail. Each row is judged alone; rows with equal or null doc_id are kept apart.
+    Input columns of the names added, or with the names of steps, are left out.
     """
+    docs = docs.select(*(c for c in docs.columns if c not in ADDED and not c.startswith("_")))
     found = likelihood_ratio(text_counts(docs), bucket_weights(docs, trusted, buckets), buckets)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     found = found.withColumn("base_failed", failed)

@@ -85,7 +85,7 @@ def test_native_plan_without_shuffle_of_texts(spark, sf):
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(None, long, None, None, None), (7, long, "en", "s", 1), (7, long, "en", "s", 1)], DOCS)
-    docs = docs.withColumn("ratio0", F.lit(0))
+    docs = docs.withColumn("ratio", F.lit("clash")).withColumn("_t", F.lit(0)).withColumn("n_words", F.lit(0))
     none = spark.createDataFrame([], "doc_id long")
     assert [(r["kept"], r["ratio"]) for r in judge(docs, none).collect()] == [(True, 0.0)] * 3
     assert judge(docs.limit(0), none).count() == 0
