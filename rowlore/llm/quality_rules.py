@@ -103,5 +103,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
     docs = docs.select(*(c for c in docs.columns if c not in ADDED and not c.startswith("_")))
     found = likelihood_ratio(text_counts(docs), bucket_weights(docs, trusted, buckets), buckets)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    found = found.withColumn("base_failed", failed)
-    return found.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
+    # A filter on `kept` must not move below the counts: it would repeat their arrays inside
+    # each other's lambdas. Spark moves none below a row number.
+    found = found.withColumn("_row", F.monotonically_increasing_id()).withColumn("base_failed", failed)
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold) & (F.col("_row") >= 0)).drop("_row")
