@@ -24,7 +24,7 @@ STEPS = WIDTH - KMER + 1
 LEFT = STEPS - 1
 # A row of a sorted run: bytes from the anchor on, bytes before it backwards, first and last window.
 ROW = WIDTH + LEFT + 2
-RUN_BYTES = 16 << 20
+RUN_BYTES = 6 << 20
 LEAST_RUNS = 64
 CHUNK = 1 << 18
 # Anchors' bytes that more suffixes than this share are dealt by window instead.
