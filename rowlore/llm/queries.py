@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rowlore.llm import quality_model, toxicity
+from rowlore.llm.chat import FORMAT_SQL, format_conversations
 from rowlore.llm.common import documents
 from rowlore.llm.near_vectors import near_vectors
 from rowlore.llm.packing import pack_documents
@@ -58,6 +59,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.fit(docs, labels(spark, sf_dir)))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
@@ -72,4 +77,4 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_format": FORMAT_SQL}
