@@ -49,9 +49,9 @@ def encode_id(c: Column) -> Column:
 
 
 def decode_id(c: Column) -> Column:
-    """P8 reversed; malformed ids decode to the empty string."""
+    """P8 reversed; ids that are no base64 of UTF-8 text decode to the empty string."""
     raw = F.try_to_binary(F.replace(c, F.lit("_"), F.lit("=")), F.lit("base64"))
-    return F.when(c.isNotNull(), F.coalesce(F.decode(raw, "UTF-8"), F.lit("")))
+    return F.when(c.isNotNull(), F.coalesce(F.try_validate_utf8(raw.cast("string")), F.lit("")))
 
 
 def sanitize_name(c: Column) -> Column:

@@ -22,6 +22,8 @@ def as_matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     kept = vectors.filter(pa.array(present))
     flat = kept.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     width = flat.size // len(kept) if len(kept) else 0
+    if len(kept) and (np.asarray(kept.value_lengths()) != width).any():
+        raise ValueError("vectors of different widths")
     return flat.reshape(len(kept), width), present
 
 

@@ -13,13 +13,11 @@ LIST_LIMIT = 5
 TOP_VALUES_LIMIT = 10
 RECORDS_LIMIT = 100
 SEARCH_LIMIT = 100
-TYPE_SAMPLE_ROWS = 100
 COMMON_VALUES = 10
 CHUNK_TOKENS = 1000
 CHUNK_OVERLAP = 100
 ANSWER_MATCHES = 5
 DATASET_CANDIDATES = 3
-FILTER_TEMPLATES = 5
 VECTOR_WIDTH = 1536
 
 COLUMN_STRUCT = (

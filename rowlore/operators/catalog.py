@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowlore.functions.names import normalize_column, normalize_header
 from rowlore.functions.values import infer_type, validate_value
-from rowlore.model import COMMON_VALUES, TYPE_SAMPLE_ROWS
+from rowlore.model import COMMON_VALUES
 from rowlore.plans.sizing import broadcast_if_small
 
 # Tags every dataset description lists, and examples shown.
@@ -16,12 +16,14 @@ DESCRIBED_EXAMPLES = 5
 LISTED_EXAMPLES = 3
 
 
-def first_rows(df: DataFrame, n: int, order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """The first rows of the table, or of each group.
+def first_rows(df: DataFrame, n: int | None, order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """The first rows of the table, or of each group; all of them without a number.
 
     Groups are cut before the shuffle (window group limit), so a large file
     ships only its first rows.
     """
+    if n is None:
+        return df
     if not by:
         return df.orderBy(*order).limit(n)
     w = Window.partitionBy(*by).orderBy(*order)
@@ -81,11 +83,12 @@ def extract_schema(
     order: str,
     typed: bool = True,
     by: tuple[str, ...] = (),
-    sample_rows: int = TYPE_SAMPLE_ROWS,
+    sample_rows: int | None = None,
 ) -> DataFrame:
     """One row per column with name, normalised name, type and common values.
 
     `typed=False` gives every column the type string, as delimited text does.
+    All rows count unless `sample_rows` asks for the first ones only.
     """
     sample = first_rows(df.select(*by, *{order, *columns}), sample_rows, (order,), by)
     return describe_cells(to_cells(sample, columns, F.col(order), by), typed, by)

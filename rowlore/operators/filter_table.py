@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlore.functions.names import normalize_filter_key
-from rowlore.model import FILTER_TEMPLATES, FuzzyMatch
+from rowlore.model import FuzzyMatch
 from rowlore.plans.sizing import BROADCAST_BYTES, BROADCAST_ROWS, materialize, measured
 
 # Filters per array in the shuffled form.
@@ -39,7 +39,7 @@ def filter_templates(replies: DataFrame, reply: str = "reply", by: tuple[str, ..
     rows = (
         replies.select(*by, parsed.alias("_json"))
         .select(*by, F.when(broken, F.array().cast("array<variant>")).otherwise(valid).alias("_objects"))
-        .select(*by, F.posexplode_outer(F.slice("_objects", 1, FILTER_TEMPLATES)).alias("_pos", "_object"))
+        .select(*by, F.posexplode_outer("_objects").alias("_pos", "_object"))
     )
     members = F.filter(
         F.map_entries(F.col("_object").try_cast("map<string,variant>")),

@@ -8,7 +8,10 @@ keys name tags. A list value means any of its items.
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Iterable, Mapping, Sequence
+from datetime import date, datetime
+from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
 from typing import Any
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlore.functions.names import filter_key
-from rowlore.model import FuzzyMatch, field_type, resolve_field
+from rowlore.model import FuzzyMatch, field_type, real_column, resolve_field, variant_path
 
 log = logging.getLogger(__name__)
 
@@ -57,7 +60,7 @@ def _exact(df: DataFrame, name: str, values: list[str], fuzzy: FuzzyMatch) -> Co
     """Equality with any of the values; whole numbers keep their column bare for pushdown."""
     kind, field = field_type(df, name), resolve_field(df, name)
     if kind in INTEGERS:
-        numbers = [int(v) for v in values if v.lstrip("-").isdigit() and str(int(v)) == v]
+        numbers = [int(v) for v in values if re.fullmatch("-?[0-9]+", v) and str(int(v)) == v]
         return field.isin(*numbers) if numbers else F.lit(False)
     text = field if kind == "string" else field.cast("string")
     folded = [_folded(v, fuzzy) for v in values]
@@ -84,6 +87,20 @@ def _is_list(value: Any) -> bool:
     return isinstance(value, Iterable) and not isinstance(value, (str, bytes, Mapping))
 
 
+def _variant_equals(field: Column, value: Any) -> Column:
+    """A field of a generic record equals a typed value: only values of that kind do, texts do not.
+
+    Records keep dates as text, so a date is compared with a text that is one.
+    """
+    kind = F.schema_of_variant(field)
+    if isinstance(value, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(field, "$", "boolean") == F.lit(value))
+    if isinstance(value, (int, float, Decimal)):
+        return kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(field, "$", "double") == F.lit(float(value)))
+    target = "timestamp" if isinstance(value, datetime) else "date"
+    return kind.rlike("^(DATE|TIMESTAMP|STRING)") & (F.try_variant_get(field, "$", "string").try_cast(target) == F.lit(value))
+
+
 def data_condition(df: DataFrame, key: str, value: Any, fuzzy: FuzzyMatch = FuzzyMatch()) -> Column | None:
     """One condition on a data field, or None when there is nothing to test."""
     name = filter_key(key)[len("data."):]
@@ -96,7 +113,11 @@ def data_condition(df: DataFrame, key: str, value: Any, fuzzy: FuzzyMatch = Fuzz
         items = [str(v) for v in value if v is not None and str(v) != ""]
         return _strings(df, name, items, fuzzy) if items else None
     field = resolve_field(df, name)
-    target = {bool: "boolean", int: "bigint", float: "double"}[type(value)]
+    if real_column(df, name) is None and "data" in df.columns:
+        return _variant_equals(F.try_variant_get(F.col("data"), variant_path(name), "variant"), value)
+    target = {bool: "boolean", int: "bigint", float: "double", date: "date", datetime: "timestamp"}.get(type(value), "string")
+    if isinstance(value, Decimal):
+        target = "decimal(38,18)"
     # Same-type columns stay bare so the comparison reaches the scan.
     native = field_type(df, name) in (target, *(INTEGERS if target == "bigint" else ()))
     return (field if native else field.try_cast(target)) == F.lit(value)

@@ -100,7 +100,7 @@ class RecordStore:
 
     # S8, S9
     def upsert(self, collection: str, batch: DataFrame, order: str = "ingest_seq") -> None:
-        """Write records; for equal (dataset, id) the highest `order` wins.
+        """Write records; for equal (dataset, id) the highest `order` wins, of equal ones the last write.
 
         Only buckets that receive records are read and rewritten. The batch is
         evaluated once; merged rows are written aside first, so no plan
@@ -111,7 +111,7 @@ class RecordStore:
             self._write(collection, latest(incoming, order))
             return
         affected = self._touched(self.read(collection), incoming)
-        self._write(collection, materialize(latest(affected.unionByName(incoming), order), "upsert"))
+        self._write(collection, materialize(latest(affected.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1))), order, "_new").drop("_new"), "upsert"))
 
     # S10
     def delete(self, collection: str, keys: DataFrame) -> None:
@@ -166,9 +166,13 @@ def as_records(df: DataFrame) -> DataFrame:
     )
 
 
-def latest(df: DataFrame, order: str = "ingest_seq") -> DataFrame:
-    """One row per (dataset, id), the highest `order`; repeats are cut before the shuffle."""
-    w = Window.partitionBy("dataset", "bucket", "id").orderBy(F.desc(order))
+def latest(df: DataFrame, order: str = "ingest_seq", *then: str) -> DataFrame:
+    """One row per (dataset, id), the highest `order`, of equal ones the highest `then`, batch, file, row and text.
+
+    Repeats are cut before the shuffle.
+    """
+    stable = ("import_batch_id", "file", "worksheet", "row_number", "text")
+    w = Window.partitionBy("dataset", "bucket", "id").orderBy(*(F.desc(c) for c in (order, *then, *stable)))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 

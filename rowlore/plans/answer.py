@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlore.functions.vectors import pair_relevance, rank_key
-from rowlore.model import ANSWER_MATCHES, DATASET_CANDIDATES, FILTER_TEMPLATES, SEARCH_LIMIT, FuzzyMatch
+from rowlore.model import ANSWER_MATCHES, DATASET_CANDIDATES, SEARCH_LIMIT, FuzzyMatch
 from rowlore.operators.aggregates import dedup_first
 from rowlore.operators.catalog import latest_schemas, schema_columns, validate_params
 from rowlore.operators.filter_table import filter_table_match, pack_filters
@@ -73,12 +73,12 @@ def known_values(schemas: DataFrame) -> DataFrame:
     )
 
 
-def derive_filters(asked: DataFrame, schemas: DataFrame, limit: int = FILTER_TEMPLATES) -> DataFrame:
+def derive_filters(asked: DataFrame, schemas: DataFrame, limit: int | None = None) -> DataFrame:
     """Filter rows `(question_id, ordinal, dataset_name, key, values)` for `(question_id, question, dataset_name)`.
 
     A value counts when its words appear in the question in a row. The first
     filter asks for all fields found; when there are several, one filter per
-    field follows, up to `limit` in all. A question without any gets one empty
+    field follows; a `limit` keeps the first ones. A question without any gets one empty
     filter (null key).
     """
     tokenised = asked.withColumn("_w", words(F.col("question"))).withColumn(
@@ -101,8 +101,9 @@ def derive_filters(asked: DataFrame, schemas: DataFrame, limit: int = FILTER_TEM
         F.size("_f") > 1,
         F.transform("_f", lambda f, i: F.struct((i + 1).alias("ordinal"), F.array(f).alias("fields"))),
     ).otherwise(F.slice(F.array(one), 1, 0))
+    every = F.concat(F.array(one), rest)
     templates = all_fields.select(
-        "question_id", "dataset_name", F.explode(F.slice(F.concat(F.array(one), rest), 1, limit)).alias("_t")
+        "question_id", "dataset_name", F.explode(every if limit is None else F.slice(every, 1, limit)).alias("_t")
     ).select("question_id", "dataset_name", "_t.ordinal", F.explode("_t.fields").alias("_e"))
     found = templates.select("question_id", "ordinal", "dataset_name", "_e.key", "_e.values")
     return (
@@ -139,10 +140,8 @@ def search_multi_filter(
     """Per filter the `limit` most similar records, filters in order, documents once.
 
     `questions` has `question_id, collection, question_vector`; `filters` has
-    `question_id, ordinal, key, values`. A limit of zero or less falls back to
-    the default.
+    `question_id, ordinal, key, values`. A limit of zero or less keeps all.
     """
-    limit = limit if limit > 0 else SEARCH_LIMIT
     placed = filters.join(questions.select("question_id", "collection"), "question_id")
     packed = pack_filters(placed, ("question_id", "ordinal"), fuzzy, "collection").withColumn(
         "filter", F.struct("question_id", "ordinal")
@@ -157,7 +156,8 @@ def search_multi_filter(
         .drop("question_vector", "filter", vector)
     )
     w = Window.partitionBy("question_id", "ordinal").orderBy(F.desc(rank_key(F.col("score"))), document)
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    ranked = ranked.where(F.col("rank") <= limit) if limit > 0 else ranked
     keyed = ranked.withColumn("_doc", F.struct("question_id", F.col(document).alias("id")))
     return dedup_first(keyed, "_doc", ("ordinal", "rank")).drop("_doc")
 

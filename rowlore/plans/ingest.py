@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowlore.functions.maps import last_wins
 from rowlore.functions.names import effective_dataset_name, normalize_column, row_key, schema_id
 from rowlore.functions.sentences import row_sentence
 from rowlore.functions.values import infer_type
-from rowlore.model import TYPE_SAMPLE_ROWS, VECTOR_WIDTH, DecodeOptions
+from rowlore.model import VECTOR_WIDTH, DecodeOptions
 from rowlore.operators.catalog import collect_columns, describe_cells, first_rows
 from rowlore.operators.text import embed_text
 from rowlore.plans.sizing import materialize
@@ -28,7 +28,7 @@ class Ingested:
 FILE = ("dataset", "path")
 
 
-def catalog_of(rows: DataFrame, typed: bool, sample_rows: int = TYPE_SAMPLE_ROWS) -> DataFrame:
+def catalog_of(rows: DataFrame, typed: bool, sample_rows: int | None = None) -> DataFrame:
     """C1 per dataset and file from decoded rows: `(dataset, path, columns)`."""
     sample = first_rows(rows.select(*FILE, "row_number", "cells"), sample_rows, ("row_number",), FILE)
     cells = sample.select(
@@ -127,6 +127,9 @@ def store_schemas(catalog: DataFrame | None, new: DataFrame) -> DataFrame:
     ready = new.withColumn("metadata", marked).withColumn(
         "file", F.coalesce(F.nullif("file", F.lit("")), "source_file")
     )
+    # Of new entries with one id the last import stays.
+    w = Window.partitionBy("id").orderBy(F.desc("import_date"), F.desc("file"), F.desc("import_batch_id"))
+    ready = ready.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     if catalog is None:
         return ready
     return catalog.join(ready.select("id").distinct(), "id", "left_anti").unionByName(ready)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,10 +46,12 @@ def spread(df: DataFrame) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in `spark.checkpoint.dir`; a local folder stands in
-    only where that is unset, as in tests.
+    The cluster names it in `spark.checkpoint.dir`. Only with a local master, as in
+    tests, a folder of this machine stands in where that is unset.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return named or os.path.join(tempfile.gettempdir(), "rowlore-scratch")
 
 

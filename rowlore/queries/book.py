@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlore.functions.values import BOOLEAN_PATTERN, DATE_PATTERN, NUMBER_PATTERN
-from rowlore.operators.catalog import collect_columns, describe_cells, first_rows, to_cells
+from rowlore.operators.catalog import collect_columns, describe_cells, to_cells
 from rowlore.plans.sizing import materialize, spread
 
 
@@ -103,7 +103,7 @@ DESCRIBED = {
 def catalog(spark: SparkSession, sf: str, tables: tuple[str, ...] = tuple(DESCRIBED)) -> DataFrame:
     """A stored catalog with one entry per table, derived from its rows."""
     samples = [
-        to_cells(first_rows(load(spark, sf, t), 100, (key,)), columns, F.col(key).cast("bigint")).withColumn(
+        to_cells(load(spark, sf, t), columns, F.col(key).cast("bigint")).withColumn(
             "dataset_name", F.lit(t)
         )
         for t in tables
@@ -126,10 +126,9 @@ def catalog_columns_sql(tables: tuple[str, ...] = tuple(DESCRIBED)) -> str:
     return "\nUNION ALL\n".join(f"SELECT '{t}' AS dataset, * FROM ({columns_sql(t, *DESCRIBED[t])})" for t in tables)
 
 
-def columns_sql(table: str, key: str, columns: list[str], rows: int = 100) -> str:
-    sample = f"(SELECT * FROM {table} ORDER BY {key} LIMIT {rows})"
+def columns_sql(table: str, key: str, columns: list[str]) -> str:
     return f"""
-WITH cells AS (SELECT *, {type_sql('v')} AS t FROM ({cells_sql(sample, key, columns)})),
+WITH cells AS (SELECT *, {type_sql('v')} AS t FROM ({cells_sql(table, key, columns)})),
 votes AS (SELECT position, col, count(*) FILTER (t = 'string' AND coalesce(v, '') <> '') AS s, count(*) FILTER (t = 'number' AND coalesce(v, '') <> '') AS n,
   count(*) FILTER (t = 'boolean' AND coalesce(v, '') <> '') AS b, count(*) FILTER (t = 'date' AND coalesce(v, '') <> '') AS d FROM cells GROUP BY ALL),
 seen AS (SELECT position, v, min(seq) AS seq FROM cells WHERE coalesce(v, '') <> '' GROUP BY ALL),

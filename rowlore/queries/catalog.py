@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rowlore.operators.aggregates import dedup_first, filterable_fields, top_data_values, top_tag_values
 from rowlore.operators.catalog import (
-    common_values, describe_all, extract_schema, first_rows, infer_column_types, latest_schemas, list_datasets,
+    common_values, describe_all, extract_schema, infer_column_types, latest_schemas, list_datasets,
     list_fields, merge_schema, schema_for_record, to_cells, validate_params,
 )
 from rowlore.plans.ingest import store_schemas
@@ -37,7 +37,7 @@ def q_filterable_fields(spark, sf):
 
 
 def event_cells(spark, sf):
-    return to_cells(first_rows(load(spark, sf, "events"), 100, (EVENT_KEY,)), EVENT_COLUMNS, F.col(EVENT_KEY))
+    return to_cells(load(spark, sf, "events"), EVENT_COLUMNS, F.col(EVENT_KEY))
 
 
 @BOOK.query("infer_column_types", f"SELECT CAST(position AS INTEGER) AS position, col AS \"column\", kind AS data_type FROM ({columns_sql('events', EVENT_KEY, EVENT_COLUMNS)})")
@@ -97,7 +97,7 @@ SELECT name, data_type, common_values FROM ({merge_sql(
     f"SELECT position, col, kind, vals FROM ({columns_sql('part', 'p_partkey', PART_COLUMNS)})",
     cells_sql(NOTED, 'p_partkey', MERGED_COLUMNS), lambda c: f'lower({c})')})""")
 def q_merge_schema(spark, sf):
-    """New rows of every part folded into the columns known from the first ones."""
+    """Rows with one more column folded into the columns known before."""
     cells = to_cells(noted_parts(spark, sf), MERGED_COLUMNS, F.col("p_partkey"))
     return merge_schema(previous_columns(spark, sf), cells).select(
         "name", "data_type", F.array_join("common_values", "|").alias("common_values")

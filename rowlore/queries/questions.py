@@ -47,7 +47,7 @@ q AS (SELECT p_partkey AS question_id, ' ' || array_to_string({WORDS.format(c=QU
 m AS (SELECT question_id, key, string_agg(DISTINCT value, '|' ORDER BY value) AS vals, row_number() OVER (PARTITION BY question_id ORDER BY key) AS n,
     count(*) OVER (PARTITION BY question_id) AS fields FROM q JOIN v ON contains(text, ' ' || phrase || ' ') GROUP BY question_id, key)
 SELECT question_id, CAST(0 AS INTEGER) AS ordinal, key, vals AS "values" FROM m
-UNION ALL SELECT question_id, CAST(n AS INTEGER), key, vals FROM m WHERE fields > 1 AND n <= 4
+UNION ALL SELECT question_id, CAST(n AS INTEGER), key, vals FROM m WHERE fields > 1
 UNION ALL SELECT question_id, 0, NULL, NULL FROM q WHERE question_id NOT IN (SELECT question_id FROM m)""")
 def q_derive_filters(spark, sf):
     asked = part_questions(spark, sf).withColumn("dataset_name", F.lit("part"))
@@ -101,7 +101,7 @@ v AS (SELECT dataset, col, value, array_to_string({WORDS.format(c='value')}, ' '
 m AS (SELECT question_id, col, list(DISTINCT lower(value)) AS vals, row_number() OVER (PARTITION BY question_id ORDER BY col) AS n,
     count(*) OVER (PARTITION BY question_id) AS fields FROM q JOIN best USING (question_id) JOIN v USING (dataset)
   WHERE contains(' ' || array_to_string({WORDS.format(c='question')}, ' ') || ' ', ' ' || phrase || ' ') GROUP BY question_id, col),
-f AS (SELECT question_id, 0 AS ordinal, col, vals FROM m UNION ALL SELECT question_id, n, col, vals FROM m WHERE fields > 1 AND n <= 4
+f AS (SELECT question_id, 0 AS ordinal, col, vals FROM m UNION ALL SELECT question_id, n, col, vals FROM m WHERE fields > 1
   UNION ALL SELECT question_id, 0, NULL, NULL FROM q WHERE question_id NOT IN (SELECT question_id FROM m)),
 size AS (SELECT question_id, ordinal, count(col) AS wanted FROM f GROUP BY ALL),
 met AS (SELECT question_id, ordinal, CAST(seq AS VARCHAR) AS id, count(*) AS got FROM f JOIN ({cells_sql('part', 'p_partkey', PART_COLUMNS)}) x

@@ -15,6 +15,7 @@ def extension(path: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
+    """The last part of a URI, as in `_metadata.file_path`; paths of binary files are no URIs."""
     return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
 
 
@@ -23,17 +24,17 @@ def scan_files(
 ) -> DataFrame:
     """One row per file; `recursive=False` takes the root's own files only.
 
-    The content is only read when asked for, and each file is read by one task.
+    The content is only read when asked for, and each file is read by one task. A
+    file that cannot be read fails the job: none is left out silently.
     """
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
         .option("pathGlobFilter", pattern)
-        .option("ignoreCorruptFiles", "true")
     )
     files = reader.load(path)
     kept = ["path", "modificationTime", "length", *(["content"] if content else [])]
-    return files.select(*kept).withColumn("file", file_name(F.col("path"))).withColumn(
+    return files.select(*kept).withColumn("file", F.substring_index("path", "/", -1)).withColumn(
         "extension", extension(F.col("path"))
     )
 
