@@ -55,6 +55,10 @@ def similar(
     return ranked if least is None else min_relevance(ranked, least)
 
 
+# Records and questions of one score matrix: 8 MB, however many questions there are.
+TILE = 1024
+
+
 def _best(q: np.ndarray, score: np.ndarray, ids: pd.Series, k: int) -> pd.DataFrame:
     """The first k candidates of each question by rank, exact under ties."""
     found = pd.DataFrame({"q": q, "score": score, "key": np.round(score, TIE_DIGITS), "id": ids})
@@ -62,9 +66,9 @@ def _best(q: np.ndarray, score: np.ndarray, ids: pd.Series, k: int) -> pd.DataFr
     return found.groupby("q", sort=False).head(k)
 
 
-def _candidates(m: np.ndarray, ids: pd.Series, questions: np.ndarray, k: int) -> pd.DataFrame:
-    """Every record that can still be among a question's first k within this batch."""
-    scores = (1 + unit_rows(m) @ questions.T) / 2
+def _candidates(unit: np.ndarray, ids: pd.Series, questions: np.ndarray, k: int) -> pd.DataFrame:
+    """Every record that can still be among a question's first k within these rows."""
+    scores = (1 + unit @ questions.T) / 2
     keys = np.round(scores, TIE_DIGITS)
     if len(keys) > k:
         floor = -np.partition(-keys, k - 1, axis=0)[k - 1]
@@ -75,19 +79,23 @@ def _candidates(m: np.ndarray, ids: pd.Series, questions: np.ndarray, k: int) ->
 
 
 def _search(batches: Iterator[pa.RecordBatch], questions: np.ndarray, k: int) -> pd.DataFrame | None:
-    best = None
+    """The first k records of each question; scores exist for TILE records and TILE questions at a time."""
+    best: dict[int, pd.DataFrame] = {}
     for batch in batches:
         m, present = as_matrix(batch.column(1))
         if not m.size:
             continue
         ids = batch.column(0).filter(pa.array(present)).to_pandas()
         alive = (m * m).sum(axis=1) > 0
-        found = _candidates(m[alive], ids[alive].reset_index(drop=True), questions, k)
-        if best is not None:
-            both = pd.concat([best, found], ignore_index=True)
-            found = _best(both["q"].to_numpy(), both["score"].to_numpy(), both["id"], k)
-        best = found
-    return best
+        unit, ids = unit_rows(m[alive]), ids[alive].reset_index(drop=True)
+        for at in range(0, len(questions), TILE):
+            for i in range(0, len(unit), TILE):
+                found = _candidates(unit[i : i + TILE], ids[i : i + TILE].reset_index(drop=True), questions[at : at + TILE], k)
+                if at in best:
+                    both = pd.concat([best[at], found], ignore_index=True)
+                    found = _best(both["q"].to_numpy(), both["score"].to_numpy(), both["id"], k)
+                best[at] = found
+    return pd.concat([found.assign(q=found["q"] + at) for at, found in best.items()], ignore_index=True) if best else None
 
 
 def similar_batch(

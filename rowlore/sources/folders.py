@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Extensions that take the tabular path.
-TABULAR_EXTENSIONS = ("xlsx", "csv")
-
-
 def extension(path: Column) -> Column:
     """Lower-case extension without its dot, empty when there is none."""
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
@@ -40,9 +36,11 @@ def scan_files(
 
 
 def route(files: DataFrame) -> DataFrame:
-    """Adds `route`, `tabular` for workbooks and delimited text, else `text`."""
+    """Adds `route`, `tabular` for files that a registered decoder takes, else `text`."""
+    from rowlore.sources.decoders import DECODERS
+
     return files.withColumn(
-        "route", F.when(F.col("extension").isin(*TABULAR_EXTENSIONS), "tabular").otherwise("text")
+        "route", F.when(F.col("extension").isin(*DECODERS), "tabular").otherwise("text")
     )
 
 

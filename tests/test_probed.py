@@ -70,3 +70,21 @@ def test_new_schemas_with_one_id(spark):
     new = spark.sql("""SELECT * FROM VALUES ('s', timestamp'2024-01-01', 'a', 'x'), ('s', timestamp'2024-01-02', 'b', 'x'), ('t', timestamp'2024-01-01', '', 'y')
       AS v(id, import_date, file, source_file)""").selectExpr("*", "'b1' AS import_batch_id", "cast(map() AS map<string, string>) AS metadata")
     assert {(r["id"], r["file"]) for r in store_schemas(None, new).collect()} == {("s", "b"), ("t", "y")}
+
+
+def test_scores_come_in_tiles(monkeypatch):
+    from rowlore.operators import retrieve
+
+    rng = np.random.default_rng(3)
+    m, questions = rng.normal(size=(50, 4)), rng.normal(size=(23, 4))
+    questions /= np.linalg.norm(questions, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(m.tolist())], names=["id", "v"])
+    whole = retrieve._search(iter([batch]), questions, 3)
+    seen = []
+    part = retrieve._candidates
+    monkeypatch.setattr(retrieve, "TILE", 7)
+    monkeypatch.setattr(retrieve, "_candidates", lambda *a: (seen.append((len(a[0]), len(a[2]))), part(*a))[1])
+    tiled = retrieve._search(iter([batch]), questions, 3)
+    assert max(map(max, seen)) == 7
+    order = lambda df: df.sort_values(["q", "score", "id"])[["q", "id", "score"]].reset_index(drop=True)
+    assert order(whole)[["q", "id"]].equals(order(tiled)[["q", "id"]]) and np.allclose(order(whole)["score"], order(tiled)["score"])
