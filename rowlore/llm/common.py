@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +43,7 @@ class ChunkTable:
         return self.values
 
 
-def in_groups(texts: list, size: int = 1 << 20) -> Iterable[tuple[int, list[str]]]:
-    """(position, texts) of slices with about `size` characters; a null text is empty."""
-    start, total = 0, 0
-    for i, text in enumerate(texts):
-        total += len(text or "")
-        if total >= size:
-            yield start, [t or "" for t in texts[start : i + 1]]
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, [t or "" for t in texts[start:]]
+def in_groups(texts: pa.Array, rows: int = 512) -> Iterable[tuple[int, list[str]]]:
+    """(position, texts) of slices of an Arrow column, one in Python at a time; a null text is empty."""
+    for first in range(0, len(texts), rows):
+        yield first, [t or "" for t in texts.slice(first, rows).to_pylist()]

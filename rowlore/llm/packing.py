@@ -19,7 +19,7 @@ CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 # Unicode white space. The byte-level rule never joins a character to white space
@@ -83,7 +83,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, texts in in_groups(batch.column(1).to_pylist()):
+            for first, texts in in_groups(batch.column(1)):
                 ids_of = _id_table(vocabulary).__getitem__
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for i, text in enumerate(texts, first):

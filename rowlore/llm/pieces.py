@@ -15,7 +15,7 @@ from rowlore.llm.common import ChunkTable, in_groups
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 300_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _MODELS: dict = {}
 
@@ -75,7 +75,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, with_values: bool =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(model)
         for batch in batches:
-            for first, texts in in_groups(batch.column(1).to_pylist()):
+            for first, texts in in_groups(batch.column(1)):
                 found = list(own.run(texts))
                 columns = [
                     batch.column(0).slice(first, len(texts)),

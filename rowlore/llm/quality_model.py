@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3) -
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = QualityModel(*shared.value) if shared.value else None
-        for batch in batches:
+        for batch in (part.slice(i, 1024) for part in batches for i in range(0, part.num_rows, 1024)):
             texts = batch.column(2).to_pylist()
             found = own.scores(texts) if own else np.ones(len(texts))
             columns = [batch.column(0), batch.column(1), pa.array(found), pa.array((found >= threshold).astype(np.int32))]

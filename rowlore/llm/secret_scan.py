@@ -111,7 +111,7 @@ def find_secrets(docs: DataFrame, threshold: float = SCORE) -> DataFrame:
         for batch in batches:
             counts: tuple[list, ...] = ([], [], [])
             digests, spans, found = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in (t.as_py() for t in batch.column(1)):
                 base = base_spans(text) if text else []
                 for k, column in enumerate(counts):
                     column.append(sum(b[1] == k for b in base))
