@@ -17,11 +17,30 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "literal")
-# A name, and what may stand between it and its value: quotes, a type, an operator.
-NAME = re.compile(r"([A-Za-z_$][A-Za-z0-9_$.\-]{0,127})[\"'\]]{0,2}[ \t]{0,16}\Z")
+# What ends before an operator: a name with a quote or bracket after it, a name with array bounds, a size of a type.
+NAME = re.compile(r"([A-Za-z_$][A-Za-z0-9_$.\-]{0,127})[\"'\]]{0,2}[?!]?\Z")
+ARRAY = re.compile(r"([A-Za-z_$][A-Za-z0-9_$.\-]{0,127})(?:\[[A-Za-z0-9_ \t+*]{0,60}\])+\Z")
+SIZE = re.compile(r"\([0-9, ]{1,20}\)\Z")
+# What stands before the word of a type that follows its name (`var name *string = `), and such words.
+TYPE_PREFIX = re.compile(r"(?:\[[0-9.]{0,20}\]|[*&])+\Z")
+TYPE_WORDS = frozenset("string str text char nchar varchar nvarchar varchar2 nvarchar2 byte bytes rune any".split())
 OPERATOR = re.compile(r":=|=>|==|[:=]")
-VALUE = re.compile(r"[ \t]*(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s\"'`,;(){}\[\]<>]+))")
-IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z")
+# A type between `name:` and `=`: words with brackets of up to three levels, joined by `|`.
+BRACKETS = "|".join(
+    rf"{o}(?:[^{o}{c}\n]|{o}(?:[^{o}{c}\n]|{o}[^{o}{c}\n]*+{c})*+{c})*+{c}" for o, c in ((r"\[", r"\]"), ("<", ">"), (r"\(", r"\)"))
+)
+TYPE = rf"(?:(?:[&*]|\[[0-9]*+\]|'\w++[ \t]|(?:mut|const|dyn|readonly|unique)[ \t])[ \t]*+)*+[A-Za-z_$](?:[\w$.]|::)*+(?:{BRACKETS})*+[?!*&]*+"
+ANNOTATION = re.compile(rf"[ \t]*+{TYPE}(?:[ \t]*+\|[ \t]*+{TYPE})*+[ \t]*+=(?![=>~])", re.A)
+OPENING = re.compile(r"[ \t]*+((?:[(\[{][ \t\r\n]*+)*+)")
+QUOTED = re.compile(r"(?:[rRbBuUfFL@$]{1,2}(?=[\"']))?(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)")
+BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
+WORD = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*+")
+# What joins two parts of a value, and literals side by side; within brackets lines may break anywhere.
+JOIN = re.compile(r"(?:[ \t]*+(?:\\?\r?\n[ \t]++)?)(?:\+|&|\|\||\.\.?(?=[ \t]*+[\"'$]))[ \t]*+(?:\\?\r?\n[ \t]*+)?(?=[A-Za-z_$@\"'`])")
+BESIDE = re.compile(r"[ \t]*+(?:\\\r?\n[ \t]*+)?(?=[rRbBuUfFL@$]{0,2}[\"'])")
+BESIDE_INSIDE = re.compile(r"[ \t\r\n]*+(?=[rRbBuUfFL@$]{0,2}[\"'])")
+NEXT = re.compile(r"[ \t\r\n]*+,[ \t\r\n]*+")
+KEY_END = re.compile(r"[ \t]*+(?::|=)")
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 # Words of target names and how sensitive each is.
 SENSITIVE = {
@@ -49,39 +68,147 @@ def literal_weight(value: str) -> float:
     return min(entropy, 4.0) / 2 + 0.5 * mixed
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, quoted) of each assignment-like place, left to right.
+def skip_blanks_back(text: str, at: int) -> int:
+    while at and text[at - 1] in " \t":
+        at -= 1
+    return at
 
-    Covers `name = value`, `name: value`, `"name": "value"`, `name := value` and
-    `name => value`, with values quoted or bare up to white space or punctuation.
+
+def names_before(text: str, at: int) -> list[str]:
+    """The names that what follows the operator at `at` may belong to.
+
+    The word before the operator; the array before its bounds (`name[] =`); and the
+    word before a type that stands behind its name (`var name string =`,
+    `name varchar(50) =`, `name As String =`).
+    """
+    at = skip_blanks_back(text, at)
+    if size := SIZE.search(text, max(0, at - 24), at):
+        at = skip_blanks_back(text, size.start())
+    near = NAME.search(text, max(0, at - 150), at)
+    array = ARRAY.search(text, max(0, at - 300), at)
+    names = [m[1] for m in (near, array) if m]
+    if near:
+        prefix = TYPE_PREFIX.search(text, max(0, near.start() - 24), near.start())
+        start = prefix.start() if prefix else near.start()
+        end = skip_blanks_back(text, start)
+        before = NAME.search(text, max(0, end - 150), end) if end < start else None
+        if before and before[1].lower() == "as":
+            end = skip_blanks_back(text, before.start())
+            before = NAME.search(text, max(0, end - 150), end)
+        if before:
+            end = skip_blanks_back(text, before.start())
+            keyword = text[max(0, end - 5) : end]
+            is_type = near[1].lower() in TYPE_WORDS
+            if is_type or keyword.endswith("var") or keyword == "const" and before[1].lower() not in TYPE_WORDS:
+                names.append(before[1])
+    return names
+
+
+# A literal with its place, or the list of those that a constant was joined of.
+Part = tuple[str, int, int] | list
+
+
+def flat(parts: list[Part]) -> list[Part]:
+    """The literals of a value without white space, constants' in their place: what has white space is no part of a secret."""
+    out, rest = [], list(reversed(parts))
+    while rest:
+        if isinstance(part := rest.pop(), list):
+            rest.extend(reversed(part))
+        elif part[0] and not re.search(r"\s", part[0]):
+            out.append(part)
+    return out
+
+
+def joined_parts(text: str, at: int, inside: str, constants: dict[str, list[Part]]) -> tuple[list[Part] | None, int]:
+    """The literals that one value at `at` is joined of, constants replaced by theirs, and where it ends.
+
+    None where there is no value. A bare word that is no constant stands for
+    itself, if nothing else is joined to it.
+    """
+    parts, seen, first = [], False, at
+    while True:
+        if term := QUOTED.match(text, at):
+            group = term.lastindex
+            if inside == "{" and KEY_END.match(text, term.end()):
+                return None, term.end()
+            parts.append((term[group], term.start(group), term.end(group)))
+            seen = True
+        elif term := WORD.match(text, at):
+            whole = BARE.match(text, term.end(), term.end() + 1) is None
+            # A joined word before an operator is the next statement's name.
+            if (whole or JOIN.match(text, term.end())) and term[0] in constants and (at == first or not KEY_END.match(text, term.end())):
+                parts.append(constants[term[0]])
+                seen = True
+            elif not whole and not JOIN.match(text, term.end()):
+                break
+        else:
+            break
+        at = term.end()
+        beside = (BESIDE_INSIDE if inside else BESIDE).match(text, at) if text[at - 1] in "\"'`" else None
+        if not (more := beside or JOIN.match(text, at)):
+            break
+        at = more.end()
+    if seen:
+        return parts, at
+    bare = BARE.match(text, first)
+    if bare is None:
+        return None, first
+    # Within brackets a bare word is rather a name, a key or a call.
+    if inside and not (inside != "{" and text[bare.end() : bare.end() + 1] in (")", "]") and re.search("[0-9]", bare[0])):
+        return [], bare.end()
+    return [(bare[0], bare.start(), bare.end())], bare.end()
+
+
+def assignments(text: str) -> Iterator[tuple[str, str, list[Part]]]:
+    """(name, value, literals that it is joined of with their places, constants as lists) of each assignment-like place, left to right.
+
+    Covers `name = value`, `name: value`, `"name": "value"`, `name := value`,
+    `name => value`, `name: type = value`, `name type = value` and `name[] = value`,
+    with values quoted or bare up to white space or punctuation, in brackets (each
+    element of a list is a value), and joined of literals and constants.
+    A bare identifier stands for the literals last assigned to it above.
     A comparison is no assignment.
     """
+    constants: dict[str, list[Part]] = {}
     for op in OPERATOR.finditer(text):
         if op[0] == "==" or text[op.start() - 1 : op.start()] in ("!", "<", ">"):
             continue
-        name = NAME.search(text, max(0, op.start() - 150), op.start())
-        if not name or (value := VALUE.match(text, op.end())) is None:
+        if not (names := names_before(text, op.start())):
             continue
-        group = value.lastindex
-        yield name[1], value[group], value.start(group), value.end(group), group < 4
+        typed = ANNOTATION.match(text, op.end()) if op[0] == ":" else None
+        opening = OPENING.match(text, typed.end() if typed else op.end())
+        inside, at, values = opening[1].strip()[-1:], opening.end(), []
+        while True:
+            parts, at = joined_parts(text, at, inside, constants)
+            if parts:
+                values.append(parts)
+            after = NEXT.match(text, at) if inside and parts is not None else None
+            if not after:
+                break
+            at = after.end()
+        for name in names if values else ():
+            constants[name] = values[0] if len(values) == 1 else values
+            for parts in values:
+                yield name, "".join(p[0] for p in parts if isinstance(p, tuple)), parts
 
 
 def lexed_spans(text: str, threshold: float = SCORE) -> list[tuple[int, int]]:
-    """Places of literals that reach sensitive names, directly or through constants.
+    """Places of literals that reach sensitive names, directly, joined or through constants.
 
-    A bare identifier on the right stands for the literal last assigned to it
-    above; the literal's own place is reported, since that is what has to go.
+    The literals' own places are reported, since those have to go. Of joined
+    literals those without white space are weighed together and each alone.
     """
-    constants: dict[str, tuple[str, int, int]] = {}
-    found = []
-    for name, value, start, end, quoted in assignments(text):
-        if not quoted and IDENTIFIER.match(value) and value in constants:
-            value, start, end = constants[value]
-        constants[name] = (value, start, end)
-        weight = sensitivity(name)
-        if weight and (own := literal_weight(value)) and weight + own >= threshold:
-            found.append((start, end))
-    return sorted(set(found))
+    found = set()
+    for name, _, parts in assignments(text):
+        if not (weight := sensitivity(name)):
+            continue
+        parts = flat(parts)
+        own = literal_weight("".join(p[0] for p in parts))
+        if own and weight + own >= threshold:
+            found.update((start, end) for _, start, end in parts)
+        elif len(parts) > 1:
+            found.update((start, end) for value, start, end in parts if (one := literal_weight(value)) and weight + one >= threshold)
+    return sorted(found)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
