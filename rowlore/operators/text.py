@@ -61,8 +61,13 @@ def chunk_text(
     )
 
 
-def extract_text(html: Column) -> Column:
-    """Readable text of a web page; plain text passes through unchanged."""
+def extract_text(html: Column, is_page: Column | bool | None = None) -> Column:
+    """Readable text where `is_page` holds; what is no page passes through unchanged.
+
+    The flag comes from the file type. Without one (or where it is null) a text
+    with anything like a tag counts as a page, so plain text may lose what stands
+    in angle brackets.
+    """
     text = html
     for element in DROPPED_ELEMENTS:
         text = F.regexp_replace(text, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", " ")
@@ -71,7 +76,9 @@ def extract_text(html: Column) -> Column:
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
-    return F.when(html.rlike(r"(?i)<[a-z!/][^>]*>"), text).otherwise(html)
+    looks = html.rlike(r"(?i)<[a-z!/][^>]*>")
+    flag = is_page if isinstance(is_page, Column) else F.lit(is_page).cast("boolean")
+    return F.when(F.coalesce(flag, looks), text).otherwise(html)
 
 
 def join_counts(rows: DataFrame, counts: DataFrame, key: str, weight: str) -> DataFrame:

@@ -149,6 +149,15 @@ def test_extract_text(spark):
     assert [r["t"] for r in df.select(extract_text(F.col("h")).alias("t")).collect()] == ["A & B C", "plain < text"]
 
 
+def test_plain_text_comes_back_whole(spark):
+    """A page flag decides, not the content."""
+    plain = "if a <b and c> d then\n  mail <x@y.org> &amp; <!-- kept -->"
+    df = spark.createDataFrame([(plain, False), ("<p>A</p>", True), ("A &amp;  B", True), (plain, None)], "h string, page boolean")
+    got = [r["t"] for r in df.select(extract_text(F.col("h"), F.col("page")).alias("t")).collect()]
+    assert got == [plain, "A", "A & B", "if a d then mail &"]
+    assert df.select(extract_text(F.col("h"), False).alias("t")).first()["t"] == plain
+
+
 def test_summary_keeps_text_order(spark):
     df = spark.createDataFrame([(1, "b b. a c a. z. a a c")], "doc_id int, text string")
     assert summarize(df, "doc_id", sentences=2).first()["summary"] == "a c a. a a c."
