@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -412,6 +412,11 @@ def removed_bytes(run: Run, own: Suffixes, masks: np.ndarray) -> np.ndarray:
     return np.cumsum(change)[:-1] > 0
 
 
+def run_number(runs: int) -> Column:
+    """The run of a row, by id and text: rows without an id, or with one id, spread over all runs."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(runs)).cast("int")
+
+
 def without_earlier_passages(docs: DataFrame, run_bytes: int = RUN_BYTES, least_runs: int = LEAST_RUNS, hot: int = HOT) -> DataFrame:
     """`docs` with the kept text, and n_bytes, n_removed, n_spans, kept_sha256 of its UTF-8 bytes.
 
@@ -434,7 +439,7 @@ def without_earlier_passages(docs: DataFrame, run_bytes: int = RUN_BYTES, least_
     runs = parts = max(least_runs, -(-total // run_bytes))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(*columns).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    own = own.withColumn("_run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")).repartition(tasks, "_run")
+    own = own.withColumn("_run", run_number(runs)).repartition(tasks, "_run")
     kept = T.StructType([T.StructField(c, T.StringType() if c == "text" else docs.schema[c].dataType) for c in columns])
     schema = T.StructType([*kept.fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from rowlore.llm.suffixes import ROW, earlier_windows, front_code, front_decode, merge, without_earlier_passages
+from rowlore.llm.suffixes import ROW, earlier_windows, front_code, front_decode, merge, without_earlier_passages, run_number
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 NONE = (1 << 63) - 1
@@ -91,3 +91,16 @@ def test_loser_tree_and_front_codes():
 
 def test_windows_of_no_rows():
     assert len(earlier_windows(np.zeros((0, ROW), np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.int64))) == 0
+
+
+def test_rows_without_id_or_with_one_id_spread_over_runs(spark):
+    for doc_id in ("cast(null AS long)", "7L"):
+        rows = spark.range(1000).selectExpr(f"{doc_id} AS doc_id", "cast(cast(id AS string) AS binary) AS text")
+        assert rows.select(run_number(16)).distinct().count() == 16
+
+
+def test_one_id_in_many_runs_is_not_smaller_than_itself(spark):
+    same = "a passage of well over fifty bytes that two rows of one id have in common; "
+    rows = [(i, same + str(k) * 9) for i in (7, None) for k in range(20)]
+    got = without_earlier_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 40 and all((r["n_removed"] > 0) == (r["doc_id"] is None) for r in got)
