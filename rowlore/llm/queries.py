@@ -11,6 +11,7 @@ from rowlore.llm.chat import FORMAT_SQL, format_conversations
 from rowlore.llm.common import documents
 from rowlore.llm.near_vectors import near_vectors
 from rowlore.llm.packing import pack_documents
+from rowlore.llm.phrases import PHRASES_SQL, mine_phrases
 from rowlore.llm.pieces import encode_decode
 from rowlore.llm.quality_rules import judge
 from rowlore.llm.secret_scan import find_secrets
@@ -72,6 +73,10 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(documents(spark, sf_dir))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -87,4 +92,4 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, compone
 
 
 def all_sql() -> dict[str, str]:
-    return {"op8_chat_format": FORMAT_SQL, "op10_near_vectors": NEAR_VECTORS_SQL}
+    return {"op8_chat_format": FORMAT_SQL, "op10_near_vectors": NEAR_VECTORS_SQL, "op11_phrases": PHRASES_SQL}
