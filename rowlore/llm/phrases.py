@@ -28,7 +28,9 @@ BASE = 0x9E3779B97F4A7C15
 # Pieces end at these bytes; a full stop marks the place. Words end at blanks and tabs.
 MARKED = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b".........." )
 RUNS = "run long, lang string, n_words long, own long, words binary, ids binary"
-PARTIAL = "fp long, run long, at int, n int"
+# A pointer is a run, a place there and a size; a fingerprint travels with a second one and a count in one number.
+PLACE_BITS, COUNT_BITS, RUN_BITS = 24, 22, 18
+PARTIAL = "fp long, check long, pointer long"
 COUNTED = "lang string, size int, phrase string, n long"
 
 
@@ -44,50 +46,65 @@ class Run:
     the next run, too.
     """
 
-    def __init__(self, lang: str, own: int, words: bytes, ids: bytes, bits: int):
+    def __init__(self, row: dict, bits: int):
         import zstandard
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh3_128_digest, xxh64_intdigest
 
         unpack = zstandard.ZstdDecompressor().decompress
-        self.lang, self.own = lang, own
-        self.words = [b"."] + unpack(words).split(b" ")
-        self.ids = np.frombuffer(unpack(ids), np.int32)
+        self.run, self.lang, self.own = row["run"], row["lang"], row["own"]
+        self.words = [b"."] + unpack(row["words"]).split(b" ")
+        self.ids = np.frombuffer(unpack(row["ids"]), np.int32)
         self.mask = np.uint64((1 << bits) - 1)
-        seed = xxh64_intdigest(lang.encode())
-        hashes = np.array([0] + [xxh64_intdigest(w, seed) for w in self.words[1:]], np.uint64)
+        seed = xxh64_intdigest(self.lang.encode())
+        hashes = np.frombuffer(bytes(16) + b"".join(xxh3_128_digest(w, seed) for w in self.words[1:]), np.uint64).reshape(-1, 2)
         power = np.full(len(self.ids), BASE, np.uint64)
         power[:1] = 1
+        power = np.cumprod(power)
         # All arithmetic is modulo 2**64; an odd base has an inverse there.
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[self.ids] * np.cumprod(power), dtype=np.uint64)])
+        self.prefix = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(lane[self.ids] * power, dtype=np.uint64)]) for lane in hashes.T]
         power[1:] = pow(BASE, -1, 1 << 64)
         self.inverse = np.cumprod(power)
         self.ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.ids == 0, dtype=np.int32)])
 
+    def _print(self, lane: int, at: np.ndarray, size: int) -> np.ndarray:
+        prefix = self.prefix[lane]
+        return (prefix[at + size] - prefix[at]) * self.inverse[at] + np.uint64(size)
+
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(place, fingerprint) of every word sequence of this size within a piece."""
         starts = max(0, min(self.own, len(self.ids) - size + 1))
         at = np.flatnonzero(self.ends[size : size + starts] == self.ends[:starts])
-        return at, ((self.prefix[at + size] - self.prefix[at]) * self.inverse[at] + np.uint64(size)) & self.mask
-
-    def partial(self, run: int, size: int, at: np.ndarray, prints: np.ndarray) -> pa.Table:
-        """Each fingerprint once, with its count and a pointer to where it is first seen."""
-        own, first, n = np.unique(prints, return_index=True, return_counts=True)
-        columns = [own.view(np.int64), np.full(len(own), run), (at[first] * LONGEST + size - 1).astype(np.int32), n.astype(np.int32)]
-        return pa.table(dict(zip(("fp", "run", "at", "n"), map(pa.array, columns))))
-
-    def frequent(self, pointers: np.ndarray, size: int) -> np.ndarray:
-        """Places of the sequences of this size whose fingerprint one of the pointers names."""
+        return at, self._print(0, at, size) & self.mask
+
+    def _by_text(self, code: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        for k in range(size):
+            code = np.unique(code * len(self.words) + self.ids[at + k], return_inverse=True)[1]
+        return code
+
+    def partial(self, size: int, at: np.ndarray, prints: np.ndarray) -> pa.Table:
+        """Each text once: its fingerprint, a second one with its count, and a pointer to where it is first seen."""
+        _, first, group, n = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
+        like = at[first[group]]
+        if any((self.ids[at + k] != self.ids[like + k]).any() for k in range(size)):
+            _, first, n = np.unique(self._by_text(group, at, size), return_index=True, return_counts=True)
+        second = self._print(1, at[first], size) >> np.uint64(COUNT_BITS + 1)
+        check = second.astype(np.int64) << COUNT_BITS | n
+        pointer = self.run << PLACE_BITS | at[first] * LONGEST + size - 1
+        return pa.table(dict(zip(("fp", "check", "pointer"), map(pa.array, (prints[first].view(np.int64), check, pointer)))))
+
+    def frequent(self, places: np.ndarray, size: int) -> np.ndarray:
+        """Places of the sequences of this size whose fingerprint is that of one of the given places."""
         at, prints = self.grams(size)
-        named = pointers[pointers % LONGEST == size - 1] // LONGEST
+        named = places[places % LONGEST == size - 1] // LONGEST
         return at[np.isin(prints, prints[np.searchsorted(at, named)])]
 
     def spelled(self, at: np.ndarray, size: int) -> tuple[list[str], np.ndarray]:
-        """The distinct texts of the sequences at these places, and how often each is there: by words, not by fingerprint."""
-        code = self.ids[at].astype(np.int64)
-        for k in range(1, size):
-            code = np.unique(code, return_inverse=True)[1] * len(self.words) + self.ids[at + k]
-        _, first, n = np.unique(code, return_index=True, return_counts=True)
-        return [b" ".join(self.words[i] for i in self.ids[p : p + size]).decode() for p in at[first]], n
+        """The distinct texts of the sequences at these places, and how often each is there."""
+        _, first, n = np.unique(self._by_text(np.zeros(len(at), np.int64), at, size), return_index=True, return_counts=True)
+        return [self.spell(p, size) for p in at[first]], n
+
+    def spell(self, at: int, size: int) -> str:
+        return b" ".join(self.words[i] for i in self.ids[at : at + size]).decode()
 
 
 def _cut(limit: int):
@@ -95,7 +112,7 @@ def _cut(limit: int):
         import zstandard
 
         pack = zstandard.ZstdCompressor().compress
-        number = count(TaskContext.get().partitionId() << 32)
+        number = count(TaskContext.get().partitionId() << RUN_BITS)
         held: dict[str, tuple[dict, list[np.ndarray]]] = {}
 
         def new() -> tuple[dict, list[np.ndarray]]:
@@ -139,57 +156,63 @@ def _short(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = Run(row["lang"], row["own"], row["words"], row["ids"], bits)
+                own = Run(row, bits)
                 for size in (1, 2):
-                    yield from own.partial(row["run"], size, *own.grams(size)).to_batches(1 << 16)
+                    yield from own.partial(size, *own.grams(size)).to_batches(1 << 16)
 
     return run
 
 
-def _of(runs: pa.Table, echo: pa.Table, bits: int) -> tuple[dict, Run, np.ndarray] | None:
-    if not runs.num_rows:
-        return None
-    row = runs.to_pylist()[0]
-    return row, Run(row["lang"], row["own"], row["words"], row["ids"], bits), echo.column("at").to_numpy().astype(np.int64)
-
-
 def _long(bits: int):
     """Fingerprints of the longer sequences all of whose pairs are frequent."""
 
     def run(runs: pa.Table, echo: pa.Table) -> pa.Table:
-        row, own, pointers = _of(runs, echo, bits)
+        own = Run(runs.to_pylist()[0], bits)
         pair = np.zeros(len(own.ids) + LONGEST, bool)
-        pair[own.frequent(pointers, 2)] = True
+        pair[own.frequent(echo.column("place").to_numpy(), 2)] = True
         pair[own.own :] = True  # pairs of the next run are unknown here
         tables = []
         for size in range(3, LONGEST + 1):
             at, prints = own.grams(size)
             likely = reduce(np.logical_and, [pair[at + k] for k in range(size - 1)])
-            tables.append(own.partial(row["run"], size, at[likely], prints[likely]))
+            tables.append(own.partial(size, at[likely], prints[likely]))
         return pa.concat_tables(tables)
 
     return run
 
 
 def _spell(bits: int):
-    """Counts, by text, of the sequences of a run whose fingerprints are frequent."""
+    """Texts and counts of the fingerprints that a run spells: those it leads, by their total, and mixed ones, by its own count."""
 
     def run(runs: pa.Table, echo: pa.Table) -> pa.Table:
-        _, own, pointers = _of(runs, echo, bits)
-        tables = []
+        own, found = Run(runs.to_pylist()[0], bits), []
+        places, totals, mixed = (echo.column(c).to_numpy() for c in ("place", "total", "mixed"))
+        for place, total in zip(places[~mixed].tolist(), totals[~mixed].tolist()):
+            found.append((place % LONGEST + 1, own.spell(place // LONGEST, place % LONGEST + 1), total))
         for size in range(1, LONGEST + 1):
-            phrases, n = own.spelled(own.frequent(pointers, size), size)
-            columns = [pa.array([own.lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(phrases, pa.string()), pa.array(n.astype(np.int64))]
-            tables.append(pa.table(dict(zip(("lang", "size", "phrase", "n"), columns))))
-        return pa.concat_tables(tables)
+            found += [(size, phrase, n) for phrase, n in zip(*own.spelled(own.frequent(places[mixed], size), size))]
+        sizes, phrases, n = zip(*found) if found else ((), (), ())
+        columns = [[own.lang] * len(found), sizes, phrases, n]
+        types = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(("lang", "size", "phrase", "n"), columns, types)})
 
     return run
 
 
 def _frequent(partial: DataFrame, min_count: int) -> DataFrame:
-    """Pointers to the fingerprints that all runs together have often enough, for each run that has them."""
-    total = F.sum("n").over(Window.partitionBy("fp"))
-    return partial.withColumn("_total", total).filter(F.col("_total") >= min_count).select("run", "at")
+    """(run, place, total, lead, mixed) of the fingerprints that all runs together have often enough.
+
+    One run leads: it will spell the text. A fingerprint is mixed if its second
+    ones differ, so that it stands for several texts.
+    """
+    own = Window.partitionBy("fp")
+    second = F.shiftright("check", COUNT_BITS)
+    found = partial.select(
+        "pointer", F.sum(F.col("check").bitwiseAND((1 << COUNT_BITS) - 1)).over(own).alias("total"),
+        (F.min("pointer").over(own) == F.col("pointer")).alias("lead"), (F.min(second).over(own) < F.max(second).over(own)).alias("mixed"),
+    )
+    place = F.col("pointer").bitwiseAND((1 << PLACE_BITS) - 1)
+    return found.filter(F.col("total") >= min_count).select(F.shiftright("pointer", PLACE_BITS).alias("run"), place.alias("place"), "total", "lead", "mixed")
 
 
 def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, run_tokens: int = RUN_TOKENS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -197,21 +220,27 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, run_tokens: int =
 
     Tasks cut their documents into runs, written once as numbers with their
     distinct words. A run sends each fingerprint once, with its count and a
-    pointer to a place that has it; runs learn which of their pointers name a
-    fingerprint that is frequent in all. Phrases of three and four words are
-    only sent if all their pairs are frequent, as those of frequent ones are. Last,
-    each run spells what its frequent fingerprints stand for, and texts are
-    counted anew: phrases that share a fingerprint are told apart there, so
-    `bits` (of a fingerprint) changes no result. No table of phrases is broadcast, and
-    a common phrase is one row a run.
+    pointer to a place that has it; runs learn which of their pairs are frequent
+    in all. Phrases of three and four words are only sent if all their pairs are
+    frequent, as those of frequent ones are. Last, texts are read off at the pointers: one
+    run spells a frequent fingerprint. Within a run all places of a
+    fingerprint are compared word by word; between runs a second fingerprint (41
+    bits beside the 64) must agree. Where either differs, all runs that have the fingerprint
+    spell what it stands for and texts are counted instead, so `bits` (of the
+    first one) changes no result. No table of phrases is broadcast, and a common phrase is one row a run.
     """
+    if run_tokens > RUN_TOKENS:
+        raise ValueError(f"a run has at most {RUN_TOKENS} tokens")
     cut = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
     runs = materialize(cut.mapInArrow(_cut(run_tokens), RUNS), "runs")
     keyed = runs.groupBy("run")
-    short = materialize(_frequent(runs.mapInArrow(_short(bits), PARTIAL), min_count), "frequent")
-    longer = keyed.cogroup(short.groupBy("run")).applyInArrow(_long(bits), PARTIAL)
-    longer = materialize(_frequent(longer, min_count), "frequent")
-    spelled = keyed.cogroup(short.union(longer).groupBy("run")).applyInArrow(_spell(bits), COUNTED)
+    short = _frequent(runs.mapInArrow(_short(bits), PARTIAL), min_count)
+    pairs = F.col("place") % LONGEST == 1
+    short = materialize(short.filter(pairs | F.col("lead") | F.col("mixed")), "frequent")
+    longer = keyed.cogroup(short.filter(pairs).select("run", "place").groupBy("run")).applyInArrow(_long(bits), PARTIAL)
+    longer = materialize(_frequent(longer, min_count).filter("lead OR mixed"), "frequent")
+    named = short.filter("lead OR mixed").union(longer).select("run", "place", "total", "mixed")
+    spelled = keyed.cogroup(named.groupBy("run")).applyInArrow(_spell(bits), COUNTED)
     known = spelled.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
     return materialize(known, "phrases"), runs.groupBy("lang").agg(F.sum("n_words").alias("n"))
 
