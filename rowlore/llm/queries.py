@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowlore.llm import quality_model, toxicity
 from rowlore.llm.chat import FORMAT_SQL, format_conversations
 from rowlore.llm.common import documents
+from rowlore.llm.lines import LINES_SQL, dedup_lines
 from rowlore.llm.near_vectors import near_vectors
 from rowlore.llm.packing import pack_documents
 from rowlore.llm.phrases import PHRASES_SQL, mine_phrases
 from rowlore.llm.pieces import encode_decode
+from rowlore.llm.prefix_trie import TRIE_SQL, prefix_trie
 from rowlore.llm.quality_rules import judge
 from rowlore.llm.secret_scan import find_secrets
 from rowlore.llm.simhash import near_groups
@@ -77,6 +80,15 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(documents(spark, sf_dir))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -92,4 +104,7 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, compone
 
 
 def all_sql() -> dict[str, str]:
-    return {"op8_chat_format": FORMAT_SQL, "op10_near_vectors": NEAR_VECTORS_SQL, "op11_phrases": PHRASES_SQL}
+    return {
+        "op8_chat_format": FORMAT_SQL, "op10_near_vectors": NEAR_VECTORS_SQL, "op11_phrases": PHRASES_SQL,
+        "op12_line_dedup": LINES_SQL, "op13_prefix_trie": TRIE_SQL,
+    }
