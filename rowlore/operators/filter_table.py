@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from rowlore.functions.names import normalize_filter_key
 from rowlore.model import FuzzyMatch
-from rowlore.plans.sizing import BROADCAST_BYTES, BROADCAST_ROWS, materialize, measured
+from rowlore.plans.sizing import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, materialize, measured
 
 # Filters per array in the shuffled form.
 BLOCK_FILTERS = 256
-# Fields filters may be found by, one broadcast join each.
+# Fields filters may be found by in the broadcast form, one join each; with more, filters are found by a shuffle.
 MAX_ANCHORS = 32
+# A value is hot that more than 1/HOT_SHARE of all wanted cells hold; there are at most HOT_SHARE of them.
+HOT_SHARE = 1000
+# Verdicts of one record and list in the shuffled form, about.
+LISTED_VERDICTS = 1 << 16
+CELL = ("kind", "key", "text")
 CONDITIONS = (
     "array<struct<key:string,kind:string,values:array<struct<how:string,text:string>>>>"
 )
@@ -123,21 +128,62 @@ def _holds(condition: Column, data: Column, tags: Column, case_insensitive: bool
     return F.coalesce(F.when(condition["kind"] == "tag", on_tag).otherwise(on_data), F.lit(False))
 
 
-def _anchored(filters: DataFrame) -> DataFrame:
-    """Adds `_anchor`, the filter's data condition with the fewest values among those that only compare exactly."""
-    exact = F.filter(
-        "conditions",
-        lambda c: (c["kind"] == "data") & F.forall(c["values"], lambda v: v["how"] == "exact"),
-    )
-    by_size = F.array_sort(
-        F.transform(exact, lambda c: F.struct(F.size(c["values"]).alias("n"), c["key"].alias("key"), c["values"].alias("values")))
-    )
-    return filters.withColumn("_anchor", F.get(by_size, F.lit(0)))
+def _cells(data: Column, tags: Column, case_insensitive: bool) -> Column:
+    """A record's values as an array of (kind, key, text), texts as filters compare them."""
+    none = F.array().cast("array<struct<kind:string,key:string,text:string>>")
+
+    def cell(kind: str, key: Column, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), text.alias("text"))
+
+    fields = F.filter(F.map_entries(data), lambda e: e["value"].isNotNull())
+    own = F.transform(fields, lambda e: cell("data", e["key"], F.lower(e["value"]) if case_insensitive else e["value"]))
+    listed = F.transform(F.map_entries(tags), lambda e: F.transform(_folded_tags(e["value"]), lambda t: cell("tag", e["key"], t)))
+    return F.concat(F.coalesce(own, none), F.coalesce(F.flatten(listed), none))
+
+
+def _folded_tags(values: Column) -> Column:
+    """The distinct values of a tag in lower case, in the order of the list."""
+    return F.array_distinct(F.transform(F.filter(values, lambda t: t.isNotNull()), F.lower))
+
+
+def _exact(filters: DataFrame, partition: str, filter_id: str) -> DataFrame:
+    """`(partition, filter, _i, kind, key, texts)`: the conditions that name whole values."""
+    exact = F.filter("conditions", lambda c: F.forall(c["values"], lambda v: v["how"] == "exact"))
+    rows = filters.select(partition, filter_id, F.posexplode(exact).alias("_i", "_c"))
+    texts = F.array_distinct(F.transform("_c.values", lambda v: v["text"]))
+    return rows.select(partition, filter_id, "_i", "_c.kind", "_c.key", texts.alias("texts"))
+
+
+def _frequencies(cells: DataFrame, wanted: DataFrame, partition: str) -> DataFrame:
+    """`(partition, kind, key, text, n)`: how many records hold each wanted value."""
+    by = [partition, *CELL]
+    counted = cells.select(*by).join(broadcast_if_small(wanted), by, "left_semi").groupBy(*by).agg(F.count("*").alias("n"))
+    return materialize(counted, "frequencies")
+
+
+def _anchored(filters: DataFrame, partition: str, filter_id: str, cells: DataFrame, measure: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Filters with `_anchor` (kind, key, texts), the exact condition that fewest records meet; null without any.
+
+    Frequencies are measured, in one pass over the records' values, where some
+    filter has a choice (or `measure` says so), and returned then.
+    """
+    options = _exact(filters, partition, filter_id)
+    anchor, frequencies = F.struct(*CELL[:2], "texts"), None
+    if measure or not options.filter("_i > 0").isEmpty():
+        spread_texts = options.select("*", F.explode("texts").alias("text"))
+        frequencies = _frequencies(cells, spread_texts.select(partition, *CELL).distinct(), partition)
+        cost = spread_texts.join(broadcast_if_small(frequencies), [partition, *CELL], "left").groupBy(partition, filter_id, "_i")
+        options = options.join(cost.agg(F.sum(F.coalesce("n", F.lit(0))).alias("_n")), [partition, filter_id, "_i"])
+    else:
+        options = options.withColumn("_n", F.lit(0))
+    best = options.groupBy(partition, filter_id).agg(F.min_by(anchor, F.struct("_n", "_i")).alias("_anchor"))
+    return materialize(filters.join(best, [partition, filter_id], "left"), "anchored"), frequencies
 
 
 def _gathered(filters: DataFrame, by: list[str], filter_id: str, name: str) -> DataFrame:
     """One array of filters per group, for filter tables already measured small."""
-    return filters.groupBy(*by).agg(F.collect_list(F.struct(F.col(filter_id).alias("id"), "conditions")).alias(name))
+    item = F.struct(F.col(filter_id).alias("id"), "conditions", F.when(F.col("_anchor.kind") == "tag", F.col("_anchor.texts")).alias("texts"))
+    return filters.groupBy(*by).agg(F.collect_list(item).alias(name))
 
 
 def _blocks(filters: DataFrame, by: list[str], filter_id: str, name: str) -> DataFrame:
@@ -152,7 +198,76 @@ def _fits(df: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
-def filter_table_match(
+def _all_hold(conditions: Column, case_insensitive: bool) -> Column:
+    return F.forall(conditions, lambda c: _holds(c, F.col("_data"), F.col("_tags"), case_insensitive))
+
+
+def _holding(listed: str, case_insensitive: bool, tag: tuple[str, str] | None = None) -> Column:
+    """Ids of the listed filters that hold; one found by a tag counts at the first value of the record that it names."""
+
+    def first(f: Column) -> Column:
+        return F.get(F.filter(F.col(tag[0]), lambda t: F.array_contains(f["texts"], t)), F.lit(0)) == F.col(tag[1])
+
+    kept = F.filter(listed, lambda f: (first(f) & _all_hold(f["conditions"], case_insensitive)) if tag else _all_hold(f["conditions"], case_insensitive))
+    return F.transform(kept, lambda f: f["id"])
+
+
+def _looked_up(met: DataFrame, marked: DataFrame, fields: list[tuple[str, str]], filter_id: str, partition: str, case_insensitive: bool) -> DataFrame:
+    """Verdicts by one broadcast join per field; a record with several values of a tag has a row for each."""
+    tags = [(i, key) for i, (kind, key) in enumerate(fields) if kind == "tag"]
+    for i, key in tags:
+        met = met.withColumn(f"_listed_{i}", F.coalesce(_folded_tags(F.col("_tags")[key]), F.array().cast("array<string>")))
+    met = met.withColumn("_slot", F.lit(0))
+    if tags:
+        most = F.greatest(F.lit(1), F.lit(1), *[F.size(f"_listed_{i}") for i, _ in tags])
+        met = met.withColumn("_slot", F.explode(F.sequence(F.lit(0), most - 1)))
+    found = []
+    for i, (kind, key) in enumerate(fields):
+        name, value, tag = f"_by_{i}", f"_value_{i}", None
+        own = marked.where((F.col("_anchor.kind") == kind) & (F.col("_anchor.key") == key)).withColumn(value, F.explode("_anchor.texts"))
+        if kind == "tag":
+            met, tag = met.withColumn(value, F.get(f"_listed_{i}", F.col("_slot"))), (f"_listed_{i}", value)
+        else:
+            field = F.lower(F.col("_data")[key]) if case_insensitive else F.col("_data")[key]
+            met = met.withColumn(value, F.when(F.col("_slot") == 0, field))
+        met = met.join(F.broadcast(_gathered(own, [partition, value], filter_id, name)), [partition, value], "left")
+        found.append(_holding(name, case_insensitive, tag))
+    rest = _gathered(marked.where(F.col("_anchor").isNull()).withColumn("_slot", F.lit(0)), [partition, "_slot"], filter_id, "_rest")
+    met = met.join(F.broadcast(rest), [partition, "_slot"], "left")
+    found.append(_holding("_rest", case_insensitive))
+    none = F.array().cast(f"array<{dict(marked.dtypes)[filter_id]}>")
+    # Each filter has one anchor, so no two arrays hold the same filter.
+    return met.withColumn("verdicts", F.flatten(F.array(*[F.coalesce(f, none) for f in found])))
+
+
+def _shuffled(met: DataFrame, cells: DataFrame, marked: DataFrame, frequencies: DataFrame, filter_id: str, partition: str, record_id: str, case_insensitive: bool) -> DataFrame:
+    """Verdicts by an inverted index: values of records and filters meet in a join that moves ids.
+
+    A hot value is dealt over several keys, its filters copied to each. Filters
+    without an exact condition meet all records of their collection, in blocks.
+    """
+    by = [partition, *CELL]
+    total = frequencies.agg(F.sum("n")).first()[0] or 0
+    hot = frequencies.where(F.col("n") * HOT_SHARE > total).select(*by, F.ceil(F.col("n") * HOT_SHARE / F.lit(max(total, 1))).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    postings = marked.where(F.col("_anchor").isNotNull()).select(partition, "_anchor.kind", "_anchor.key", F.explode("_anchor.texts").alias("text"), filter_id)
+    postings = postings.join(F.broadcast(hot), by, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    held = cells.join(F.broadcast(hot), by, "left").withColumn("_part", F.pmod(F.xxhash64(record_id), parts).cast("int")).drop("_parts")
+    pairs = held.join(postings, [*by, "_part"]).select(partition, record_id, filter_id).distinct()
+    asked = pairs.join(marked.select(partition, filter_id, "conditions"), [partition, filter_id])
+    facts = met.select(partition, record_id, "_data", "_tags")
+    held = asked.join(facts, [partition, record_id]).where(_all_hold(F.col("conditions"), case_insensitive)).select(partition, record_id, filter_id).distinct()
+    lists = max(1, marked.count() // LISTED_VERDICTS)
+    listed = held.groupBy(partition, record_id, F.pmod(F.xxhash64(filter_id), F.lit(lists)).alias("_block")).agg(F.collect_list(filter_id).alias("verdicts")).drop("_block")
+    salts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = met.withColumn("_salt", F.pmod(F.xxhash64(record_id), F.lit(salts)).cast("int"))
+    blocks = _blocks(marked.where(F.col("_anchor").isNull()), [partition], filter_id, "_rest")
+    copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rest = salted.join(copies, [partition, "_salt"]).withColumn("verdicts", _holding("_rest", case_insensitive))
+    return met.join(listed, [partition, record_id]).unionByName(rest.drop("_salt", "_rest"))
+
+
+def filter_verdicts(
     records: DataFrame,
     filters: DataFrame,
     filter_id: str = "filter_id",
@@ -162,60 +277,47 @@ def filter_table_match(
     tags: Column | None = None,
     fuzzy: FuzzyMatch = FuzzyMatch(),
 ) -> DataFrame:
-    """every record paired with the ids of the filters it meets, in one scan of the records.
-
-    `filters` comes from `pack_filters(..., partition=...)`. A filter with an
-    exact data condition is found by that value: one broadcast hash join per
-    such field hands a record only the filters asking for its own value. Other
-    filters ride along per collection as arrays. Either way the remaining
-    conditions are tested inside the row, records are not shuffled, and only
-    matches are emitted.
+    """records with `verdicts`, the ids of the filters they meet; a record may have several rows, each with other filters.
 
-    A filter table beyond the broadcast bound meets the records through a
-    salted shuffle join, since one collection may hold every record.
+    `filters` comes from `pack_filters(..., partition=...)`. A filter with exact
+    conditions, on data fields or tags, is found by the one that fewest records
+    meet, as measured; the other conditions are tested on what is found. Below
+    the broadcast bound that is one hash join per field and records are not
+    shuffled. Beyond it values and filters meet through an inverted index, where
+    `record_id` must name one record of its collection. Filters without an exact condition
+    are tested on every record of their collection.
     """
     data_map = F.col("data").try_cast("map<string,string>") if data_map is None else data_map
     tags = F.col("tags") if tags is None else tags
-    found_by: list[str] = []
+    ci = fuzzy.case_insensitive
     met = records.withColumn("_data", data_map).withColumn("_tags", tags)
-    marked = _anchored(materialize(filters, "filters"))
-    keys = [r[0] for r in marked.select("_anchor.key").distinct().limit(MAX_ANCHORS + 2).collect()]
-    named = sorted(k for k in keys if k is not None)
-    spread_filters = marked.select(partition, filter_id, "conditions", "_anchor").withColumn(
-        "_values", F.array_distinct(F.transform("_anchor.values", lambda v: v["text"]))
-    )
-    if keys and len(named) <= MAX_ANCHORS and _fits(marked):
-        for i, key in enumerate(named):
-            name, value = f"_by_{i}", f"_value_{i}"
-            wanted = spread_filters.where(F.col("_anchor.key") == key).withColumn(value, F.explode("_values"))
-            index = _gathered(wanted, [partition, value], filter_id, name)
-            field = F.col("_data")[key]
-            met = met.withColumn(value, F.lower(field) if fuzzy.case_insensitive else field)
-            met = met.join(F.broadcast(index), [partition, value], "left").drop(value)
-            found_by.append(name)
-        rest = marked.where(F.col("_anchor").isNull())
-        if None in keys:
-            met = met.join(F.broadcast(_gathered(rest, [partition], filter_id, "_rest")), partition, "left")
-            found_by.append("_rest")
+    filters = materialize(filters, "filters")
+    # Only fields that some filter names are looked at.
+    named = broadcast_if_small(_exact(filters, partition, filter_id).select("kind", "key").distinct())
+    cells = met.select(partition, record_id, F.explode(_cells(F.col("_data"), F.col("_tags"), ci)).alias("_c"))
+    cells = cells.select(partition, record_id, "_c.*").join(named, ["kind", "key"], "left_semi")
+    marked, frequencies = _anchored(filters, partition, filter_id, cells)
+    fields = sorted(tuple(r) for r in marked.where("_anchor IS NOT NULL").select("_anchor.kind", "_anchor.key").distinct().limit(MAX_ANCHORS + 1).collect())
+    # Each value of an anchor gets a copy of its filter.
+    if len(fields) <= MAX_ANCHORS and _fits(marked.withColumn("_copy", F.explode_outer("_anchor.texts"))):
+        verdicts = _looked_up(met, marked, fields, filter_id, partition, ci)
     else:
-        salts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salted = met.withColumn("_salt", F.pmod(F.xxhash64(record_id), F.lit(salts)).cast("int"))
-        blocks = _blocks(marked, [partition], filter_id, "_rest")
-        copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = salted.join(copies, [partition, "_salt"]).drop("_salt")
-        found_by.append("_rest")
-
-    def holding(name: str) -> Column:
-        return F.transform(
-            F.filter(
-                F.coalesce(F.col(name), F.array().cast(dict(met.dtypes)[name])),
-                lambda f: F.forall(
-                    f["conditions"], lambda c: _holds(c, F.col("_data"), F.col("_tags"), fuzzy.case_insensitive)
-                ),
-            ),
-            lambda f: f["id"],
-        )
+        if frequencies is None:
+            marked, frequencies = _anchored(filters, partition, filter_id, cells, measure=True)
+        verdicts = _shuffled(met, cells, marked, frequencies, filter_id, partition, record_id, ci)
+    return verdicts.where(F.size("verdicts") > 0).select(*records.columns, "verdicts")
 
-    # Each filter has one anchor, so no two arrays hold the same filter.
-    found = F.flatten(F.array(*[holding(n) for n in found_by]))
-    return met.withColumn(filter_id, F.explode(found)).drop("_data", "_tags", *found_by)
+
+def filter_table_match(
+    records: DataFrame,
+    filters: DataFrame,
+    filter_id: str = "filter_id",
+    partition: str = "collection",
+    record_id: str = "id",
+    data_map: Column | None = None,
+    tags: Column | None = None,
+    fuzzy: FuzzyMatch = FuzzyMatch(),
+) -> DataFrame:
+    """every record paired with the ids of the filters it meets, a row for each; see `filter_verdicts`."""
+    found = filter_verdicts(records, filters, filter_id, partition, record_id, data_map, tags, fuzzy)
+    return found.withColumn(filter_id, F.explode("verdicts")).drop("verdicts")

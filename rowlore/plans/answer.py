@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlore.functions.vectors import pair_relevance, rank_key
+from rowlore.functions.vectors import rank_key
 from rowlore.model import ANSWER_MATCHES, DATASET_CANDIDATES, SEARCH_LIMIT, FuzzyMatch
 from rowlore.operators.aggregates import dedup_first
 from rowlore.operators.catalog import latest_schemas, schema_columns, validate_params
-from rowlore.operators.filter_table import filter_table_match, pack_filters
+from rowlore.operators.filter_table import CONDITIONS, filter_verdicts, pack_filters
+from rowlore.operators.masked import masked_search
+from rowlore.operators.phrases import phrase_matches
 from rowlore.operators.retrieve import similar_batch
 from rowlore.operators.text import words
 from rowlore.plans.prompts import build_prompt
-from rowlore.plans.sizing import broadcast_if_small, materialize
+from rowlore.plans.sizing import BROADCAST_ROWS, broadcast_if_small, materialize
 
+# Datasets looked at first for each word of a question.
+RANK_DEPTH = 16
 # How much a question word counts when it is part of a dataset name, a field name, an example value.
 NAME_WEIGHT, FIELD_WEIGHT, VALUE_WEIGHT = 3, 2, 1
 
@@ -40,56 +46,79 @@ def catalog_words(schemas: DataFrame) -> DataFrame:
     )
 
 
-def rank_datasets(questions: DataFrame, schemas: DataFrame, limit: int = DATASET_CANDIDATES) -> DataFrame:
-    """Up to `limit` datasets per question, best first; none when no word fits."""
+def first_postings(postings: DataFrame, depth: int) -> DataFrame:
+    """The first `depth` datasets of each word by weight, then name, with `last`: the one that more follow behind.
+
+    A word of very many datasets is cut by slices first, so no task sorts all of them.
+    """
+    order = [F.desc("weight"), "dataset_name"]
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = postings.withColumn("_slice", F.pmod(F.xxhash64("dataset_name"), F.lit(parts)))
+    sliced = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy("word", "_slice").orderBy(*order)))
+    few = sliced.where(F.col("_rn") <= depth + 1).drop("_slice")
+    ranked = few.withColumn("_rn", F.row_number().over(Window.partitionBy("word").orderBy(*order)))
+    ranked = ranked.withColumn("_more", F.max("_rn").over(Window.partitionBy("word")) > depth).where(F.col("_rn") <= depth)
+    return ranked.withColumn("last", F.col("_more") & (F.col("_rn") == depth)).drop("_rn", "_more")
+
+
+def rank_datasets(questions: DataFrame, schemas: DataFrame, limit: int = DATASET_CANDIDATES, depth: int = RANK_DEPTH) -> DataFrame:
+    """Up to `limit` datasets per question, best first; none when no word fits.
+
+    The score is the sum of the weights that a dataset has the question's words
+    with. Words have their datasets sorted by weight and name, and only the first
+    `depth` of each are looked at; what is found is scored in full. A dataset not
+    seen yet weighs, for each word, no more than the last one looked at, and is behind it
+    by name where it weighs the same. A question is done when that cannot enter its
+    first `limit`; for the others the depth grows eightfold. So a word that all
+    datasets share costs `depth` rows a question, not one for every dataset.
+    """
     asked = questions.select("question_id", F.explode(F.array_distinct(words(F.col("question")))).alias("word"))
-    scored = (
-        asked.join(catalog_words(schemas), "word")
-        .groupBy("question_id", "dataset_name")
-        .agg(F.sum("weight").alias("score"))
-    )
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "dataset_name")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    postings = materialize(catalog_words(schemas), "postings")
+    open_words, done = materialize(asked.join(postings.select("word").distinct(), "word"), "asked"), []
+    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "dataset_name")
+    while True:
+        heads = materialize(first_postings(postings, depth), "heads")
+        met = open_words.join(heads, "word")
+        unseen = met.where("last").groupBy("question_id").agg(F.sum("weight").alias("_most"), F.max("dataset_name").alias("_behind"))
+        seen = met.select("question_id", "dataset_name").distinct()
+        weights = seen.join(open_words, "question_id").join(postings, ["dataset_name", "word"])
+        scored = weights.groupBy("question_id", "dataset_name").agg(F.sum("weight").alias("score"))
+        first = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+        bound = first.where(F.col("rank") == limit).select("question_id", F.col("score").alias("_score"), F.col("dataset_name").alias("_name"))
+        state = unseen.join(bound, "question_id", "left").select(
+            "question_id",
+            F.coalesce((F.col("_score") > F.col("_most")) | ((F.col("_score") == F.col("_most")) & (F.col("_name") <= F.col("_behind"))), F.lit(False)).alias("_done"),
+        )
+        first = materialize(first.join(state, "question_id", "left"), "ranked")
+        done.append(first.where("_done IS NULL OR _done").drop("_done"))
+        rest = first.where("NOT _done").select("question_id").distinct()
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        open_words, depth = materialize(open_words.join(rest, "question_id", "left_semi"), "asked"), depth * 8
 
 
 def known_values(schemas: DataFrame) -> DataFrame:
-    """`(dataset_name, key, value, phrase, anchor)`: example values a question may name.
-
-    The anchor is the longest word of the value, the first of equals: an equi-join
-    key that spares comparing every question with every value.
-    """
+    """`(dataset_name, key, value, words)`: example values a question may name."""
     columns = schema_columns(latest_schemas(schemas), "dataset_name")
     values = columns.select(
         "dataset_name",
         F.concat(F.lit("data."), "normalized_name").alias("key"),
         F.explode("common_values").alias("value"),
-    ).withColumn("_words", words(F.col("value")))
-    longest = F.array_sort(
-        F.transform("_words", lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))
-    )
-    return values.where(F.size("_words") > 0).select(
-        "dataset_name", "key", "value", F.array_join("_words", " ").alias("phrase"),
-        F.get(longest, F.lit(0))["w"].alias("anchor"),
-    )
+    ).withColumn("words", words(F.col("value")))
+    return values.where(F.size("words") > 0)
 
 
-def derive_filters(asked: DataFrame, schemas: DataFrame, limit: int | None = None) -> DataFrame:
+def derive_filters(asked: DataFrame, schemas: DataFrame, limit: int | None = None, max_phrases: int = BROADCAST_ROWS) -> DataFrame:
     """Filter rows `(question_id, ordinal, dataset_name, key, values)` for `(question_id, question, dataset_name)`.
 
-    A value counts when its words appear in the question in a row. The first
-    filter asks for all fields found; when there are several, one filter per
-    field follows; a `limit` keeps the first ones. A question without any gets one empty
+    A value counts when its words appear in the question in a row: all known
+    values are found in one walk over a question's words (see `phrase_matches`).
+    The first filter asks for all fields found; when there are several, one
+    filter per field follows; a `limit` keeps the first ones. A question without any gets one empty
     filter (null key).
     """
-    tokenised = asked.withColumn("_w", words(F.col("question"))).withColumn(
-        "_text", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))
-    )
-    named = tokenised.select(
-        "question_id", "dataset_name", "_text", F.explode(F.array_distinct("_w")).alias("anchor")
-    )
-    met = named.join(known_values(schemas), ["dataset_name", "anchor"]).where(
-        F.contains("_text", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
-    )
+    named = asked.select("question_id", "dataset_name", words(F.col("question")).alias("words"))
+    met = phrase_matches(named, known_values(schemas), "dataset_name", max_phrases)
     fields = met.groupBy("question_id", "dataset_name", "key").agg(
         F.array_sort(F.collect_set("value")).alias("values")
     )
@@ -141,25 +170,31 @@ def search_multi_filter(
 
     `questions` has `question_id, collection, question_vector`; `filters` has
     `question_id, ordinal, key, values`. A limit of zero or less keeps all.
+    Records carry the numbers of the filters they meet into the scoring, an empty filter
+    one code for its whole collection, so records and questions never pair up as
+    rows. Text and data of the records are joined to the hits at the end; `document` names
+    one record of its collection.
     """
     placed = filters.join(questions.select("question_id", "collection"), "question_id")
-    packed = pack_filters(placed, ("question_id", "ordinal"), fuzzy, "collection").withColumn(
-        "filter", F.struct("question_id", "ordinal")
-    )
-    matched = filter_table_match(
-        records, packed, "filter", "collection", document, data_map, tags, fuzzy
-    ).select("*", "filter.question_id", "filter.ordinal")
-    vectors = questions.select("question_id", "question_vector")
-    scored = (
-        matched.join(broadcast_if_small(vectors), "question_id")
-        .withColumn("score", pair_relevance(F.col(vector), F.col("question_vector")))
-        .drop("question_vector", "filter", vector)
+    packed = pack_filters(placed, ("question_id", "ordinal"), fuzzy, "collection")
+    numbered = materialize(packed.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    is_open = F.size("conditions") == 0
+    # Collections with empty filters get codes; of those no more are looked at than the records' own.
+    codes = numbered.where(is_open).groupBy("collection").agg((-1 - F.min("number")).alias("code"))
+    codes = broadcast_if_small(materialize(codes, "codes"))
+    asked = numbered.where(~is_open).select("collection", "number", "conditions").unionByName(
+        codes.select("collection", F.col("code").alias("number"), F.array().cast(CONDITIONS).alias("conditions"))
     )
+    matched = filter_verdicts(records, asked, "number", "collection", document, data_map, tags, fuzzy)
+    coded = numbered.join(codes, "collection", "left").join(questions.select("question_id", "question_vector"), "question_id")
+    found = masked_search(matched, coded.withColumn("code", F.when(is_open, F.col("code"))), limit, document, vector)
+    placed = found.join(broadcast_if_small(numbered.select("number", "collection", "question_id", "ordinal")), "number").drop("number")
     w = Window.partitionBy("question_id", "ordinal").orderBy(F.desc(rank_key(F.col("score"))), document)
-    ranked = scored.withColumn("rank", F.row_number().over(w))
+    ranked = placed.withColumn("rank", F.row_number().over(w))
     ranked = ranked.where(F.col("rank") <= limit) if limit > 0 else ranked
     keyed = ranked.withColumn("_doc", F.struct("question_id", F.col(document).alias("id")))
-    return dedup_first(keyed, "_doc", ("ordinal", "rank")).drop("_doc")
+    hits = materialize(dedup_first(keyed, "_doc", ("ordinal", "rank")).drop("_doc"), "hits")
+    return records.drop(vector).join(broadcast_if_small(hits), ["collection", document])
 
 
 def answer_context(
