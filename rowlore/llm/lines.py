@@ -282,8 +282,10 @@ class LineIndex:
     def first_holders(self, keys: DataFrame) -> DataFrame:
         """(k1, k2, first): the smallest doc_id of each of these distinct keys that several documents hold."""
         likely = self.probe(keys).filter(F.col("copies") >= COPIES).select("k1", "k2")
-        repeated = materialize(self.counts.filter("n_docs > 1").join(likely, ["k1", "k2"], "left_semi").select("k1", "k2"), "repeated")
-        return self.references.join(repeated, ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+        repeated = self.counts.filter("n_docs > 1").join(likely, ["k1", "k2"], "left_semi").select("k1", "k2")
+        # Reduced to one row a key before the join, and written, so that a join with it can split a common key.
+        first = self.references.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+        return materialize(first.join(repeated, ["k1", "k2"], "left_semi"), "first")
 
     def without_repeats(self, docs: DataFrame) -> DataFrame:
         """(doc_id, text, n_lines, n_dropped) of documents of the index: lines that a smaller doc_id holds are left out.
