@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,10 @@ TYPE = rf"(?:(?:[&*]|\[[0-9]*+\]|'\w++[ \t]|(?:mut|const|dyn|readonly|unique)[ \
 ANNOTATION = re.compile(rf"[ \t]*+{TYPE}(?:[ \t]*+\|[ \t]*+{TYPE})*+[ \t]*+=(?![=>~])", re.A)
 OPENING = re.compile(r"[ \t]*+((?:[(\[{][ \t\r\n]*+)*+)")
 QUOTED = re.compile(r"(?:[rRbBuUfFL@$]{1,2}(?=[\"']))?(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)")
-BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
+# A bare value ends at white space, punctuation and `&`; it takes four stretches between `:` or `=` at most, as each of those
+# may begin a value of its own, and the padding of encoded bytes.
+BARE = re.compile(r"(?:[:=]*+[^\s\"'`,;(){}\[\]<>&:=]++){1,4}+={0,2}+")
+BARE_GOES_ON = re.compile(r"[^\s\"'`,;(){}\[\]<>&]")
 WORD = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*+")
 # What joins two parts of a value, and literals side by side; within brackets lines may break anywhere.
 JOIN = re.compile(r"(?:[ \t]*+(?:\\?\r?\n[ \t]++)?)(?:\+|&|\|\||\.\.?(?=[ \t]*+[\"'$]))[ \t]*+(?:\\?\r?\n[ \t]*+)?(?=[A-Za-z_$@\"'`])")
@@ -82,10 +86,10 @@ def names_before(text: str, at: int) -> list[str]:
     `name varchar(50) =`, `name As String =`).
     """
     at = skip_blanks_back(text, at)
-    if size := SIZE.search(text, max(0, at - 24), at):
+    if text[at - 1 : at] == ")" and (size := SIZE.search(text, max(0, at - 24), at)):
         at = skip_blanks_back(text, size.start())
     near = NAME.search(text, max(0, at - 150), at)
-    array = ARRAY.search(text, max(0, at - 300), at)
+    array = ARRAY.search(text, max(0, at - 300), at) if text[at - 1 : at] == "]" else None
     names = [m[1] for m in (near, array) if m]
     if near:
         prefix = TYPE_PREFIX.search(text, max(0, near.start() - 24), near.start())
@@ -104,23 +108,74 @@ def names_before(text: str, at: int) -> list[str]:
     return names
 
 
-# A literal with its place, or the list of those that a constant was joined of.
-Part = tuple[str, int, int] | list
+# A literal with its place.
+Literal = tuple[str, int, int]
+CODES = 128
+# Above this a count of characters is scaled down: what a name joined to itself again and again stands for.
+MANY = 1e100
 
 
-def flat(parts: list[Part]) -> list[Part]:
-    """The literals of a value without white space, constants' in their place: what has white space is no part of a secret."""
-    out, rest = [], list(reversed(parts))
-    while rest:
-        if isinstance(part := rest.pop(), list):
-            rest.extend(reversed(part))
-        elif part[0] and not re.search(r"\s", part[0]):
-            out.append(part)
-    return out
+class Node:
+    """Literals that a value is joined of, and the nodes of constants in it, which many values may share.
 
+    `told`: all its literals are reported. `walked`: the highest sensitivity for which its literals were looked at
+    one by one. Either way a node is walked once, however many names it reaches.
+    """
 
-def joined_parts(text: str, at: int, inside: str, constants: dict[str, list[Part]]) -> tuple[list[Part] | None, int]:
-    """The literals that one value at `at` is joined of, constants replaced by theirs, and where it ends.
+    __slots__ = ("parts", "told", "walked")
+
+    def __init__(self, parts: list[Literal | Node]):
+        self.parts, self.told, self.walked = parts, False, 0.0
+
+
+class Value:
+    """What a name stands for: its literals without white space, how many characters of each kind they have in all, the best single one."""
+
+    __slots__ = ("node", "n", "counts", "best", "single")
+
+    def __init__(self, parts: list[Literal | Value]):
+        # What has white space is no part of a secret.
+        kept = [p for p in parts if isinstance(p, Value) or p[0] and not re.search(r"\s", p[0])]
+        self.node = Node([p.node if isinstance(p, Value) else p for p in kept])
+        self.single = kept[0][0] if len(kept) == 1 and not isinstance(kept[0], Value) else None
+        self.n, self.counts, self.best = None, None, 0.0
+        if any(isinstance(p, Value) for p in kept):
+            # Constants are measured when they become part of another value: one step deep, however long the chain.
+            self._measure(kept)
+
+    def _measure(self, parts: list[Literal | Value]) -> None:
+        self.n, self.counts = 0.0, np.zeros(CODES, np.float64)
+        for part in parts:
+            if isinstance(part, Value):
+                part.measured()
+                self.n, self.counts, self.best = self.n + part.n, self.counts + part.counts, max(self.best, part.best)
+            else:
+                codes = np.frombuffer(part[0].encode("utf-32-le", "surrogatepass"), np.uint32)
+                self.n += len(codes)
+                self.counts += np.bincount(np.where(codes < CODES, codes, codes % 32), minlength=CODES)
+                self.best = max(self.best, literal_weight(part[0]))
+        if self.n > MANY:
+            self.n, self.counts = self.n / MANY, self.counts / MANY
+
+    def measured(self) -> Value:
+        if self.n is None:
+            self._measure(self.node.parts)
+        return self
+
+    def weight(self) -> float:
+        """`literal_weight` of all literals joined."""
+        if self.single is not None:
+            return literal_weight(self.single)
+        self.measured()
+        if self.n < MIN_LENGTH:
+            return 0.0
+        share = self.counts[self.counts > 0] / self.n
+        mixed = bool(self.counts[48:58].any()) + bool(self.counts[65:91].any() or self.counts[97:123].any())
+        return min(float(-(share * np.log2(share)).sum()), 4.0) / 2 + 0.5 * mixed
+
+
+def joined_parts(text: str, at: int, inside: str, constants: dict[str, Value]) -> tuple[list[Literal | Value] | None, int]:
+    """The literals that one value at `at` is joined of, constants as their values, and where it ends.
 
     None where there is no value. A bare word that is no constant stands for
     itself, if nothing else is joined to it.
@@ -134,7 +189,7 @@ def joined_parts(text: str, at: int, inside: str, constants: dict[str, list[Part
             parts.append((term[group], term.start(group), term.end(group)))
             seen = True
         elif term := WORD.match(text, at):
-            whole = BARE.match(text, term.end(), term.end() + 1) is None
+            whole = BARE_GOES_ON.match(text, term.end()) is None
             # A joined word before an operator is the next statement's name.
             if (whole or JOIN.match(text, term.end())) and term[0] in constants and (at == first or not KEY_END.match(text, term.end())):
                 parts.append(constants[term[0]])
@@ -159,19 +214,22 @@ def joined_parts(text: str, at: int, inside: str, constants: dict[str, list[Part
     return [(bare[0], bare.start(), bare.end())], bare.end()
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[Part]]]:
-    """(name, value, literals that it is joined of with their places, constants as lists) of each assignment-like place, left to right.
+def assignments(text: str) -> Iterator[tuple[str, str, Value]]:
+    """(name, its own literals joined, value) of each assignment-like place, left to right.
 
     Covers `name = value`, `name: value`, `"name": "value"`, `name := value`,
     `name => value`, `name: type = value`, `name type = value` and `name[] = value`,
-    with values quoted or bare up to white space or punctuation, in brackets (each
-    element of a list is a value), and joined of literals and constants.
-    A bare identifier stands for the literals last assigned to it above.
-    A comparison is no assignment.
+    with values quoted or bare (see BARE), in brackets (each element of a list is a
+    value), and joined of literals and constants. A bare identifier stands for
+    the literals last assigned to it above. A comparison is no assignment, nor is `::`.
+
+    Limits: of a name the last 128 characters count, array bounds and types may
+    have 60 and 24, brackets of a type three levels. Work and memory are linear in the text: values share what
+    constants stand for.
     """
-    constants: dict[str, list[Part]] = {}
+    constants: dict[str, Value] = {}
     for op in OPERATOR.finditer(text):
-        if op[0] == "==" or text[op.start() - 1 : op.start()] in ("!", "<", ">"):
+        if op[0] == "==" or text[op.start() - 1 : op.start()] in ("!", "<", ">") or op[0] == ":" and text[op.end() : op.end() + 1] == ":":
             continue
         if not (names := names_before(text, op.start())):
             continue
@@ -181,15 +239,42 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[Part]]]:
         while True:
             parts, at = joined_parts(text, at, inside, constants)
             if parts:
-                values.append(parts)
+                values.append((parts, Value(parts)))
             after = NEXT.match(text, at) if inside and parts is not None else None
             if not after:
                 break
             at = after.end()
-        for name in names if values else ():
-            constants[name] = values[0] if len(values) == 1 else values
-            for parts in values:
-                yield name, "".join(p[0] for p in parts if isinstance(p, tuple)), parts
+        if values:
+            constant = values[0][1] if len(values) == 1 else Value([v for _, v in values])
+            for name in names:
+                constants[name] = constant
+                for parts, value in values:
+                    yield name, "".join(p[0] for p in parts if isinstance(p, tuple)), value
+
+
+def _tell(node: Node, found: set[tuple[int, int]]) -> None:
+    """All literals of a node."""
+    rest = [node]
+    while rest:
+        if not (now := rest.pop()).told:
+            now.told = True
+            found.update(p[1:] for p in now.parts if isinstance(p, tuple))
+            rest.extend(p for p in now.parts if not isinstance(p, tuple))
+            # All is said: what only this node holds can go.
+            now.parts = []
+
+
+def _tell_single(node: Node, weight: float, threshold: float, found: set[tuple[int, int]]) -> None:
+    """Those literals of a node that suffice one by one."""
+    rest = [node]
+    while rest:
+        if not (now := rest.pop()).told and weight > now.walked:
+            now.walked = weight
+            for part in now.parts:
+                if not isinstance(part, tuple):
+                    rest.append(part)
+                elif (one := literal_weight(part[0])) and weight + one >= threshold:
+                    found.add(part[1:])
 
 
 def lexed_spans(text: str, threshold: float = SCORE) -> list[tuple[int, int]]:
@@ -198,16 +283,15 @@ def lexed_spans(text: str, threshold: float = SCORE) -> list[tuple[int, int]]:
     The literals' own places are reported, since those have to go. Of joined
     literals those without white space are weighed together and each alone.
     """
-    found = set()
-    for name, _, parts in assignments(text):
-        if not (weight := sensitivity(name)):
+    found: set[tuple[int, int]] = set()
+    for name, _, value in assignments(text):
+        if not (weight := sensitivity(name)) or value.node.told:
             continue
-        parts = flat(parts)
-        own = literal_weight("".join(p[0] for p in parts))
+        own = value.weight()
         if own and weight + own >= threshold:
-            found.update((start, end) for _, start, end in parts)
-        elif len(parts) > 1:
-            found.update((start, end) for value, start, end in parts if (one := literal_weight(value)) and weight + one >= threshold)
+            _tell(value.node, found)
+        elif value.single is None and value.best and weight + value.best >= threshold:
+            _tell_single(value.node, weight, threshold, found)
     return sorted(found)
 
 

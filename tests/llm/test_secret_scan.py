@@ -1,7 +1,10 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
+import pytest
 from pyspark.sql import functions as F
 
 from rowlore.llm.secret_scan import assignments, find_secrets, lexed_spans, redact, redact_documents
@@ -90,3 +93,30 @@ def test_redaction(spark):
     rows = redact_documents(docs).collect()
     assert sorted(r["text"] or "" for r in rows) == ["", redact(text), redact(text)] and rows[0]["found"] == 3
     assert redact_documents(docs.limit(0)).count() == 0 and find_secrets(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    'token = "ab12"\n' + "token = token + token\n" * 45_000, "http://host/?" + "&".join(f"p{i}=v{i}" for i in range(80_000)), "a=" * 500_000,
+    'token = "ab12"\n' + 'token = token + "x1"\n' * 47_000, "token:" * 160_000, "a::" * 330_000, "a:b[" * 250_000,
+    "x = [" + ",".join(f'"k9Xw2LmQ7p{i}"' for i in range(25_000)) + "]\n" + "token = x\n" * 50_000,
+], ids=["doubled", "url", "equals", "appended", "colons", "scopes", "brackets", "list"])
+def test_a_megabyte_takes_seconds(text):
+    """Work and memory are linear in the text: constants of constants, texts without blanks."""
+    start = time.process_time()
+    tracemalloc.start()
+    lexed_spans(text[: len(text) // 10])
+    small = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first = time.process_time() - start
+    start = time.process_time()
+    lexed_spans(text)
+    assert time.process_time() - start < max(30 * first, 30) and small < 40e6
+
+
+def test_values_of_values():
+    found = lambda text: [text[s:e] for s, e in lexed_spans(text)]
+    assert found('a = "k9Xw"\na = a + "2LmQ"\nb = a + a\nb = b + "7pZt"\nsecret = b') == ["k9Xw", "2LmQ", "7pZt"]
+    assert found('x = ["short", "k9Xw2LmQ7pZt4vB1"]\nfor y = x\ntitle = y\npassword = y') == ["short", "k9Xw2LmQ7pZt4vB1"]
+    # A value of a query string ends at the next parameter; padding belongs to it.
+    assert found("https://host/p?secret=k9Xw2LmQ7pZt4vB1==&x=k9Xw2LmQ7pZt4vB2&y") == ["k9Xw2LmQ7pZt4vB1=="]
+    assert found("password=ab:k9Xw2LmQ7pZt4vB1") == ["ab:k9Xw2LmQ7pZt4vB1"] and found("x::password::k9Xw2LmQ7pZt4vB1") == []
