@@ -28,9 +28,9 @@ BASE = 0x9E3779B97F4A7C15
 # Pieces end at these bytes; a full stop marks the place. Words end at blanks and tabs.
 MARKED = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b".........." )
 RUNS = "run long, lang string, n_words long, own long, words binary, ids binary"
-# A pointer is a run, a place there and a size; a fingerprint travels with a second one and a count in one number.
-PLACE_BITS, COUNT_BITS, RUN_BITS = 24, 22, 18
-PARTIAL = "fp long, check long, pointer long"
+# A fingerprint's lowest bits are its size less one; it travels with a second one, of 32 bits, and a count in one number.
+SIZE_BITS, COUNT_BITS, TASK_BITS = 2, 22, 32
+PARTIAL = "fp long, check long, run long"
 COUNTED = "lang string, size int, phrase string, n long"
 
 
@@ -54,7 +54,7 @@ class Run:
         self.run, self.lang, self.own = row["run"], row["lang"], row["own"]
         self.words = [b"."] + unpack(row["words"]).split(b" ")
         self.ids = np.frombuffer(unpack(row["ids"]), np.int32)
-        self.mask = np.uint64((1 << bits) - 1)
+        self.mask = np.uint64((1 << bits) - 1 << SIZE_BITS)
         seed = xxh64_intdigest(self.lang.encode())
         hashes = np.frombuffer(bytes(16) + b"".join(xxh3_128_digest(w, seed) for w in self.words[1:]), np.uint64).reshape(-1, 2)
         power = np.full(len(self.ids), BASE, np.uint64)
@@ -74,7 +74,7 @@ class Run:
         """(place, fingerprint) of every word sequence of this size within a piece."""
         starts = max(0, min(self.own, len(self.ids) - size + 1))
         at = np.flatnonzero(self.ends[size : size + starts] == self.ends[:starts])
-        return at, self._print(0, at, size) & self.mask
+        return at, self._print(0, at, size) & self.mask | np.uint64(size - 1)
 
     def _by_text(self, code: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
         for k in range(size):
@@ -82,21 +82,19 @@ class Run:
         return code
 
     def partial(self, size: int, at: np.ndarray, prints: np.ndarray) -> pa.Table:
-        """Each text once: its fingerprint, a second one with its count, and a pointer to where it is first seen."""
+        """Each text once: its fingerprint, a second one with its count, and the run that has it."""
         _, first, group, n = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
         like = at[first[group]]
         if any((self.ids[at + k] != self.ids[like + k]).any() for k in range(size)):
             _, first, n = np.unique(self._by_text(group, at, size), return_index=True, return_counts=True)
-        second = self._print(1, at[first], size) >> np.uint64(COUNT_BITS + 1)
-        check = second.astype(np.int64) << COUNT_BITS | n
-        pointer = self.run << PLACE_BITS | at[first] * LONGEST + size - 1
-        return pa.table(dict(zip(("fp", "check", "pointer"), map(pa.array, (prints[first].view(np.int64), check, pointer)))))
+        second = (self._print(1, at[first], size) >> np.uint64(32)).astype(np.int64)
+        return pa.table({"fp": prints[first].view(np.int64), "check": second << COUNT_BITS | n, "run": np.full(len(first), self.run)})
 
-    def frequent(self, places: np.ndarray, size: int) -> np.ndarray:
-        """Places of the sequences of this size whose fingerprint is that of one of the given places."""
-        at, prints = self.grams(size)
-        named = places[places % LONGEST == size - 1] // LONGEST
-        return at[np.isin(prints, prints[np.searchsorted(at, named)])]
+    def places(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, fingerprint) of the sequences of this size that have one of the given fingerprints."""
+        at, own = self.grams(size)
+        kept = np.isin(own, prints[prints & np.uint64(LONGEST - 1) == size - 1])
+        return at[kept], own[kept]
 
     def spelled(self, at: np.ndarray, size: int) -> tuple[list[str], np.ndarray]:
         """The distinct texts of the sequences at these places, and how often each is there."""
@@ -112,7 +110,7 @@ def _cut(limit: int):
         import zstandard
 
         pack = zstandard.ZstdCompressor().compress
-        number = count(TaskContext.get().partitionId() << RUN_BITS)
+        number = count(TaskContext.get().partitionId() << TASK_BITS)
         held: dict[str, tuple[dict, list[np.ndarray]]] = {}
 
         def new() -> tuple[dict, list[np.ndarray]]:
@@ -169,7 +167,7 @@ def _long(bits: int):
     def run(runs: pa.Table, echo: pa.Table) -> pa.Table:
         own = Run(runs.to_pylist()[0], bits)
         pair = np.zeros(len(own.ids) + LONGEST, bool)
-        pair[own.frequent(echo.column("place").to_numpy(), 2)] = True
+        pair[own.places(echo.column("fp").to_numpy().view(np.uint64), 2)[0]] = True
         pair[own.own :] = True  # pairs of the next run are unknown here
         tables = []
         for size in range(3, LONGEST + 1):
@@ -185,47 +183,51 @@ def _spell(bits: int):
     """Texts and counts of the fingerprints that a run spells: those it leads, by their total, and mixed ones, by its own count."""
 
     def run(runs: pa.Table, echo: pa.Table) -> pa.Table:
-        own, found = Run(runs.to_pylist()[0], bits), []
-        places, totals, mixed = (echo.column(c).to_numpy() for c in ("place", "total", "mixed"))
-        for place, total in zip(places[~mixed].tolist(), totals[~mixed].tolist()):
-            found.append((place % LONGEST + 1, own.spell(place // LONGEST, place % LONGEST + 1), total))
+        own, tables = Run(runs.to_pylist()[0], bits), []
+        prints, totals, mixed = (echo.column(c).to_numpy() for c in ("fp", "total", "mixed"))
+        prints = prints.view(np.uint64)
+        order = np.argsort(prints[~mixed])
+        led, totals = prints[~mixed][order], totals[~mixed][order]
         for size in range(1, LONGEST + 1):
-            found += [(size, phrase, n) for phrase, n in zip(*own.spelled(own.frequent(places[mixed], size), size))]
-        sizes, phrases, n = zip(*found) if found else ((), (), ())
-        columns = [[own.lang] * len(found), sizes, phrases, n]
-        types = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        return pa.table({name: pa.array(c, t) for name, c, t in zip(("lang", "size", "phrase", "n"), columns, types)})
+            at, found = own.places(led, size)
+            found, first = np.unique(found, return_index=True)
+            phrases, n = [own.spell(p, size) for p in at[first]], totals[np.searchsorted(led, found)]
+            more, counts = own.spelled(own.places(prints[mixed], size)[0], size)
+            columns = [[own.lang] * (len(n) + len(counts)), np.full(len(n) + len(counts), size, np.int32), phrases + more, np.concatenate([n, counts])]
+            types = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            tables.append(pa.table({name: pa.array(c, t) for name, c, t in zip(("lang", "size", "phrase", "n"), columns, types)}))
+        return pa.concat_tables(tables)
 
     return run
 
 
 def _frequent(partial: DataFrame, min_count: int) -> DataFrame:
-    """(run, place, total, lead, mixed) of the fingerprints that all runs together have often enough.
+    """(run, fp, total, mixed, spells) of the fingerprints that all runs together have often enough.
 
-    One run leads: it will spell the text. A fingerprint is mixed if its second
-    ones differ, so that it stands for several texts.
+    One run leads and will spell the text. A fingerprint is mixed if its second
+    ones differ, so that it stands for several texts: then all its runs spell.
     """
     own = Window.partitionBy("fp")
     second = F.shiftright("check", COUNT_BITS)
     found = partial.select(
-        "pointer", F.sum(F.col("check").bitwiseAND((1 << COUNT_BITS) - 1)).over(own).alias("total"),
-        (F.min("pointer").over(own) == F.col("pointer")).alias("lead"), (F.min(second).over(own) < F.max(second).over(own)).alias("mixed"),
+        "run", "fp", F.sum(F.col("check").bitwiseAND((1 << COUNT_BITS) - 1)).over(own).alias("total"),
+        (F.min("run").over(own) == F.col("run")).alias("lead"), (F.min(second).over(own) < F.max(second).over(own)).alias("mixed"),
     )
-    place = F.col("pointer").bitwiseAND((1 << PLACE_BITS) - 1)
-    return found.filter(F.col("total") >= min_count).select(F.shiftright("pointer", PLACE_BITS).alias("run"), place.alias("place"), "total", "lead", "mixed")
+    found = found.filter(F.col("total") >= min_count).withColumn("spells", F.col("lead") | F.col("mixed"))
+    return found.select("run", "fp", F.when(F.col("spells"), F.col("total")).alias("total"), "mixed", "spells")
 
 
-def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, run_tokens: int = RUN_TOKENS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, run_tokens: int = RUN_TOKENS, bits: int = 62) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, f) of all frequent phrases of 1 to 4 words, and (lang, n): all words of a language.
 
     Tasks cut their documents into runs, written once as numbers with their
     distinct words. A run sends each fingerprint once, with its count and a
-    pointer to a place that has it; runs learn which of their pairs are frequent
+    pointer to the run; runs learn which of their pairs are frequent
     in all. Phrases of three and four words are only sent if all their pairs are
-    frequent, as those of frequent ones are. Last, texts are read off at the pointers: one
+    frequent, as those of frequent ones are. Last, texts are read off: one
     run spells a frequent fingerprint. Within a run all places of a
-    fingerprint are compared word by word; between runs a second fingerprint (41
-    bits beside the 64) must agree. Where either differs, all runs that have the fingerprint
+    fingerprint are compared word by word; between runs a second fingerprint (32
+    bits beside the 62) must agree. Where either differs, all runs that have the fingerprint
     spell what it stands for and texts are counted instead, so `bits` (of the
     first one) changes no result. No table of phrases is broadcast, and a common phrase is one row a run.
     """
@@ -235,11 +237,11 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, run_tokens: int =
     runs = materialize(cut.mapInArrow(_cut(run_tokens), RUNS), "runs")
     keyed = runs.groupBy("run")
     short = _frequent(runs.mapInArrow(_short(bits), PARTIAL), min_count)
-    pairs = F.col("place") % LONGEST == 1
-    short = materialize(short.filter(pairs | F.col("lead") | F.col("mixed")), "frequent")
-    longer = keyed.cogroup(short.filter(pairs).select("run", "place").groupBy("run")).applyInArrow(_long(bits), PARTIAL)
-    longer = materialize(_frequent(longer, min_count).filter("lead OR mixed"), "frequent")
-    named = short.filter("lead OR mixed").union(longer).select("run", "place", "total", "mixed")
+    pairs = F.col("fp").bitwiseAND(LONGEST - 1) == 1
+    short = materialize(short.filter(pairs | F.col("spells")), "frequent")
+    longer = keyed.cogroup(short.filter(pairs).select("run", "fp").groupBy("run")).applyInArrow(_long(bits), PARTIAL)
+    longer = materialize(_frequent(longer, min_count).filter("spells"), "frequent")
+    named = short.filter("spells").union(longer).select("run", "fp", "total", "mixed")
     spelled = keyed.cogroup(named.groupBy("run")).applyInArrow(_spell(bits), COUNTED)
     known = spelled.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
     return materialize(known, "phrases"), runs.groupBy("lang").agg(F.sum("n_words").alias("n"))
@@ -276,7 +278,7 @@ def without_covered(phrases: DataFrame, known: DataFrame, percent: int = COVERED
     return met.filter(F.col("_most").isNull() | ~covered).drop("_most")
 
 
-def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, run_tokens: int = RUN_TOKENS, bits: int = 64) -> DataFrame:
+def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, run_tokens: int = RUN_TOKENS, bits: int = 62) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` collocations.
 
     A null text is empty, a null lang is `und`; repeated rows count each time; other
