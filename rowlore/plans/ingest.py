@@ -117,7 +117,10 @@ def ingest_tabular(
 
 
 def store_schemas(catalog: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Add or replace catalog entries by id; the file defaults to the source file."""
+    """Add or replace catalog entries by id; the file defaults to the source file.
+
+    Of new entries with one id the last import stays: by date, then file, then batch, where there is one.
+    """
     marked = F.map_concat(
         F.map_filter(
             F.coalesce("metadata", F.expr("cast(map() as map<string, string>)")), lambda k, v: k != "document_type"
@@ -127,9 +130,9 @@ def store_schemas(catalog: DataFrame | None, new: DataFrame) -> DataFrame:
     ready = new.withColumn("metadata", marked).withColumn(
         "file", F.coalesce(F.nullif("file", F.lit("")), "source_file")
     )
-    # Of new entries with one id the last import stays.
-    w = Window.partitionBy("id").orderBy(F.desc("import_date"), F.desc("file"), F.desc("import_batch_id"))
+    order = [c for c in ("import_date", "file", "import_batch_id") if c in ready.columns]
+    w = Window.partitionBy("id").orderBy(*(F.desc(c) for c in order))
     ready = ready.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     if catalog is None:
         return ready
-    return catalog.join(ready.select("id").distinct(), "id", "left_anti").unionByName(ready)
+    return catalog.join(ready.select("id").distinct(), "id", "left_anti").unionByName(ready, allowMissingColumns=True)

@@ -88,3 +88,12 @@ def test_scores_come_in_tiles(monkeypatch):
     assert max(map(max, seen)) == 7
     order = lambda df: df.sort_values(["q", "score", "id"])[["q", "id", "score"]].reset_index(drop=True)
     assert order(whole)[["q", "id"]].equals(order(tiled)[["q", "id"]]) and np.allclose(order(whole)["score"], order(tiled)["score"])
+
+
+def test_catalog_entries_with_and_without_a_batch(spark):
+    """Entries are stored whether or not they name an import batch."""
+    new = spark.createDataFrame([("a", "", "s1", date(2024, 1, 1), None), ("a", "f2", "s2", date(2024, 1, 2), None), ("b", None, "s3", date(2024, 1, 1), None)], "id string, file string, source_file string, import_date date, metadata map<string,string>")
+    first = store_schemas(None, new)
+    assert sorted((r["id"], r["file"]) for r in first.collect()) == [("a", "f2"), ("b", "s3")]
+    again = store_schemas(first, new.where("id = 'b'").withColumn("import_batch_id", F.lit("x")))
+    assert sorted((r["id"], r["file"], r["import_batch_id"]) for r in again.collect()) == [("a", "f2", None), ("b", "s3", "x")]

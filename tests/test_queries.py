@@ -16,11 +16,6 @@ from rowlore.operators.catalog import merge_schema
 from rowlore.operators.retrieve import similar_batch
 from rowlore.queries import all_queries, all_sql
 
-# Queries that between them touch every module; `check.py` runs all of them.
-CHECKED = (
-    "parse_sentence", "filter_or_of_ands", "filter_table_match", "merge_schema", "vector_hybrid", "vector_topk_batch",
-    "search_multi_filter", "chunk_text", "summarize_extractive", "csv_rows", "upsert_records", "ask_documents",
-)
 JOINLESS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
@@ -32,14 +27,14 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_sql(spark, sf, db, name):
-    df = entry.queries()[name](spark, sf)
+    df = all_queries()[name](spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(bad in plan for bad in JOINLESS)
     cols = sorted(df.columns)
     mine = Counter(tuple(normal(r[c]) for c in cols) for r in df.collect())
-    cur = db.execute(entry.oracle_sql()[name])
+    cur = db.execute(all_sql()[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     assert mine == Counter(tuple(normal(r[names.index(c)]) for c in cols) for r in cur.fetchall())
