@@ -20,27 +20,62 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of (conv_id, call_id, depends_on): the number of calls that must come before.
+NODE = ["conv_id", "call_id"]
 
-    The level follows from doubling pointers: each round a call learns what its
-    furthest known predecessor knows, so a chain of n calls takes log n joins. A
-    call that depends on none, or on one that isn't there, has level 0; calls on
-    or behind a cycle have level -1. A round is written to the shared folder.
+
+def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level, after): the longest chain of calls that must come before a call, and the last turn of those.
+
+    `calls` has (conv_id, call_id, turn), `edges` (conv_id, call_id, depends_on); a
+    call may depend on any number of others, those that aren't there don't count, and of repeated
+    calls the first turn does. Each round takes off the calls that wait for none, whose level
+    is then known, and splices calls with one predecessor and one successor out of
+    chains: one whose hash exceeds those of both, so no two neighbours go at once. So a long
+    chain takes a logarithm of rounds. What stays when nothing more can go is on or
+    behind a cycle: level -1. Spliced calls get theirs from their predecessor's, last
+    round first. Each round is written to the shared folder.
     """
-    known = calls.select("conv_id", "call_id").distinct()
-    here = known.withColumnRenamed("call_id", "depends_on").withColumn("_there", F.lit(1))
-    now = calls.groupBy("conv_id", "call_id").agg(F.min("depends_on").alias("depends_on")).join(here, ["conv_id", "depends_on"], "left")
-    now = now.select("conv_id", "call_id", F.when(F.col("_there") == 1, F.col("depends_on")).alias("up"), F.when(F.col("_there") == 1, 1).otherwise(0).cast("long").alias("level"))
-    now = materialize(now, "levels")
-    rounds, bound = 0, now.count().bit_length() + 1
-    while rounds < bound and not now.filter("up IS NOT NULL").isEmpty():
-        above = now.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("_up"), F.col("level").alias("_level"))
-        now = now.join(above, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("_up").alias("up"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"))
-        now = materialize(now, "levels")
-        rounds += 1
-    # More rounds than a chain of all calls needs: what still has a predecessor goes round.
-    return now.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("level")).otherwise(-1).alias("level"))
+    nodes = calls.groupBy(*NODE).agg(F.min("turn").alias("turn"))
+    ids = nodes.select(*NODE)
+    links = edges.select("conv_id", F.col("depends_on").alias("src"), F.col("call_id").alias("dst")).distinct()
+    links = links.join(ids.withColumnRenamed("call_id", "src"), ["conv_id", "src"], "left_semi").join(ids.withColumnRenamed("call_id", "dst"), ["conv_id", "dst"], "left_semi")
+    links = materialize(links.select("conv_id", "src", "dst", F.lit(1).cast("long").alias("steps"), F.lit(None).cast("long").alias("turns")), "links")
+    live = nodes.withColumns({"level": F.lit(0).cast("long"), "after": F.lit(None).cast("long")})
+    done, spliced, number = [], [], 0
+    while True:
+        into = links.groupBy("conv_id", F.col("dst").alias("call_id")).agg(F.count("*").alias("n_in"), F.min("src").alias("src"), F.min("steps").alias("steps"), F.min("turns").alias("turns"))
+        out = links.groupBy("conv_id", F.col("src").alias("call_id")).agg(F.count("*").alias("n_out"), F.min("dst").alias("dst"), F.min("steps").alias("_steps"), F.min("turns").alias("_turns"))
+        state = materialize(live.join(into, NODE, "left").join(out, NODE, "left").fillna(0, ["n_in", "n_out"]), "levels")
+        inner = (F.col("n_in") == 1) & (F.col("n_out") == 1) & (F.col("level") == 0) & F.col("after").isNull() & (F.col("src") != F.col("call_id"))
+        if state.filter((F.col("n_in") == 0) | inner).isEmpty():
+            break
+        rank = lambda c: F.xxhash64("conv_id", c, F.lit(number))  # noqa: E731, B023
+        goes = inner & (rank("call_id") > rank("src")) & (rank("call_id") > rank("dst"))
+        first, cut = state.filter("n_in = 0"), state.filter(goes)
+        done.append(first.select(*NODE, "turn", "level", "after"))
+        spliced.append(cut.select(*NODE, "turn", "src", "steps", "turns"))
+        joined = cut.select("conv_id", "src", "dst", (F.col("steps") + F.col("_steps")).alias("steps"), F.greatest("turns", "turn", "_turns").alias("turns"))
+        gone = cut.select(*NODE)
+        kept = links.join(gone.withColumnRenamed("call_id", "src"), ["conv_id", "src"], "left_anti").join(gone.withColumnRenamed("call_id", "dst"), ["conv_id", "dst"], "left_anti")
+        kept = kept.unionByName(joined).groupBy("conv_id", "src", "dst").agg(F.max("steps").alias("steps"), F.max("turns").alias("turns"))
+        kept = materialize(kept, "links")
+        before = first.select("conv_id", F.col("call_id").alias("src"), "level", F.greatest("turn", "after").alias("_turn"))
+        pushed = kept.join(before, ["conv_id", "src"]).groupBy("conv_id", F.col("dst").alias("call_id")).agg(
+            F.max(F.col("level") + F.col("steps")).alias("_level"), F.max(F.greatest("_turn", "turns")).alias("_after")
+        )
+        rest = state.filter((F.col("n_in") > 0) & ~goes).select(*NODE, "turn", "level", "after").join(pushed, NODE, "left")
+        live = materialize(rest.select(*NODE, "turn", F.greatest("level", "_level").alias("level"), F.greatest("after", "_after").alias("after")), "live")
+        links, number = kept.join(before.select("conv_id", "src"), ["conv_id", "src"], "left_anti"), number + 1
+    known = state.select(*NODE, "turn", F.lit(-1).cast("long").alias("level"), F.lit(None).cast("long").alias("after"))
+    for found in done:
+        known = known.unionByName(found)
+    for cut in reversed(spliced):
+        above = known.select("conv_id", F.col("call_id").alias("src"), F.col("turn").alias("_turn"), F.col("level").alias("_level"), F.col("after").alias("_after"))
+        level = F.when(F.col("_level") < 0, F.lit(-1).cast("long")).otherwise(F.col("_level") + F.col("steps"))
+        after = F.when(F.col("_level") >= 0, F.greatest("_turn", "_after", "turns"))
+        back = cut.join(above, ["conv_id", "src"]).select(*NODE, "turn", level.alias("level"), after.alias("after"))
+        known = known.unionByName(materialize(back, "levels"))
+    return known.drop("turn")
 
 
 def argument_errors(arguments: str, properties: str) -> Column:
@@ -60,18 +95,20 @@ def argument_errors(arguments: str, properties: str) -> Column:
         END), e -> e IS NOT NULL) END""")
 
 
-def link_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
+def link_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, tools: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
     """Every message of conversations as a row with its place and its canonical JSON.
 
     messages: (conv_id, turn, role, content), which are neither calls nor results;
     calls: (conv_id, turn, call_id, name, arguments, depends_on); results:
     (conv_id, turn, call_id, content); tools: (name, properties), properties an
-    array of (name, type, required) structs, one row a tool.
+    array of (name, type, required) structs; of a tool listed twice the least one counts;
+    dependencies: (conv_id, call_id, depends_on), for calls that depend on more than one.
 
     A result belongs to the first call of its identifier in the conversation.
     Rows sorted by (order_turn, order_rank, level, turn, call_id) are in
-    topological order: a result that stands before its call moves to the call's
-    turn, and calls of one turn come after those that they depend on. `linked`
+    topological order: a call moves behind the last turn of all that it depends on, over
+    any number of steps, calls of one turn go by level, and a result that stands before its call moves
+    to the call's turn. Calls on or behind a cycle keep their turn, with level -1. `linked`
     says that a call has a result or a result its call; plain messages are
     linked to nothing and valid. Rows stay rows, so no conversation is gathered in
     one task. Null texts are null in the JSON, rows with a null conv_id or call_id link with nothing,
@@ -79,10 +116,14 @@ def link_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, tools:
     """
     calls = calls.select("conv_id", F.col("turn").cast("long"), F.col("call_id").cast("string"), "name", "arguments", F.col("depends_on").cast("string"))
     results = results.select("conv_id", F.col("turn").cast("long"), F.col("call_id").cast("string"), "content")
-    first = calls.filter("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("turn").alias("_call_turn"))
+    named = calls.filter("conv_id IS NOT NULL AND call_id IS NOT NULL")
     answered = results.groupBy("conv_id", "call_id").agg(F.lit(True).alias("_answered"))
-    depth = levels(calls.filter("conv_id IS NOT NULL AND call_id IS NOT NULL"))
-    kinds = tools.groupBy("name").agg(F.first("properties").alias("_properties"))
+    edges = calls.select("conv_id", "call_id", "depends_on")
+    if dependencies is not None:
+        edges = edges.unionByName(dependencies.select("conv_id", F.col("call_id").cast("string"), F.col("depends_on").cast("string")))
+    depth = levels(named, edges)
+    first = named.groupBy("conv_id", "call_id").agg(F.min("turn").alias("_call_turn"), F.lit(True).alias("_called"))
+    kinds = tools.groupBy("name").agg(F.min("properties").alias("_properties"))
     found = calls.join(answered.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(depth, ["conv_id", "call_id"], "left").join(kinds, "name", "left")
     found = found.withColumn("_fields", F.expr("try_variant_get(try_parse_json(arguments), '$', 'map<string, variant>')"))
     found = found.withColumn("errors", argument_errors("arguments", "_properties"))
@@ -94,15 +135,15 @@ def link_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, tools:
     call_rows = found.select(
         "conv_id", "turn", F.lit("call").alias("kind"), "call_id", F.coalesce("level", F.lit(0)).cast("long").alias("level"),
         F.coalesce("_answered", F.lit(False)).alias("linked"), (F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"),
-        F.col("turn").alias("order_turn"), F.lit(0).alias("order_rank"), call.alias("json"),
+        F.greatest("turn", "after").alias("order_turn"), F.lit(0).alias("order_rank"), call.alias("json"),
     )
     met = results.join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(depth, ["conv_id", "call_id"], "left")
     result = F.to_json(F.struct(F.col("content"), F.col("call_id").alias("id"), F.lit("tool").alias("role"), F.lit("result").alias("type")), {"ignoreNullFields": "false"})
-    linked = F.col("_call_turn").isNotNull()
+    linked = F.col("_called").isNotNull()
     result_rows = met.select(
         "conv_id", "turn", F.lit("result").alias("kind"), "call_id", F.coalesce("level", F.lit(0)).cast("long").alias("level"),
         linked.alias("linked"), linked.alias("valid"), F.when(linked, "").otherwise("no call").alias("errors"),
-        F.greatest("turn", "_call_turn").alias("order_turn"), F.lit(1).alias("order_rank"), result.alias("json"),
+        F.greatest("turn", "_call_turn", "after").alias("order_turn"), F.lit(1).alias("order_rank"), result.alias("json"),
     )
     plain = F.to_json(F.struct(F.col("content"), F.col("role"), F.lit("message").alias("type")), {"ignoreNullFields": "false"})
     plain_rows = messages.select(
@@ -113,45 +154,50 @@ def link_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, tools:
     return call_rows.union(result_rows).union(plain_rows).select(*MESSAGE_COLUMNS)
 
 
-def as_exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(messages, calls, results) of plain turns (conv_id, turn, role, text).
+def as_exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(messages, calls, results, dependencies) of plain turns (conv_id, turn, role, text).
 
     A user's turn asks: it is a call of the tool `answer` whose arguments are the
-    text and the turn, and it depends on the call two turns before. The assistant's
+    text and the turn. In conversations of even id it depends on the calls two and four turns
+    before; in others on the call two turns after, so that the last one has to come first. The assistant's
     turn is the result of the call one turn before. Other roles are messages.
     """
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    name = lambda turn: F.concat(F.lit("call-"), (F.col("turn") - turn).cast("string"))
-    calls = rows.filter("role = 'user'").select(
+    name = lambda turn: F.concat(F.lit("call-"), (F.col("turn") + turn).cast("string"))
+    asked, even = rows.filter("role = 'user'"), F.col("conv_id") % 2 == 0
+    calls = asked.select(
         "conv_id", "turn", name(0).alias("call_id"), F.when(F.col("role") == "user", "answer").alias("name"),
-        F.to_json(F.struct("turn", "text")).alias("arguments"), name(2).alias("depends_on"),
+        F.to_json(F.struct("turn", "text")).alias("arguments"), F.when(even, name(-2)).otherwise(name(2)).alias("depends_on"),
     )
-    results = rows.filter("role = 'assistant'").select("conv_id", "turn", name(1).alias("call_id"), F.col("text").alias("content"))
+    dependencies = asked.filter(even).select("conv_id", name(0).alias("call_id"), name(-4).alias("depends_on"))
+    results = rows.filter("role = 'assistant'").select("conv_id", "turn", name(-1).alias("call_id"), F.col("text").alias("content"))
     plain = rows.filter("role IS NULL OR role NOT IN ('user', 'assistant')")
-    return plain.select("conv_id", "turn", "role", F.col("text").alias("content")), calls, results
+    return plain.select("conv_id", "turn", "role", F.col("text").alias("content")), calls, results, dependencies
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """`link_calls` over `as_exchanges` of plain turns, with the schema of the tool `answer`."""
-    plain, calls, results = as_exchanges(conversations)
+    plain, calls, results, dependencies = as_exchanges(conversations)
     text, turn = (f"named_struct('name', '{n}', 'type', '{t}', 'required', true)" for n, t in (("text", "string"), ("turn", "integer")))
     tools = conversations.sparkSession.sql(f"SELECT * FROM VALUES ('answer', array({text}, {turn})) AS t(name, properties)")
-    return link_calls(plain, calls, results, tools)
+    return link_calls(plain, calls, results, tools, dependencies)
 
 
 FORMAT_SQL = """
 WITH RECURSIVE asked AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL),
-depth AS (
-  SELECT conv_id, turn, 0::BIGINT AS level FROM asked a WHERE NOT EXISTS (SELECT 1 FROM asked b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2)
-  UNION ALL SELECT a.conv_id, a.turn, d.level + 1 FROM asked a JOIN depth d ON a.conv_id = d.conv_id AND a.turn = d.turn + 2),
+edges AS (SELECT a.conv_id, a.turn AS dst, b.turn AS src FROM asked a JOIN asked b ON a.conv_id = b.conv_id
+  AND CASE WHEN a.conv_id % 2 = 0 THEN b.turn IN (a.turn - 2, a.turn - 4) ELSE b.turn = a.turn + 2 END),
+paths AS (SELECT conv_id, turn, 0::BIGINT AS level, NULL::BIGINT AS after FROM asked
+  UNION ALL SELECT e.conv_id, e.dst, p.level + 1, greatest(p.after, e.src) FROM paths p JOIN edges e ON e.conv_id = p.conv_id AND e.src = p.turn),
+depth AS (SELECT conv_id, turn, max(level) AS level, max(after) AS after FROM paths GROUP BY ALL),
 answered AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM conversations WHERE role = 'assistant')
 SELECT c.conv_id, c.turn, 'call' AS kind, 'call-' || c.turn AS call_id, d.level, a.turn IS NOT NULL AS linked, c.text IS NOT NULL AS valid,
-  CASE WHEN c.text IS NULL THEN 'missing text' ELSE '' END AS errors, c.turn AS order_turn, 0 AS order_rank,
+  CASE WHEN c.text IS NULL THEN 'missing text' ELSE '' END AS errors, greatest(c.turn, d.after) AS order_turn, 0 AS order_rank,
   '{"arguments":{"text":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":"call-' || c.turn || '","name":"answer","role":"assistant","type":"call"}' AS json
 FROM conversations c JOIN depth d USING (conv_id, turn) LEFT JOIN answered a USING (conv_id, turn) WHERE c.role = 'user'
 UNION ALL
 SELECT c.conv_id, c.turn, 'result', 'call-' || (c.turn - 1), coalesce(d.level, 0), d.level IS NOT NULL, d.level IS NOT NULL,
-  CASE WHEN d.level IS NULL THEN 'no call' ELSE '' END, c.turn, 1,
+  CASE WHEN d.level IS NULL THEN 'no call' ELSE '' END, greatest(c.turn, d.turn, d.after), 1,
   '{"content":' || to_json(c.text) || ',"id":"call-' || (c.turn - 1) || '","role":"tool","type":"result"}'
 FROM conversations c LEFT JOIN depth d ON c.conv_id = d.conv_id AND c.turn - 1 = d.turn WHERE c.role = 'assistant'
 UNION ALL

@@ -1,4 +1,5 @@
 import json
+import random
 from collections import Counter
 
 import duckdb
@@ -56,9 +57,61 @@ def test_links_order_and_errors(spark):
     assert link_calls(*none).count() == 0
 
 
+def brute_levels(calls, edges):
+    """(level, last turn before) of each call by plain search; -1 on or behind a cycle."""
+    before = {c: {d for a, d in edges if a == c and d in calls} for c in calls}
+
+    def reach(call):
+        seen, rest = set(), [call]
+        while rest:
+            for d in before[rest.pop()] - seen:
+                seen.add(d)
+                rest.append(d)
+        return seen
+
+    above = {c: reach(c) for c in calls}
+    out = {}
+
+    def level(c):
+        if c not in out:
+            out[c] = -1 if any(d in above[d] for d in above[c] | {c}) else max((1 + level(d) for d in before[c]), default=0)
+        return out[c]
+
+    return {c: (level(c), max((calls[d] for d in above[c]), default=None) if out[c] >= 0 else None) for c in calls if level(c) is not None}
+
+
+LEVELS = ("conv_id long, call_id string, turn long", "conv_id long, call_id string, depends_on string")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_equal_brute_force(spark, seed):
+    pick = random.Random(seed)
+    names = [f"c{i}" for i in range(40)]
+    calls = {c: pick.randint(0, 30) for c in names}
+    edges = [(names[i], names[pick.randrange(i)]) for i in range(1, 40) for _ in range(pick.randint(0, 2))] + [("c3", "gone")]
+    edges += [(names[i], names[i - 1]) for i in range(20, 40)] if seed == 1 else [("c5", "c30"), ("c7", "c7")] if seed == 2 else []
+    frames = spark.createDataFrame([(1, c, t) for c, t in calls.items()], LEVELS[0]), spark.createDataFrame([(1, a, b) for a, b in edges], LEVELS[1])
+    assert {r["call_id"]: (r["level"], r["after"]) for r in levels(*frames).collect()} == brute_levels(calls, edges)
+
+
 def test_levels_of_a_long_chain(spark):
-    calls = spark.createDataFrame([(1, f"c{i}", f"c{i - 1}") for i in range(300)], "conv_id long, call_id string, depends_on string")
-    assert {r["call_id"]: r["level"] for r in levels(calls).collect()} == {f"c{i}": i for i in range(300)}
+    calls = spark.createDataFrame([(1, f"c{i}", i) for i in range(200)], LEVELS[0])
+    edges = spark.createDataFrame([(1, f"c{i}", f"c{i - 1}") for i in range(200)], LEVELS[1])
+    assert {r["call_id"]: r["level"] for r in levels(calls, edges).collect()} == {f"c{i}": i for i in range(200)}
+
+
+def test_order_of_several_dependencies(spark):
+    """Two dependencies, one of them absent, and one in a later turn."""
+    calls = [(1, 1, "x", "t", "{}", "y"), (1, 3, "y", "t", "{}", None), (1, 4, "a", "t", "{}", None), (1, 4, "c", "t", "{}", "a"), (1, 4, "d", "t", "{}", "c"), (1, 4, "e", "t", "{}", "a")]
+    more = spark.createDataFrame([(1, "d", "absent"), (1, "e", "c"), (1, "e", None)], LEVELS[1])
+    results = spark.createDataFrame([(1, 2, "x", "r"), (1, 4, "e", "r")], RESULTS)
+    tools = spark.createDataFrame([("t", [("q", "string", True)]), ("t", [("p", "string", False)])], TOOLS)
+    made = link_calls(spark.createDataFrame([(1, 2, "user", "m")], MESSAGES), spark.createDataFrame(calls, CALLS), results, tools, more).collect()
+    order = [r["call_id"] or r["kind"] for r in sorted(made, key=lambda r: (r["order_turn"], r["order_rank"], r["level"], r["turn"], r["call_id"] or ""))]
+    assert order == ["message", "y", "x", "x", "a", "c", "d", "e", "e"]
+    assert {r["call_id"]: r["level"] for r in made if r["kind"] == "call"} == {"x": 1, "y": 0, "a": 0, "c": 1, "d": 2, "e": 2}
+    # Of a tool listed twice the least schema counts, whatever the order of rows.
+    assert all(r["errors"] == "" for r in made if r["kind"] == "call")
 
 
 @pytest.mark.parametrize("text, want", [('{"b":1, "a":{"d":[1, 2],"c":"é"}}', '{"a":{"c":"é","d":[1,2]},"b":1}'), ("{", None), (None, None), ("", None)])
