@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlore.llm.components import LINKS, components, roots
-from rowlore.plans.sizing import materialize
+from rowlore.plans.sizing import broadcast_if_small, materialize
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -19,7 +19,7 @@ SEED = 42
 # are within RADIUS of exactly one.
 LENGTH = 31
 RADIUS = 1
-# Anchors that more fingerprints than this are near to are split by 16-bit blocks.
+# Keys of more fingerprints than this are split by blocks of the bits that they say nothing of.
 HOT = 20_000
 PAIRS = 1 << 21
 
@@ -48,14 +48,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of every row; a null text counts as empty."""
+    """(doc_id, row, fingerprint as a signed long) of every row; a null text counts as empty, `row` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fingerprint"])
+            found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "row", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), _row_hash(text), text).mapInArrow(run, "doc_id long, row long, fingerprint long")
+
+
+def _row_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _syndromes(bits: np.ndarray) -> np.ndarray:
@@ -181,41 +186,58 @@ def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(tuple(np.concatenate(c) for c in zip(*held)))
 
 
-def fingerprint_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """Links (src, dst) that connect distinct fingerprints within THRESHOLD bits of each other.
+def _crowded(dealt: DataFrame, hot: int) -> DataFrame | None:
+    """Keys of more than `hot` rows, few as they are; None without any."""
+    found = materialize(dealt.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select("key"), "crowded")
+    return None if found.isEmpty() else broadcast_if_small(found)
+
+
+def _by_blocks(dealt: DataFrame, rest: Column, width: int) -> DataFrame:
+    """Each row under the four values of its free bits: three differing bits leave one of the four blocks alike.
+
+    `free` becomes the bits of the other three blocks.
+    """
+    block = lambda i: F.shiftright(rest, i * width).bitwiseAND(F.lit((1 << width) - 1))
+    below = lambda i: rest.bitwiseAND(F.lit((1 << i * width) - 1))
+    above = lambda i: F.shiftleft(F.shiftright(rest, (i + 1) * width), i * width)
+    blocks = F.array(*[F.struct(F.xxhash64("key", F.lit(i), block(i)).alias("key"), below(i).bitwiseOR(above(i)).alias("free")) for i in range(4)])
+    return dealt.select("fingerprint", F.explode(blocks).alias("_b")).select("_b.key", "fingerprint", F.lit(True).alias("home"), "_b.free")
+
+
+def dealt_by_anchor(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """(key, fingerprint, home): all fingerprints that are compared with each other share a key.
 
-    Fingerprints are dealt by anchor. An anchor near to more than `hot` of them
-    is split once more: each goes to the four values of its 16-bit blocks, one
-    of which two fingerprints with three differing bits share. Links are true
-    ones or lead to the smallest fingerprint that they reach within a task.
+    Fingerprints are dealt by anchor. One near to more than `hot` of them is split
+    by the half that it says nothing of: two fingerprints differ in at most three of those 32
+    bits, so they share one of its four blocks of 8. A key that is still crowded is split
+    again, by four blocks of 6 of the other 24 bits.
     """
     spread = prints.select(F.col("fingerprint").cast("long")).mapInArrow(_replicate, "anchor long, fingerprint long, home boolean")
-    spread = materialize(spread, "anchors")
-    crowded = spread.groupBy("anchor").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select("anchor")
-    crowded = materialize(crowded, "crowded")
-    if crowded.isEmpty():
-        keyed = spread.withColumnRenamed("anchor", "key")
-    else:
-        blocks = F.array(*[
-            F.struct(F.lit(b).alias("b"), F.shiftright("fingerprint", 16 * b).bitwiseAND(F.lit(0xFFFF)).alias("v")) for b in range(4)
-        ])
-        split = spread.join(crowded, "anchor", "left_semi").withColumn("_b", F.explode(blocks))
-        split = split.select(F.xxhash64("anchor", "_b.b", "_b.v").alias("key"), "fingerprint", F.lit(True).alias("home"))
-        keyed = spread.join(crowded, "anchor", "left_anti").select(F.xxhash64("anchor").alias("key"), "fingerprint", "home").union(split)
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_link_sorted, LINKS)
+    # The label of an anchor's half stands above its bits.
+    other = F.when(F.col("anchor") >= 1 << 32, F.col("fingerprint").bitwiseAND(F.lit((1 << 32) - 1))).otherwise(F.shiftrightunsigned("fingerprint", 32))
+    dealt = materialize(spread.select(F.xxhash64("anchor").alias("key"), "fingerprint", "home", other.alias("free")), "anchors")
+    keyed = None
+    for width in (8, 6):
+        if (crowded := _crowded(dealt, hot)) is None:
+            break
+        calm = dealt.join(crowded, "key", "left_anti").drop("free")
+        keyed = calm if keyed is None else keyed.unionByName(calm)
+        dealt = materialize(_by_blocks(dealt.join(crowded, "key", "left_semi"), F.col("free"), width), "blocks")
+    return dealt.drop("free") if keyed is None else keyed.unionByName(dealt.drop("free"))
 
 
-def near_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row.
+def fingerprint_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links (src, dst) that connect distinct fingerprints within THRESHOLD bits of each other.
 
-    Fingerprints are 16 hex digits; the component is the smallest doc_id that
-    links lead to. Equal fingerprints are one node, however many documents have
-    it. Rows with equal doc_id are kept; one without doc_id takes part, but
-    names no component, so its own may be null. Other columns are ignored, an
-    empty table gives an empty result.
+    They are true ones or lead to the smallest fingerprint that those reach within a task.
     """
+    keyed = dealt_by_anchor(prints, hot)
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_link_sorted, LINKS)
+
+
+def _grouped(docs: DataFrame, hot: int) -> DataFrame:
+    """(doc_id, row, fingerprint, component_id) of every row."""
     own = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(own.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     groups = materialize(components(fingerprint_links(distinct, hot)), "groups")
@@ -226,11 +248,28 @@ def near_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     named = materialize(named, "named")
     least = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     table = materialize(named.join(least, "component").select("fingerprint", "component_id"), "membership")
-    found = own.join(table, "fingerprint")
+    return own.join(table, "fingerprint")
+
+
+def near_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row.
+
+    Fingerprints are 16 hex digits; the component is the smallest doc_id that
+    links lead to. Equal fingerprints are one node, however many documents have
+    it. Rows with equal doc_id are kept; one without doc_id takes part, but
+    names no component, so its own may be null. Other columns are ignored, an
+    empty table gives an empty result.
+    """
+    found = _grouped(docs, hot)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """The rows of `docs` whose document is the smallest of its component; rows without doc_id stay."""
-    copies = near_groups(docs, hot).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` whose text is in a group that no smaller doc_id belongs to; rows without doc_id stay.
+
+    Texts decide, not ids: of a doc_id with several texts only those go that are near to
+    a text of a smaller doc_id.
+    """
+    copies = _grouped(docs, hot).filter("doc_id <> component_id").select("doc_id", F.col("row").alias("_near_row")).distinct()
+    marked = docs.withColumn("_near_row", _row_hash(F.col("text").cast("string")))
+    return marked.join(copies, ["doc_id", "_near_row"], "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from rowlore.llm.components import components
-from rowlore.llm.simhash import anchors, drop_near_copies, fingerprint, near_groups
+from rowlore.llm.simhash import anchors, dealt_by_anchor, drop_near_copies, fingerprint, near_groups
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -93,3 +93,23 @@ def test_components_of_long_paths(spark):
     want = union(pairs, {n for p in pairs for n in p})
     assert got == want
     assert components(links.limit(0)).count() == 0
+
+
+def test_texts_decide_not_ids(spark):
+    """A text that is near to nothing stays, whatever other texts its doc_id has."""
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (2, "quite another text here"), (None, "a b c d e"), (3, None), (3, "A B C D E"), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("row", F.lit("clash"))
+    got = drop_near_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == [(0, "a b c d e"), (1, "a b c d e"), (2, "quite another text here"), (3, "")]
+
+
+def test_a_crowded_anchor_is_split(spark):
+    """100,000 fingerprints near to one anchor: no key holds more than a small share of them."""
+    rng = np.random.default_rng(4)
+    n, low = 100_000, np.uint64(0)
+    first, second = (np.uint64(1) << rng.integers(0, 31, n).astype(np.uint64) for _ in range(2))
+    prints = np.unique((low ^ first ^ second) | rng.integers(0, 1 << 31, n).astype(np.uint64) << np.uint64(32))
+    frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fingerprint long")
+    sizes = [r["n"] for r in dealt_by_anchor(frame, 2000).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1).collect()]
+    assert sizes[0] < 2000, sizes
