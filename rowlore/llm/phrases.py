@@ -209,9 +209,11 @@ def _frequent(partial: DataFrame, min_count: int) -> DataFrame:
     """
     own = Window.partitionBy("fp")
     second = F.shiftright("check", COUNT_BITS)
+    # Of the runs that have it; another one is first for each fingerprint, so all runs lead some.
+    turn = F.col("run").bitwiseXOR(F.col("fp"))
     found = partial.select(
         "run", "fp", F.sum(F.col("check").bitwiseAND((1 << COUNT_BITS) - 1)).over(own).alias("total"),
-        (F.min("run").over(own) == F.col("run")).alias("lead"), (F.min(second).over(own) < F.max(second).over(own)).alias("mixed"),
+        (F.min(turn).over(own) == turn).alias("lead"), (F.min(second).over(own) < F.max(second).over(own)).alias("mixed"),
     )
     found = found.filter(F.col("total") >= min_count).withColumn("spells", F.col("lead") | F.col("mixed"))
     return found.select("run", "fp", F.when(F.col("spells"), F.col("total")).alias("total"), "mixed", "spells")
