@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from rowlore.functions.names import normalize_column, normalize_header
 from rowlore.functions.values import infer_type, validate_value
 from rowlore.model import COMMON_VALUES
-from rowlore.plans.sizing import broadcast_if_small
+from rowlore.operators.blocks import BLOCK_ROWS, numbered, text_blocks
+from rowlore.plans.sizing import broadcast_if_small, materialize
 
-# Tags every dataset description lists, and examples shown.
+# Tags every dataset description lists, examples shown, and the warnings of the parameter check.
+NO_SCHEMA = "No schema found for dataset '%s'. Parameters not validated."
+NO_FIELD = "Field '%s' not found in schema for dataset '%s'."
+NO_FIT = "Value '%s' is not valid for field '%s' of type '%s'."
 DESCRIBED_TAGS = ("project", "application", "environment", "status")
 DESCRIBED_EXAMPLES = 5
 LISTED_EXAMPLES = 3
@@ -267,7 +271,8 @@ def match_columns(params: DataFrame, schemas: DataFrame, field: Column) -> DataF
     """Parameters with the first catalog column whose name or normalised name fits.
 
     Both spellings become equi-join keys, so the OR never turns into a nested
-    loop. Parameters come from questions, not records: AQE picks the join.
+    loop. The catalog's spellings are broadcast where they measure small. Beyond, parameters
+    are written first, so that the join's own shuffles can be split where many name one (dataset, field).
     """
     columns = schema_columns(latest_schemas(schemas), "dataset_name")
     spellings = columns.withColumn(
@@ -275,7 +280,11 @@ def match_columns(params: DataFrame, schemas: DataFrame, field: Column) -> DataF
     ).select("dataset_name", "_match", F.struct("position", "name", "normalized_name", "data_type").alias("_col"))
     spellings = spellings.groupBy("dataset_name", "_match").agg(F.min_by("_col", "_col.position").alias("column"))
     keyed = params.withColumn("_match", F.lower(field))
-    return keyed.join(spellings, ["dataset_name", "_match"], "left").drop("_match")
+    spellings = materialize(spellings, "spellings")
+    if (small := broadcast_if_small(spellings)) is not spellings:
+        return keyed.join(small, ["dataset_name", "_match"], "left").drop("_match")
+    # Written, so that the plan can split a hot key of the join.
+    return materialize(keyed, "params").join(spellings, ["dataset_name", "_match"], "left").drop("_match")
 
 
 def validate_params(params: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -286,7 +295,7 @@ def validate_params(params: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     prefixed = F.col("key").startswith("data.")
     field = F.when(prefixed, F.substring("key", 6, 1 << 30)).otherwise(F.col("key"))
-    known = latest_schemas(schemas).select("dataset_name", F.lit(True).alias("_known"))
+    known = broadcast_if_small(latest_schemas(schemas).select("dataset_name", F.lit(True).alias("_known")))
     matched = match_columns(params, schemas, field).join(known, "dataset_name", "left")
     found, fits = F.col("column").isNotNull(), validate_value(F.col("value"), F.col("column.data_type"))
     renamed = F.when(prefixed, F.concat(F.lit("data."), F.col("column.normalized_name"))).otherwise(
@@ -297,14 +306,12 @@ def validate_params(params: DataFrame, schemas: DataFrame) -> DataFrame:
         F.when(found & fits, renamed).otherwise(F.col("key")).alias("valid_key"),
         F.when(
             F.col("_known").isNull(),
-            F.format_string("No schema found for dataset '%s'. Parameters not validated.", "dataset_name"),
+            F.format_string(NO_SCHEMA, "dataset_name"),
         )
-        .when(~found, F.format_string("Field '%s' not found in schema for dataset '%s'.", field, "dataset_name"))
+        .when(~found, F.format_string(NO_FIELD, field, "dataset_name"))
         .when(
             ~fits,
-            F.format_string(
-                "Value '%s' is not valid for field '%s' of type '%s'.", "value", field, F.col("column.data_type")
-            ),
+            F.format_string(NO_FIT, "value", field, F.col("column.data_type")),
         )
         .alias("warning"),
     )
@@ -354,10 +361,10 @@ def describe_all(schemas: DataFrame, brief: bool = False) -> DataFrame:
     )
 
 
-def catalog_text(schemas: DataFrame, brief: bool = False) -> DataFrame:
-    """The whole catalog as one text. The catalog is small: one entry per dataset import."""
-    described = describe_all(schemas, brief)
-    ordered = F.array_sort(F.collect_list(F.struct("dataset_name", "id", "description")))
-    return described.agg(
-        F.array_join(F.transform(ordered, lambda e: e["description"]), "\n\n").alias("description")
-    )
+def catalog_text(schemas: DataFrame, brief: bool = False, rows: int = BLOCK_ROWS) -> DataFrame:
+    """The whole catalog as `(block, first_row, rows, description)`, by dataset and id; blocks join by an empty line.
+
+    A catalog of any number of entries is put together in blocks, never in one row.
+    """
+    ordered = numbered(describe_all(schemas, brief), (), ("dataset_name", "id"))
+    return text_blocks(ordered, (), {"description": (F.col("description"), "\n\n")}, rows)

@@ -87,6 +87,25 @@ def _is_list(value: Any) -> bool:
     return isinstance(value, Iterable) and not isinstance(value, (str, bytes, Mapping))
 
 
+def _number_equals(field: Column, kind: Column, value: int | float | Decimal) -> Column:
+    """A number of a generic record equals a number: whole ones and decimals as such, doubles only where either side is one."""
+    number = lambda target: F.try_variant_get(field, "$", target)
+    whole = value == value and abs(value) != float("inf") and value == int(value)
+    as_double = kind.rlike("^(DOUBLE|FLOAT)") & (number("double") == F.lit(float(value)))
+    if isinstance(value, float):
+        as_double = kind.rlike("^(DOUBLE|FLOAT|DECIMAL)") & (number("double") == F.lit(value))
+    elif Decimal(float(value)) != Decimal(value) and isinstance(value, int):
+        # No double is this number.
+        as_double = F.lit(False)
+    parts = [as_double]
+    if whole and -(1 << 63) <= value < 1 << 63:
+        parts.append((kind == "BIGINT") & (number("bigint") == F.lit(int(value)).cast("bigint")))
+    if not isinstance(value, float):
+        digits = "decimal(38,0)" if whole and abs(value) >= 10**20 else "decimal(38,18)"
+        parts.append(kind.startswith("DECIMAL") & (number(digits) == F.lit(str(value)).try_cast(digits)))
+    return F.coalesce(reduce(or_, [F.coalesce(p, F.lit(False)) for p in parts]), F.lit(False))
+
+
 def _variant_equals(field: Column, value: Any) -> Column:
     """A field of a generic record equals a typed value: only values of that kind do, texts do not.
 
@@ -96,7 +115,7 @@ def _variant_equals(field: Column, value: Any) -> Column:
     if isinstance(value, bool):
         return (kind == "BOOLEAN") & (F.try_variant_get(field, "$", "boolean") == F.lit(value))
     if isinstance(value, (int, float, Decimal)):
-        return kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(field, "$", "double") == F.lit(float(value)))
+        return _number_equals(field, kind, value)
     target = "timestamp" if isinstance(value, datetime) else "date"
     return kind.rlike("^(DATE|TIMESTAMP|STRING)") & (F.try_variant_get(field, "$", "string").try_cast(target) == F.lit(value))
 

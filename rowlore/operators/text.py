@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from rowlore.functions.vectors import bag_vector, hashed_buckets
 from rowlore.model import CHUNK_OVERLAP, CHUNK_TOKENS
+from rowlore.plans.prompts import KNOWN, UNKNOWN
 from rowlore.plans.sizing import materialize
 
 Provider = Callable[[list[str]], list]
@@ -61,12 +62,10 @@ def chunk_text(
     )
 
 
-def extract_text(html: Column, is_page: Column | bool | None = None) -> Column:
-    """Readable text where `is_page` holds; what is no page passes through unchanged.
+def extract_text(html: Column, is_page: Column | bool = False) -> Column:
+    """Readable text where `is_page` holds; what is no page, or not known to be one, passes through unchanged.
 
-    The flag comes from the file type. Without one (or where it is null) a text
-    with anything like a tag counts as a page, so plain text may lose what stands
-    in angle brackets.
+    The flag comes from the file type: the content decides nothing.
     """
     text = html
     for element in DROPPED_ELEMENTS:
@@ -76,9 +75,7 @@ def extract_text(html: Column, is_page: Column | bool | None = None) -> Column:
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
-    looks = html.rlike(r"(?i)<[a-z!/][^>]*>")
-    flag = is_page if isinstance(is_page, Column) else F.lit(is_page).cast("boolean")
-    return F.when(F.coalesce(flag, looks), text).otherwise(html)
+    return F.when(is_page if isinstance(is_page, Column) else F.lit(is_page), text).otherwise(html)
 
 
 def join_counts(rows: DataFrame, counts: DataFrame, key: str, weight: str) -> DataFrame:
@@ -103,11 +100,11 @@ def summarize(df: DataFrame, doc_id: str, text: str = "text", sentences: int = 3
     A sentence scores the mean corpus count of its distinct words; ties go to the
     earlier sentence.
     """
-    parts = F.filter(
-        F.transform(F.split(F.col(text), r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: F.size(words(s)) > 0
-    )
-    split = df.select(doc_id, F.posexplode(parts).alias("position", "sentence"))
-    terms = split.select(doc_id, "position", F.explode(F.array_distinct(words(F.col("sentence")))).alias("term"))
+    cut = F.transform(F.split(F.col(text), r"[.!?\n]+"), lambda s: F.struct(F.trim(s).alias("sentence"), F.array_distinct(words(s)).alias("terms")))
+    kept = F.filter(cut, lambda s: F.size(s["terms"]) > 0)
+    # Written once: counting, scoring and choosing all read the sentences.
+    split = materialize(df.select(doc_id, F.posexplode(kept).alias("position", "_s")).select(doc_id, "position", "_s.*"), "sentences")
+    terms = split.select(doc_id, "position", F.explode("terms").alias("term"))
     counts = terms.groupBy("term").agg(F.count("*").alias("n"))
     # Sums of counts are whole numbers: exact whatever the order of addition.
     scored = (
@@ -119,7 +116,7 @@ def summarize(df: DataFrame, doc_id: str, text: str = "text", sentences: int = 3
     w = Window.partitionBy(doc_id).orderBy(F.desc("score"), "position")
     best = scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sentences)
     return (
-        best.join(split, [doc_id, "position"])
+        best.join(split.select(doc_id, "position", "sentence"), [doc_id, "position"])
         .groupBy(doc_id)
         .agg(F.array_sort(F.collect_list(F.struct("position", "sentence"))).alias("_s"))
         .select(
@@ -152,11 +149,22 @@ def embed_with(df: DataFrame, provider: Provider, text: str = "text", batch_size
     return df.mapInPandas(_batched(provider, text, "embedding", batch_size), schema)
 
 
+def record_lines(prompt: Column) -> Column:
+    """T12 without a model: the record lines of a prompt as its answer, or that there are none."""
+    lines = F.transform(F.split(prompt, r"\r\n|[\n\r]"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
+    rows = F.filter(lines, lambda line: line.startswith("ROW "))
+    return F.when(F.size(rows) > 0, F.concat(F.lit(f"{KNOWN}: "), F.array_join(rows, " | "))).otherwise(UNKNOWN)
+
+
 def complete_batch(
-    df: DataFrame, provider: Provider, prompt: str = "prompt", concurrency: int | None = None, batch_size: int = 16
+    df: DataFrame, provider: Provider | None = None, prompt: str = "prompt", concurrency: int | None = None, batch_size: int = 16
 ) -> DataFrame:
-    """Completions from a picklable provider; `concurrency` bounds parallel calls."""
+    """Completions of a prompt table: `record_lines`, in the plan itself, or those of a given provider.
+
+    A provider is a picklable function over lists of prompts; `concurrency` bounds its parallel calls.
+    """
+    if provider is None:
+        return df.withColumn("completion", record_lines(F.col(prompt)))
     schema = T.StructType([*df.schema.fields, T.StructField("completion", T.StringType())])
     df = df.repartition(concurrency) if concurrency else df
     return df.mapInPandas(_batched(provider, prompt, "completion", batch_size), schema)
-

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlore.functions.vectors import rank_key
 from rowlore.model import ANSWER_MATCHES, DATASET_CANDIDATES, SEARCH_LIMIT, FuzzyMatch
 from rowlore.operators.aggregates import dedup_first
+from rowlore.operators.blocks import BLOCK_ROWS, numbered, text_blocks
 from rowlore.operators.catalog import latest_schemas, schema_columns, validate_params
 from rowlore.operators.filter_table import CONDITIONS, filter_verdicts, pack_filters
 from rowlore.operators.masked import masked_search
@@ -197,30 +198,49 @@ def search_multi_filter(
     return records.drop(vector).join(broadcast_if_small(hits), ["collection", document])
 
 
+def _source_name() -> Column:
+    return F.coalesce(F.get(F.col("tags")["file"], F.lit(0)), F.col("source"), F.lit(""))
+
+
+def _row_line(number: Column, source: Column, document: Column, text: Column) -> Column:
+    return F.concat(F.lit("ROW "), number.cast("string"), F.lit(": ["), source, F.lit(" #"), document, F.lit("] "), text)
+
+
+def context_blocks(
+    hits: DataFrame, limit: int = 0, document: str = "id", order: tuple[str, ...] = ("ordinal", "rank"), rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """T10 for any number of hits: `(question_id, block, first_row, rows, context, sources)`, the context in blocks of rows.
+
+    Blocks in order, joined by line breaks, are what `answer_context` puts in one
+    row. No question's hits are gathered: rows are numbered across partitions, and a block holds `rows` of them.
+    """
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (document, "source", "text")}
+    ranked = numbered(hits.withColumn("_name", _source_name()), ("question_id",), (*order, document))
+    line = _row_line(F.col("row"), text["source"], text[document], text["text"])
+    named = F.concat(F.lit("- "), F.col("_name"), F.lit(" #"), text[document])
+    shown = named if limit <= 0 else F.when(F.col("row") <= limit, named)
+    return text_blocks(ranked, ("question_id",), {"context": (line, "\n"), "sources": (shown, "\n")}, rows)
+
+
 def answer_context(
     hits: DataFrame, limit: int = 0, document: str = "id", order: tuple[str, ...] = ("ordinal", "rank")
 ) -> DataFrame:
-    """`(question_id, context, sources, hits)`.
+    """`(question_id, context, sources, hits)`, one row per question: for hits that a search has limited.
 
     Rows are numbered in search order. The limit trims the source list only; the
     context keeps every row. `hits` holds `question_id, source, text, tags` and
-    the order columns; a `file` tag overrides the source name.
+    the order columns; a `file` tag overrides the source name. Hits without a
+    limit go through `context_blocks`.
     """
-    name = F.coalesce(F.get(F.col("tags")["file"], F.lit(0)), F.col("source"))
     item = F.struct(
         *order,
         F.col(document).cast("string").alias("doc"),
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
-        F.coalesce(name, F.lit("")).alias("name"),
+        _source_name().alias("name"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     listed = F.col("_hits")
-    rows = F.transform(
-        listed,
-        lambda h, i: F.concat(
-            F.lit("ROW "), (i + 1).cast("string"), F.lit(": ["), h["source"], F.lit(" #"), h["doc"], F.lit("] "), h["text"]
-        ),
-    )
+    rows = F.transform(listed, lambda h, i: _row_line(i + 1, h["source"], h["doc"], h["text"]))
     named = F.slice(listed, 1, limit) if limit > 0 else listed
     sources = F.transform(named, lambda h: F.concat(F.lit("- "), h["name"], F.lit(" #"), h["doc"]))
     return (
@@ -279,6 +299,8 @@ def ask_documents(
     `questions` has `question_id, question, question_vector`; `chunks` has
     `id, source, chunk_text, tags, embedding`.
     """
+    # Both the search and the texts read the chunks: made once.
+    chunks = materialize(chunks, "chunks")
     hits = similar_batch(chunks, questions.select("question_id", "question_vector"), limit)
     bodies = chunks.select("id", "source", F.col("chunk_text").alias("text"), "tags")
     placed = hits.join(bodies, "id").withColumn("ordinal", F.lit(0))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rowlore.operators.aggregates import dedup_first, filterable_fields, top_data_values, top_tag_values
 from rowlore.operators.catalog import (
-    common_values, describe_all, extract_schema, infer_column_types, latest_schemas, list_datasets,
+    catalog_text, common_values, describe_all, extract_schema, infer_column_types, latest_schemas, list_datasets,
     list_fields, merge_schema, schema_for_record, to_cells, validate_params,
 )
 from rowlore.plans.ingest import store_schemas
@@ -199,6 +199,20 @@ def q_describe_all_schemas(spark, sf):
     return catalog(spark, sf).select("dataset_name", list_fields(F.col("columns")).alias("fields"))
 
 
+@BOOK.query("catalog_text", """
+WITH e AS (SELECT *, row_number() OVER (ORDER BY dataset_name, id) AS n FROM (
+  SELECT o_orderpriority AS dataset_name, format('schema_{:010d}', o_orderkey) AS id, 'price_' || o_custkey AS col FROM orders))
+SELECT (n - 1) // 64 AS block, min(n) AS first_row, count(*) AS "rows",
+  string_agg('Dataset: ' || dataset_name || chr(10) || '- ' || col, chr(10) || chr(10) ORDER BY n) AS description FROM e GROUP BY block""")
+def q_catalog_text(spark, sf):
+    """The text of a catalog with an entry for every order, in blocks."""
+    column = F.struct(
+        F.concat(F.lit("price_"), F.col("source_file").substr(F.lit(6), F.lit(20))).alias("normalized_name"), F.array().cast("array<string>").alias("common_values")
+    )
+    entries = order_schemas(spark, sf).withColumn("columns", F.array(column))
+    return catalog_text(entries, brief=True)
+
+
 @BOOK.query("store_schema", """
 SELECT format('schema_{:010d}', o_orderkey) AS id, CASE WHEN o_orderstatus = 'F' THEN 'new_' || o_custkey ELSE 'file_' || o_custkey END AS file,
   'schema' AS document_type FROM orders""")

@@ -6,7 +6,6 @@ from rowlore.operators.text import (
     DROPPED_ELEMENTS, ENTITIES, chunk_text, complete_batch, embed_text, extract_text, summarize,
 )
 from rowlore.plans.prompts import KNOWN, TEMPLATES, UNKNOWN, build_prompt, parse_dataset_reply
-from rowlore.plans.providers import record_answers
 from rowlore.queries.book import Book, load, load_spread
 
 BOOK = Book()
@@ -33,13 +32,12 @@ def extract_sql() -> str:
     text = f"regexp_replace(regexp_replace({text}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
     for entity, char in ENTITIES:
         text = "replace({}, '{}', '{}')".format(text, entity, char.replace("'", "''"))
-    return f"""SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<[a-z!/][^>]*>')
-  THEN trim(regexp_replace({text}, '[ \\t\\n\\r\\f]+', ' ', 'g')) ELSE html END AS text FROM pages"""
+    return f"SELECT page_id, trim(regexp_replace({text}, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS text FROM pages"
 
 
 @BOOK.query("extract_text", extract_sql())
 def q_extract_text(spark, sf):
-    return load_spread(spark, sf, "pages", "page_id", "html").select("page_id", extract_text(F.col("html")).alias("text"))
+    return load_spread(spark, sf, "pages", "page_id", "html").select("page_id", extract_text(F.col("html"), True).alias("text"))
 
 
 @BOOK.query("summarize_extractive", f"""
@@ -95,4 +93,4 @@ def q_complete_batch(spark, sf):
     rows = F.concat(F.lit("Records:\nROW 1: "), "c_name", F.lit("\n  ROW 2: "), "c_mktsegment", F.lit("\nSources:"))
     prompt = F.when(F.col("c_acctbal") > 0, rows).otherwise("Records:")
     prompts = load(spark, sf, "customer").select("c_custkey", prompt.alias("prompt"))
-    return complete_batch(prompts, record_answers).select("c_custkey", "completion")
+    return complete_batch(prompts).select("c_custkey", "completion")

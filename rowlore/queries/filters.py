@@ -9,7 +9,7 @@ from rowlore.operators.filters import (
     compile_filter, data_filter, exclude_catalog, strict_recheck, tag_filter, where_filters,
 )
 from rowlore.plans.sizing import spread
-from rowlore.queries.book import CUSTOMERS, Book, catalog, customers, documents, load, parts
+from rowlore.queries.book import CUSTOMERS, PART_COLUMNS, Book, as_record_form, catalog, customers, documents, load, parts
 
 BOOK = Book()
 C_OUT = ("c_custkey", "c_name", "c_mktsegment")
@@ -74,18 +74,30 @@ def q_strict_recheck(spark, sf):
     return strict_recheck(loose, {"data.p_name": "Red Bolt"}).select(*P_OUT)
 
 
-@BOOK.query("filter_validated", f"SELECT {P_COLS} FROM part WHERE lower(p_brand) IN ('brand#4', 'brand#5') AND p_size = 20")
+@BOOK.query("filter_typed_records", "SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size = 7 AND p_retailprice = 900.1 OR p_size = 11 OR p_partkey = 5")
+def q_filter_typed_records(spark, sf):
+    """Typed values on generic records; a neighbour that only a double would confuse is not matched."""
+    big = F.col("p_partkey") + F.lit(9007199254740992 - 4)
+    rows = as_record_form(parts(spark, sf).withColumn("big", big), "part", "p_partkey", [*PART_COLUMNS, "big"])
+    filters = [{"data.p_size": 7, "data.p_retailprice": 900.1}, {"data.p_size": 11}, {"data.big": 9007199254740993}]
+    return where_filters(rows, filters).select("id")
+
+
+@BOOK.query("filter_validated", f"""
+SELECT p.p_partkey, f.asked FROM part p JOIN (SELECT DISTINCT p_brand AS b, p_size AS s, p_brand || '/' || p_size AS asked FROM part) f
+  ON lower(p.p_brand) = lower(f.b) AND p.p_size = f.s""")
 def q_filter_validated(spark, sf):
-    df = parts(spark, sf)
-    schemas = catalog(spark, sf, ("part",))
-    asked = [("part", "data.P_BRAND", "Brand#4"), ("part", "data.P_BRAND", "Brand#5"), ("part", "data.P_Size", "20")]
-    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("dataset_name", "key", "value"), r)]) for r in asked])
-    params = spark.range(1).select(F.inline(rows))
-    merged: dict[str, list[str]] = {}
-    # A filter the caller wrote: a handful of rows.
-    for row in validate_params(params, schemas).collect():
-        merged.setdefault(row["valid_key"], []).append(row["value"])
-    return df.where(compile_filter(merged, df)).select(*P_OUT)
+    """A filter for each brand and size in use, its keys checked and renamed by the catalog, all answered in one scan."""
+    df, schemas = parts(spark, sf), catalog(spark, sf, ("part",))
+    found = df.select("p_brand", "p_size").distinct().select(F.concat_ws("/", "p_brand", "p_size").alias("asked"), "p_brand", "p_size")
+    asked = F.create_map(F.lit("data.P_BRAND"), F.col("p_brand"), F.lit("data.P_Size"), F.col("p_size").cast("string"))
+    params = found.select("asked", F.lit("part").alias("dataset_name"), F.explode(asked).alias("key", "value"))
+    named = validate_params(params, schemas).select("asked", F.col("valid_key").alias("key"), F.array("value").alias("values"))
+    packed = pack_filters(named.withColumn("collection", F.lit("part")), ("asked",), partition="collection")
+    # The catalog names fields as headers do; records are asked by those names.
+    data = F.create_map(*[x for c in ("p_brand", "p_size") for x in (F.lit(c), F.col(c).cast("string"))])
+    records = df.withColumn("collection", F.lit("part"))
+    return filter_table_match(records, packed, "asked", data_map=data, record_id="p_partkey").select("p_partkey", "asked")
 
 
 REPLIES = """(SELECT p_partkey, CASE p_partkey % 6

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rowlore.operators.retrieve import list_records, records_by, similar, similar_batch
-from rowlore.plans.answer import answer_context, search_multi_filter
+from rowlore.plans.answer import context_blocks, search_multi_filter
 from rowlore.queries.book import (
     PART_COLUMNS, VECTORS, Book, as_record_form, customers, documents, load, parts, vectors,
 )
@@ -17,8 +17,8 @@ HYBRID = [{"lang": "EN", "data.label": ["1", "2", "3"]}, {"source": ["src1", "SR
 HYBRID_SQL = "lower(lang) = 'en' AND label IN (1, 2, 3) OR source IN ('src1', 'src2') AND label = 7"
 
 
-def top_sql(where: str, limit: str, floor: str = "true") -> str:
-    return f"""SELECT vec_id, label, round(score, 6) AS score FROM (SELECT *, {SCORE} AS score FROM {VECTORS} WHERE {where}
+def top_sql(where: str, limit: str, floor: str = "true", table: str = "embeddings") -> str:
+    return f"""SELECT vec_id, label, round(score, 6) AS score FROM (SELECT *, {SCORE} AS score FROM {table} WHERE {where}
   ORDER BY round({SCORE}, 10) DESC, vec_id {limit}) WHERE {floor}"""
 
 
@@ -28,26 +28,26 @@ def shown(df):
 
 @BOOK.query("vector_topk", top_sql("true", "LIMIT 5"))
 def q_vector_topk(spark, sf):
-    return shown(similar(vectors(spark, sf), QUESTION, record_id="vec_id"))
+    return shown(similar(load(spark, sf, "embeddings"), QUESTION, record_id="vec_id"))
 
 
 def hybrid_search(spark, sf, limit=20):
     return shown(similar(vectors(spark, sf), QUESTION, limit, HYBRID, record_id="vec_id"))
 
 
-@BOOK.query("vector_hybrid", top_sql(HYBRID_SQL, "LIMIT 20"))
+@BOOK.query("vector_hybrid", top_sql(HYBRID_SQL, "LIMIT 20", table=VECTORS))
 def q_vector_hybrid(spark, sf):
     return hybrid_search(spark, sf)
 
 
 @BOOK.query("vector_unlimited", top_sql("true", ""))
 def q_vector_unlimited(spark, sf):
-    return shown(similar(vectors(spark, sf), QUESTION, 0, record_id="vec_id"))
+    return shown(similar(load(spark, sf, "embeddings"), QUESTION, 0, record_id="vec_id"))
 
 
 @BOOK.query("vector_min_relevance", top_sql("true", "LIMIT 50", "score >= 0.6"))
 def q_vector_min_relevance(spark, sf):
-    return shown(similar(vectors(spark, sf), QUESTION, 50, least=0.6, record_id="vec_id"))
+    return shown(similar(load(spark, sf, "embeddings"), QUESTION, 50, least=0.6, record_id="vec_id"))
 
 
 @BOOK.query("vector_topk_batch", """
@@ -126,18 +126,16 @@ def q_search_multi_filter(spark, sf):
 
 
 @BOOK.query("answer_context", """
-WITH hits AS (SELECT lang AS question_id, doc_id, source, text, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents
-  QUALIFY rank <= 25)
-SELECT question_id, md5(string_agg('ROW ' || rank || ': [' || source || ' #' || doc_id || '] ' || text, chr(10) ORDER BY rank)) AS context,
-  string_agg('- file_' || source || ' #' || doc_id, chr(10) ORDER BY rank) FILTER (rank <= 10) AS sources, CAST(count(*) AS INTEGER) AS hits
-FROM hits GROUP BY question_id""")
+WITH hits AS (SELECT lang AS question_id, doc_id, source, text, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
+SELECT question_id, (rank - 1) // 64 AS block, min(rank) AS first_row, count(*) AS "rows",
+  md5(string_agg('ROW ' || rank || ': [' || source || ' #' || doc_id || '] ' || text, chr(10) ORDER BY rank)) AS context,
+  coalesce(string_agg('- file_' || source || ' #' || doc_id, chr(10) ORDER BY rank) FILTER (rank <= 100), '') AS sources
+FROM hits GROUP BY question_id, block""")
 def q_answer_context(spark, sf):
-    """The 25 longest documents of each language as context, ten of them named as sources."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
-    hits = documents(spark, sf).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 25).select(
-        F.col("lang").alias("question_id"), F.lit(0).alias("ordinal"), "rank", "doc_id", "source", "text",
+    """All documents of each language, the longest first, as context in blocks; a hundred of them named as sources."""
+    hits = documents(spark, sf).select(
+        F.col("lang").alias("question_id"), (-F.col("n_chars")).alias("rank"), "doc_id", "source", "text",
         F.create_map(F.lit("file"), F.array(F.concat(F.lit("file_"), "source"))).alias("tags"),
     )
-    return answer_context(hits, 10, "doc_id").select("question_id", F.md5("context").alias("context"), "sources", "hits")
+    blocks = context_blocks(hits, 100, "doc_id", ("rank",))
+    return blocks.select("question_id", "block", "first_row", "rows", F.md5("context").alias("context"), "sources")

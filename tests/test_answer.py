@@ -8,11 +8,11 @@ from rowlore.operators.filters import where_filters
 from rowlore.operators.text import (
     chunk_text, complete_batch, embed_text, embed_with, extract_text, join_counts, summarize,
 )
+from rowlore.operators.blocks import numbered
 from rowlore.plans.answer import (
-    answer_context, ask_documents, ask_tabular, derive_filters, rank_datasets, validated_filters,
+    answer_context, ask_documents, ask_tabular, context_blocks, derive_filters, rank_datasets, validated_filters,
 )
 from rowlore.plans.prompts import KNOWN, UNKNOWN, build_prompt, parse_dataset_reply
-from rowlore.plans.providers import record_answers
 
 WIDTH = 32
 
@@ -84,7 +84,7 @@ def test_ask_tabular(questions, records, schemas):
     assert got[3]["hits"] == 4 and got[3]["dataset_name"] is None
     assert got[2]["dataset_name"] == "NetworkDevices" and "Which network devices" in got[2]["prompt"]
     answers = {r["question_id"]: r["completion"] for r in complete_batch(
-        ask_tabular(questions, records, schemas, 1), record_answers, concurrency=2
+        ask_tabular(questions, records, schemas, 1)
     ).collect()}
     assert answers[1].startswith(KNOWN)
     one = ask_tabular(questions, records, schemas, 1).where("question_id = 1").first()
@@ -94,7 +94,17 @@ def test_ask_tabular(questions, records, schemas):
 def test_ask_with_given_filters(spark, questions, records, schemas):
     filters = spark.createDataFrame([(3, 0, "data.ip_address", ["10.0.0.1"])], "question_id int, ordinal int, key string, values array<string>")
     got = {r["question_id"]: r for r in ask_tabular(questions, records, schemas, 5, filters).collect()}
-    assert got[3]["hits"] == 1 and got[1]["hits"] is None and UNKNOWN == record_answers([got[1]["prompt"]])[0]
+    assert got[3]["hits"] == 1 and got[1]["hits"] is None
+    answered = complete_batch(ask_tabular(questions, records, schemas, 5, filters)).where("question_id = 1")
+    assert answered.first()["completion"] == UNKNOWN
+
+
+def test_completions_in_the_plan_and_by_a_provider(spark):
+    df = spark.createDataFrame([("Records:\r\n ROW 1: a \nROW 2: b\nNo ROW 3",), ("nothing",), (None,)], "prompt string")
+    assert [r["completion"] for r in complete_batch(df).collect()][:2] == [f"{KNOWN}: ROW 1: a | ROW 2: b", UNKNOWN]
+    assert "Python" not in complete_batch(df)._jdf.queryExecution().executedPlan().toString()
+    given = complete_batch(df.na.fill(""), lambda prompts: [p.upper()[:4] for p in prompts], concurrency=2)
+    assert sorted(r["completion"] for r in given.collect()) == ["", "NOTH", "RECO"]
 
 
 def test_context_limit_trims_sources_only(spark):
@@ -107,6 +117,33 @@ def test_context_limit_trims_sources_only(spark):
     assert got["sources"].splitlines() == ["- n1 #d1", "- n2 #d2"]
 
 
+def test_context_of_any_size(spark):
+    """Blocks of a question in order are its context, wherever its rows lie."""
+    hits = spark.range(700).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 7 == 0, 1).otherwise(2).cast("int").alias("question_id"), F.lit(0).alias("ordinal"),
+        (-F.col("id") % 50).alias("rank"), F.concat(F.lit("d"), "id").alias("id"), F.when(F.col("id") % 5 > 0, "f").alias("source"),
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("t"), "id")).alias("text"), F.create_map(F.lit("file"), F.array(F.lit("n"))).alias("tags"),
+    )
+    whole = {r["question_id"]: r for r in answer_context(hits, 20).collect()}
+    blocks = {}
+    for r in context_blocks(hits.repartition(9), 20, rows=16).orderBy("question_id", "block").collect():
+        assert r["first_row"] == 16 * r["block"] + 1 and r["rows"] <= 16
+        blocks.setdefault(r["question_id"], []).append(r)
+    assert blocks.keys() == whole.keys() and len(blocks[2]) > 20
+    for question, rows in blocks.items():
+        assert "\n".join(r["context"] for r in rows) == whole[question]["context"]
+        assert "\n".join(r["sources"] for r in rows if r["sources"]) == whole[question]["sources"]
+
+
+def test_numbers_across_partitions(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 5003).alias("v")).where("g < 2 OR v < 10")
+    got = numbered(rows.repartition(6), ("g",), ("v",)).collect()
+    for g in range(3):
+        own = sorted((r["v"], r["row"]) for r in got if r["g"] == g)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    assert sorted((r["v"], r["row"]) for r in numbered(rows, (), ("g", "v")).where("g = 0").collect())[0][1] == 1
+
+
 def test_ask_documents(spark, questions, table):
     docs = table("documents").select(F.col("doc_id").alias("id"), "text", "source")
     chunks = chunk_text(docs).withColumn("id", F.concat_ws("-", "id", "chunk_number")).withColumn(
@@ -146,7 +183,7 @@ def test_chunks_against_brute_force(table):
 def test_extract_text(spark):
     html = "<html><head><title>x</title></head><body><!-- c --><p>A &amp; B</p><script>var t='</p>';</script><b>C</b></body></html>"
     df = spark.createDataFrame([(html,), ("plain < text",)], "h string")
-    assert [r["t"] for r in df.select(extract_text(F.col("h")).alias("t")).collect()] == ["A & B C", "plain < text"]
+    assert [r["t"] for r in df.select(extract_text(F.col("h"), F.col("h").startswith("<")).alias("t")).collect()] == ["A & B C", "plain < text"]
 
 
 def test_plain_text_comes_back_whole(spark):
@@ -154,8 +191,8 @@ def test_plain_text_comes_back_whole(spark):
     plain = "if a <b and c> d then\n  mail <x@y.org> &amp; <!-- kept -->"
     df = spark.createDataFrame([(plain, False), ("<p>A</p>", True), ("A &amp;  B", True), (plain, None)], "h string, page boolean")
     got = [r["t"] for r in df.select(extract_text(F.col("h"), F.col("page")).alias("t")).collect()]
-    assert got == [plain, "A", "A & B", "if a d then mail &"]
-    assert df.select(extract_text(F.col("h"), False).alias("t")).first()["t"] == plain
+    assert got == [plain, "A", "A & B", plain]
+    assert df.select(extract_text(F.col("h")).alias("t")).first()["t"] == plain
 
 
 def test_summary_keeps_text_order(spark):

@@ -97,3 +97,14 @@ def test_catalog_entries_with_and_without_a_batch(spark):
     assert sorted((r["id"], r["file"]) for r in first.collect()) == [("a", "f2"), ("b", "s3")]
     again = store_schemas(first, new.where("id = 'b'").withColumn("import_batch_id", F.lit("x")))
     assert sorted((r["id"], r["file"], r["import_batch_id"]) for r in again.collect()) == [("a", "f2", None), ("b", "s3", "x")]
+
+
+def test_whole_numbers_of_records_are_compared_as_such(spark):
+    """Neighbours that one double stands for are told apart."""
+    rows = spark.sql("""SELECT id, parse_json(v) AS data FROM VALUES (1, '{"x": 9007199254740992}'), (2, '{"x": 9007199254740993}'), (3, '{"x": 9.007199254740992E15}'),
+      (4, '{"x": 0.1}'), (5, '{"x": 0.10}'), (6, '{"x": 1E-1}'), (7, '{"x": 12345678901234567890123}'), (8, '{"x": -3}'), (9, '{"x": -3.0}'), (10, '{"x": 0.1000000000000000055}') AS t(id, v)""")
+    found = lambda value: {r["id"] for r in rows.where(data_condition(rows, "data.x", value)).collect()}
+    assert found(9007199254740993) == {2} and found(9007199254740992) == {1, 3} and found(9007199254740992.0) == {1, 3}
+    assert found(Decimal("0.1")) >= {4, 5} and found(0.1) >= {4, 5, 6} and 10 not in found(Decimal("0.1"))
+    assert found(12345678901234567890123) == {7} and found(12345678901234567890124) == set()
+    assert found(-3) == found(Decimal("-3")) == {8, 9} and found(float("nan")) == set() and found(float("inf")) == set()
