@@ -1,15 +1,19 @@
 """The record store on parquet: S8-S13.
 
-A collection is a directory partitioned by dataset and by a hash bucket of the
-record id. A point read or an upsert touches only the buckets its ids fall in.
+A collection is a directory of generations, each partitioned by dataset and by a hash
+bucket of the record id. A write puts the buckets that it changes into a new generation; a
+manifest names the generation of every bucket, with a digest of its keys. What a write did is
+there once its version is committed, and not before.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,9 +22,28 @@ from rowlore.operators.records import project_record
 from rowlore.plans.sizing import broadcast_if_small, materialize
 
 KEY = ["dataset", "bucket", "id"]
-# Buckets named in a static partition filter; more are matched with a semi-join.
-LISTED_BUCKETS = 1000
+BUCKET = ["dataset", "bucket"]
 COLLECTION_SCHEMA = "collection string, vector_width int, buckets int"
+MANIFEST_SCHEMA = "dataset string, bucket int, generation string, records long, key_sum long, key_xor long"
+
+
+@dataclass(frozen=True)
+class Written:
+    """What an upsert did with its batch: rejected rows have no id or dataset, superseded ones lost to a later one."""
+
+    received: int
+    rejected: int
+    inserted: int
+    replaced: int
+    superseded: int
+
+
+def key_digest() -> list[Column]:
+    """Count, sum and exclusive-or of the hashed ids of a bucket, in no order."""
+    hashed = F.xxhash64("id")
+    return [
+        F.count("*").alias("records"), F.sum(hashed.bitwiseAND(F.lit(0xFFFFFFFF))).alias("key_sum"), F.bit_xor(hashed).alias("key_xor"),
+    ]
 
 
 class RecordStore:
@@ -79,70 +102,124 @@ class RecordStore:
         # The bucket depends on nothing but the id, so readers can compute it.
         return df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets(collection))).cast("int"))
 
+    def _version(self, collection: str) -> tuple[int, list[Row]]:
+        """The last committed version and its manifest: a row for each bucket."""
+        fs, target = self._files(f"{self._path(collection)}/versions")
+        numbers = [int(f.getPath().getName()) for f in fs.listStatus(target)] if fs.exists(target) else []
+        if not numbers:
+            return 0, []
+        stream = fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(target, str(max(numbers))))
+        try:
+            name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        manifest = self.spark.read.schema(MANIFEST_SCHEMA).parquet(f"{self._path(collection)}/manifests/{name}")
+        return max(numbers), manifest.collect()
+
+    def _commit(self, collection: str, version: int, manifest: list[Row]) -> None:
+        """Make a version the current one; fails if another write has committed that version."""
+        name = uuid.uuid4().hex
+        rows = self.spark.createDataFrame(manifest, MANIFEST_SCHEMA)
+        rows.coalesce(1).write.parquet(f"{self._path(collection)}/manifests/{name}")
+        fs, target = self._files(f"{self._path(collection)}/versions/{version}")
+        stream = fs.create(target, False)
+        stream.write(bytearray(name.encode()))
+        stream.close()
+
+    def _rows(self, collection: str, manifest: list[Row]) -> DataFrame:
+        """The records of these buckets, pruned to their folders."""
+        schema = f"{RECORD_SCHEMA}, generation string, dataset string, bucket int"
+        if not manifest:
+            return self.spark.createDataFrame([], schema).drop("generation")
+        listed: dict[tuple[str, str], list[int]] = {}
+        for row in manifest:
+            listed.setdefault((row["generation"], row["dataset"]), []).append(row["bucket"])
+        named = [(F.col("generation") == g) & (F.col("dataset") == d) & F.col("bucket").isin(*b) for (g, d), b in listed.items()]
+        stored = self.spark.read.schema(schema).parquet(f"{self._path(collection)}/data")
+        return stored.where(reduce(or_, named)).drop("generation")
+
     def read(self, collection: str) -> DataFrame:
-        """All records; the schema is stated, so dataset names are never read as numbers."""
-        path, schema = self._path(collection), f"{RECORD_SCHEMA}, dataset string, bucket int"
-        if not self._exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def _touched(self, stored: DataFrame, keys: DataFrame) -> DataFrame:
-        """Stored records in the buckets the keys fall in."""
-        pairs = keys.select("dataset", "bucket").distinct()
-        listed = pairs.limit(LISTED_BUCKETS + 1).collect()
-        if len(listed) > LISTED_BUCKETS:
-            return stored.join(broadcast_if_small(pairs), ["dataset", "bucket"], "left_semi")
-        by_dataset: dict[str, list[int]] = {}
-        for dataset, bucket in listed:
-            by_dataset.setdefault(dataset, []).append(bucket)
-        named = [(F.col("dataset") == d) & F.col("bucket").isin(*b) for d, b in by_dataset.items()]
-        return stored.where(reduce(or_, named, F.lit(False)))
+        """All records of the current version; the schema is stated, so dataset names are never read as numbers."""
+        return self._rows(collection, self._version(collection)[1])
+
+    def _replace(self, collection: str, version: int, kept: list[Row], records: DataFrame) -> list[Row]:
+        """Write buckets as a new generation and commit them beside the `kept` ones."""
+        generation = uuid.uuid4().hex
+        path = f"{self._path(collection)}/data/generation={generation}"
+        # Rebalancing gives each bucket few files and lets AQE split one that is too large.
+        records.hint("rebalance", *BUCKET).write.partitionBy(*BUCKET).parquet(path)
+        written = self.spark.read.schema("id string, dataset string, bucket int").parquet(path)
+        digests = written.groupBy(*BUCKET).agg(*key_digest())
+        new = digests.select(*BUCKET, F.lit(generation).alias("generation"), "records", "key_sum", "key_xor").collect()
+        self._commit(collection, version + 1, [*kept, *new])
+        return new
 
     # S8, S9
-    def upsert(self, collection: str, batch: DataFrame, order: str = "ingest_seq") -> None:
+    def upsert(self, collection: str, batch: DataFrame, order: str = "ingest_seq") -> Written:
         """Write records; for equal (dataset, id) the highest `order` wins, of equal ones the last write.
 
-        Only buckets that receive records are read and rewritten. The batch is
-        evaluated once; merged rows are written aside first, so no plan
-        overwrites what it reads and a failed job leaves the old files in place.
+        All or nothing: the batch is there once its version is committed. Only buckets that
+        receive records are read, and written anew; the batch is evaluated once. Rows without
+        id or dataset are rejected and counted. Of two writes at once one fails.
         """
         incoming = materialize(self._bucketed(collection, as_records(batch)), "incoming")
-        if not self._exists(self._path(collection)):
-            self._write(collection, latest(incoming, order))
-            return
-        affected = self._touched(self.read(collection), incoming)
-        self._write(collection, materialize(latest(affected.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1))), order, "_new").drop("_new"), "upsert"))
+        named = F.col("id").isNotNull() & F.col("dataset").isNotNull()
+        received = incoming.agg(F.count("*").alias("n"), F.count_if(named).alias("named")).first()
+        incoming = incoming.where(named)
+        version, manifest = self._version(collection)
+        touched = {tuple(r) for r in incoming.select(*BUCKET).distinct().collect()}
+        if not touched:
+            return Written(received["n"], received["n"], 0, 0, 0)
+        old = [r for r in manifest if (r["dataset"], r["bucket"]) in touched]
+        stored = self._rows(collection, old).withColumn("_new", F.lit(0))
+        merged = latest(stored.unionByName(incoming.withColumn("_new", F.lit(1))), order, "_new")
+        seen = Observation()
+        new = self._replace(collection, version, [r for r in manifest if r not in old], merged.observe(seen, F.sum("_new").alias("kept")).drop("_new"))
+        kept, inserted = seen.get["kept"], sum(r["records"] for r in new) - sum(r["records"] for r in old)
+        return Written(received["n"], received["n"] - received["named"], inserted, kept - inserted, received["named"] - kept)
 
     # S10
-    def delete(self, collection: str, keys: DataFrame) -> None:
-        """Delete by (dataset, id); missing keys are not an error."""
+    def delete(self, collection: str, keys: DataFrame) -> int:
+        """Delete by (dataset, id), all or nothing, and tell how many there were; missing keys are not an error."""
+        version, manifest = self._version(collection)
+        if not manifest:
+            return 0
         keys = self._bucketed(collection, keys.select("dataset", "id").distinct())
-        stored = self.read(collection)
-        if not stored.inputFiles():
-            return
-        stored = stored.withColumn("_folder", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
-        affected = self._touched(stored, keys)
-        kept = materialize(affected.join(keys, KEY, "left_anti"), "delete")
-        # Dynamic overwrite leaves a bucket that lost its last record as it was: those folders are
-        # listed before the write and removed after it.
-        folders = affected.select("_folder").distinct()
-        emptied = materialize(
-            folders.join(kept.select("_folder").distinct(), "_folder", "left_anti"), "emptied"
-        )
-        self._write(collection, kept.drop("_folder"))
-        for row in emptied.toLocalIterator():
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI(row["_folder"]))
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-
-    def _write(self, collection: str, staged: DataFrame) -> None:
-        # Rebalancing gives each bucket few files and lets AQE split one that is too large.
-        (
-            staged.hint("rebalance", "dataset", "bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dataset", "bucket")
-            .parquet(self._path(collection))
-        )
+        held = F.broadcast(self.spark.createDataFrame(manifest, MANIFEST_SCHEMA).select(*BUCKET))  # a row for each bucket
+        touched = {tuple(r) for r in keys.select(*BUCKET).distinct().join(held, BUCKET, "left_semi").collect()}
+        old = [r for r in manifest if (r["dataset"], r["bucket"]) in touched]
+        if not old:
+            return 0
+        left = self._rows(collection, old).join(keys, KEY, "left_anti")
+        new = self._replace(collection, version, [r for r in manifest if r not in old], left)
+        return sum(r["records"] for r in old) - sum(r["records"] for r in new)
+
+    # S12
+    def confirm(self, collection: str, written: DataFrame) -> DataFrame:
+        """Written keys (dataset, id) that the collection does not hold; empty when all are there.
+
+        Keys are first compared by the digest of their bucket, which the manifest has;
+        only buckets whose digests differ are read. Rows without id or dataset hold no key.
+        """
+        keys = self._bucketed(collection, written.select("dataset", "id").where("dataset IS NOT NULL AND id IS NOT NULL").distinct())
+        keys = materialize(keys, "written")
+        manifest = self._version(collection)[1]
+        held = self.spark.createDataFrame(manifest, MANIFEST_SCHEMA).select(*BUCKET, F.struct("records", "key_sum", "key_xor").alias("_held"))
+        own = keys.groupBy(*BUCKET).agg(*key_digest()).select(*BUCKET, F.struct("records", "key_sum", "key_xor").alias("_own"))
+        differs = own.join(F.broadcast(held), BUCKET, "left").where(~F.col("_own").eqNullSafe(F.col("_held"))).select(*BUCKET)
+        pairs = {tuple(r) for r in differs.collect()}
+        stored = self._rows(collection, [r for r in manifest if (r["dataset"], r["bucket"]) in pairs])
+        open_keys = keys.join(broadcast_if_small(materialize(differs, "differs")), BUCKET, "left_semi")
+        return open_keys.join(stored.select(*KEY), KEY, "left_anti").select("dataset", "id")
+
+    def vacuum(self, collection: str) -> int:
+        """Remove generations that the current version does not name; not while others write."""
+        current = {r["generation"] for r in self._version(collection)[1]}
+        fs, target = self._files(f"{self._path(collection)}/data")
+        old = [f.getPath() for f in fs.listStatus(target) if f.getPath().getName().removeprefix("generation=") not in current] if fs.exists(target) else []
+        for path in old:
+            fs.delete(path, True)
+        return len(old)
 
     # S11
     def get(self, collection: str, dataset: str, record_id: str, with_embedding: bool = False) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rowlore.operators.aggregates import batch_count
-from rowlore.operators.store import RecordStore, confirm_written
+from rowlore.operators.store import RecordStore
 from rowlore.plans.sizing import scratch_dir
 from rowlore.queries.book import Book, load
 
@@ -52,8 +52,22 @@ def q_delete_records(spark, sf):
 
 @BOOK.query("confirm_written", "SELECT o_orderpriority AS dataset, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus = 'P'")
 def q_confirm_written(spark, sf):
-    """Written keys that are gone again are reported."""
-    return confirm_written(order_records(load(spark, sf, "orders"), 1), after_delete(spark, sf).read("orders"))
+    """Written keys that are gone again are reported; buckets with equal digests are not read."""
+    return after_delete(spark, sf).confirm("orders", order_records(load(spark, sf, "orders"), 1))
+
+
+@BOOK.query("batch_outcome", """
+SELECT count(*) AS received, count(*) FILTER (o_orderkey % 10 = 0) AS rejected, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 10 <> 0) AS inserted,
+  count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 10 <> 0) AS replaced, CAST(0 AS BIGINT) AS superseded FROM orders""")
+def q_batch_outcome(spark, sf):
+    """What became of a batch: filled orders were there before, every tenth row has no id."""
+    store = RecordStore(spark, scratch_dir(spark, "store"))
+    store.create("orders", 64, 4)
+    orders = load(spark, sf, "orders")
+    store.upsert("orders", order_records(orders.where(F.col("o_orderstatus") == "F"), 1))
+    done = store.upsert("orders", order_records(orders, 2).withColumn("id", F.when(F.col("row_number") % 10 != 2, F.col("id"))))
+    row = (done.received, done.rejected, done.inserted, done.replaced, done.superseded)
+    return spark.createDataFrame([row], "received long, rejected long, inserted long, replaced long, superseded long")
 
 
 @BOOK.query("get_by_id", """

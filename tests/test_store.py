@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from rowlore.operators.records import assemble_record, enrich_payload, extract_lineage, project_record
-from rowlore.operators.store import RecordStore, confirm_written
+from rowlore.operators.store import RecordStore, Written, confirm_written
 
 
 def make(df, seq):
@@ -51,6 +52,49 @@ def test_store_life_cycle(spark, table, tmp_path):
     assert not store.exists("orders") and {r["collection"] for r in store.list_collections().collect()} == {"other"}
 
 
+def test_a_batch_is_there_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    store = RecordStore(spark, str(tmp_path / "root"))
+    store.create("c", 4, 3)
+    rows = lambda ids, seq: spark.createDataFrame([(d, i, seq) for d in ("a", "b/c d%") for i in ids], "dataset string, id string, ingest_seq long")
+    ids = [str(i) for i in range(40)]
+    assert store.upsert("c", rows(ids, 5)) == Written(80, 0, 80, 0, 0)
+    monkeypatch.setattr(RecordStore, "_commit", lambda *a: (_ for _ in ()).throw(IOError("lost")))
+    with pytest.raises(IOError):
+        store.upsert("c", rows(["40"], 6))
+    with pytest.raises(IOError):
+        store.delete("c", rows(ids, 1))
+    monkeypatch.undo()
+    assert store.read("c").count() == 80 and store.read("c").where("id = '40'").isEmpty()
+    # Older rows lose, repeats and rows without a key are counted.
+    more = rows(["1", "2"], 4).unionByName(rows(["3", "3", "50"], 6)).unionByName(spark.createDataFrame([("a", None, 1), (None, "x", 1)], "dataset string, id string, ingest_seq long"))
+    assert store.upsert("c", more) == Written(12, 2, 2, 2, 6)
+    assert store.vacuum("c") >= 2 and store.vacuum("c") == 0 and store.read("c").count() == 82
+    assert store.delete("c", rows(["50", "51"], 1)) == 2 and store.delete("c", rows(["51"], 1)) == 0
+    # Two writes of one version: the second one fails.
+    version, manifest = store._version("c")
+    store._commit("c", version + 1, manifest)
+    with pytest.raises(Exception, match="(?i)exist"):
+        store._commit("c", version + 1, manifest)
+    assert store.upsert("c", rows([], 1).limit(0)) == Written(0, 0, 0, 0, 0)
+
+
+def test_confirm_reads_buckets_that_differ_only(spark, tmp_path):
+    store = RecordStore(spark, str(tmp_path / "root"))
+    store.create("c", 4, 8)
+    batch = spark.range(400).select(F.lit("d").alias("dataset"), F.col("id").cast("string").alias("id"))
+    assert store.confirm("c", batch).count() == 400
+    store.upsert("c", batch)
+    whole = store.confirm("c", batch.unionByName(batch))
+    assert whole.isEmpty() and "data/generation" not in whole._jdf.queryExecution().toString()
+    store.delete("c", batch.where("id IN ('7', '8')"))
+    left = store.confirm("c", batch)
+    assert {r["id"] for r in left.collect()} == {"7", "8"}
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    buckets = {r["bucket"] for r in store._bucketed("c", batch.where("id IN ('7', '8')")).collect()}
+    assert "generation" in plan and len(buckets) <= 2
+    assert store.confirm("c", batch.where("id = '9'")).isEmpty()
+
+
 def test_dataset_names_stay_text(spark, tmp_path):
     store = RecordStore(spark, str(tmp_path / "root"))
     store.create("c", 4, 2)
