@@ -44,7 +44,7 @@ def catalog_of(rows: DataFrame, typed: bool, sample_rows: int | None = None) ->
 
 def ingest_tabular(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     extension: str,
     dataset: str,
     imported_at: datetime,
@@ -53,7 +53,7 @@ def ingest_tabular(
     width: int = VECTOR_WIDTH,
     tags: dict[str, list[str]] | None = None,
 ) -> Ingested:
-    """Decode a folder's files of one extension into records and one catalog entry per file.
+    """Decode files of one extension, a folder's or those given, into records and one catalog entry per file.
 
     Ids come from the import time and the file, so repeating an import gives the
     same rows; no value is drawn at random.

@@ -1,22 +1,18 @@
 """Files: S1-S7, S14, S16. Each query exports a table to a new scratch folder and reads it back."""
 
-import io
-import zipfile
-from collections.abc import Iterator
-from xml.sax.saxutils import escape
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from rowlore.functions.maps import entries_to_map
 from rowlore.model import DecodeOptions
 from rowlore.operators.aggregates import import_summary
+from rowlore.operators.store import RecordStore
 from rowlore.plans.sizing import scratch_dir
 from rowlore.queries.book import Book, load
+from rowlore.queries.fixtures import BOOK_ROWS, order_workbooks
 from rowlore.sources.delimited import csv_rows
 from rowlore.sources.folders import extension_counts, route, scan_files
 from rowlore.sources.workbooks import decode_errors, decode_workbooks, raw_workbooks, workbook_rows
-from rowlore.streaming.incremental import line_stream, run_once
+from rowlore.streaming.incremental import ingest_new_tables, line_stream, run_once
 
 BOOK = Book()
 # One file per segment or language: small exports whose file count is known.
@@ -122,51 +118,30 @@ def q_decode_errors(spark, sf):
     )
 
 
-HEADER = ("Order Key", "Status", "", "Date", "Price", "Urgent")
-BOOK_ROWS = 20_000  # rows per workbook: bounded whatever the table's size or skew
-
-
-def _text(column: str, row: int, value: str) -> str:
-    return f'<c r="{column}{row}" t="inlineStr"><is><t>{escape(value)}</t></is></c>'
-
-
-def _write_books(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for book in frame.itertuples():
-            rows = [f'<row r="1">{"".join(_text(c, 1, h) for c, h in zip("ABCDEF", HEADER) if h)}</row>']
-            for i, o in enumerate(book.rows):
-                n = i + 2
-                rows.append(
-                    f'<row r="{n}"><c r="A{n}"><v>{o["key"]}</v></c>{_text("B", n, o["status"])}{_text("C", n, o["priority"])}'
-                    f'<c r="D{n}" s="1"><v>{o["day"]}</v></c><c r="E{n}"><v>{o["price"]!r}</v></c><c r="F{n}" t="b"><v>{int(o["urgent"])}</v></c></row>'
-                )
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("xl/workbook.xml", '<workbook xmlns:r="http://r"><sheets><sheet name="Orders" r:id="r1"/></sheets></workbook>')
-                z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-                z.writestr("xl/styles.xml", '<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
-                z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{''.join(rows)}</sheetData></worksheet>")
-            yield pd.DataFrame([{"path": f"/{book.block}.xlsx", "file": f"{book.block}.xlsx", "content": out.getvalue()}])
-
-
 @BOOK.query("xlsx_rows", f"""
-SELECT (o_orderkey // {BOOK_ROWS}) || '.xlsx' AS file, CAST(1 + row_number() OVER (PARTITION BY o_orderkey // {BOOK_ROWS} ORDER BY o_orderkey) AS INTEGER) AS row_number,
-  o_orderkey::DOUBLE AS order_key, o_orderstatus AS status, o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m-%d') AS day,
+SELECT (o_orderkey // {BOOK_ROWS}) || '.xlsx' AS file, o_orderstatus AS worksheet,
+  CAST(1 + row_number() OVER (PARTITION BY o_orderkey // {BOOK_ROWS}, o_orderstatus ORDER BY o_orderkey) AS INTEGER) AS row_number,
+  o_orderkey::DOUBLE AS order_key, o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m-%d') AS day,
   o_totalprice AS price, o_orderpriority = '1-URGENT' AS urgent FROM orders""")
 def q_xlsx_rows(spark, sf):
-    """Orders written as workbooks of bounded size inside tasks, then decoded."""
-    one = F.struct(
-        F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
-        (F.unix_date(F.to_date("o_orderdate")) + 25569).alias("day"), F.col("o_totalprice").alias("price"),
-        (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
-    )
-    block = F.floor(F.col("o_orderkey") / BOOK_ROWS).alias("block")
-    blocks = load(spark, sf, "orders").groupBy(block).agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    # A fixed partition count keeps AQE from putting all workbooks into one task.
-    files = blocks.repartition(spark.sparkContext.defaultParallelism, "block").mapInPandas(_write_books, "path string, file string, content binary")
-    rows = workbook_rows(decode_workbooks(files))
-    typed = {"Order_Key": ("order_key", "double"), "Status": ("status", "string"), "Column3": ("priority", "string"),
-             "Date": ("day", "string"), "Price": ("price", "double"), "Urgent": ("urgent", "boolean")}
+    """Workbooks with a worksheet for each order status, decoded."""
+    rows = workbook_rows(decode_workbooks(order_workbooks(spark, sf)))
+    typed = {"Order_Key": ("order_key", "double"), "Column2": ("priority", "string"), "Date": ("day", "string"), "Price": ("price", "double"), "Urgent": ("urgent", "boolean")}
     return rows.select(
-        "file", "row_number", *[F.try_variant_get("data", f"$.{k}", t).alias(n) for k, (n, t) in typed.items()]
+        "file", "worksheet", "row_number", *[F.try_variant_get("data", f"$.{k}", t).alias(n) for k, (n, t) in typed.items()]
     )
+
+
+@BOOK.query("incremental_tables", """
+SELECT p_type AS kind, CAST(p_partkey AS VARCHAR) AS part, p_name AS name FROM part""")
+def q_incremental_tables(spark, sf):
+    """Parts exported as CSV files, ingested into a store in two runs and again: every row is there once."""
+    root = scratch_dir(spark, "tables")
+    part = load(spark, sf, "part").select("p_partkey", "p_name", F.col("p_type").alias("kind"), "p_type")
+    store = RecordStore(spark, f"{root}/store")
+    store.create("parts", 8, 4)
+    for more in (F.col("p_type") != "PROMO", F.lit(False), F.col("p_type") == "PROMO"):
+        part.where(more).write.mode("append").options(**CSV).partitionBy("p_type").csv(f"{root}/in")
+        ingest_new_tables(spark, f"{root}/in", "csv", "parts", store, "parts", f"{root}/checkpoint", width=8)
+    text = lambda name: F.try_variant_get("data", f"$.{name}", "string")
+    return store.read("parts").select(text("kind").alias("kind"), text("p_partkey").alias("part"), text("p_name").alias("name"))

@@ -13,12 +13,12 @@ from rowlore.model import DecodeOptions
 from rowlore.sources.delimited import csv_rows
 from rowlore.sources.workbooks import xlsx_rows
 
-# A decoder yields path, file, worksheet, row_number, cells and data.
-Decoder = Callable[[SparkSession, str, DecodeOptions], DataFrame]
+# A decoder yields path, file, worksheet, row_number, cells and data of a folder, or of the files it is given.
+Decoder = Callable[[SparkSession, str | list[str], DecodeOptions], DataFrame]
 ROW_COLUMNS = ("path", "file", "worksheet", "row_number", "cells", "data")
 
 
-def _csv(spark: SparkSession, path: str, options: DecodeOptions) -> DataFrame:
+def _csv(spark: SparkSession, path: str | list[str], options: DecodeOptions) -> DataFrame:
     rows = csv_rows(spark, path, options)
     return rows.withColumn("data", entries_to_variant(F.col("cells"), typed_variant))
 
@@ -30,5 +30,5 @@ def register_decoder(extension: str, decoder: Decoder) -> None:
     DECODERS[extension.lower().lstrip(".")] = decoder
 
 
-def decode(spark: SparkSession, path: str, extension: str, options: DecodeOptions = DecodeOptions()) -> DataFrame:
+def decode(spark: SparkSession, path: str | list[str], extension: str, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     return DECODERS[extension.lower().lstrip(".")](spark, path, options).select(*ROW_COLUMNS)

@@ -43,7 +43,7 @@ def split_line(line: Column) -> Column:
     )
 
 
-def numbered_lines(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = True) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.csv", recursive: bool = True) -> DataFrame:
     """Lines with their path, block and row id; ids grow by one within a block."""
     return (
         spark.read.option("recursiveFileLookup", str(recursive).lower())
@@ -58,12 +58,6 @@ def numbered_lines(spark: SparkSession, path: str, pattern: str = "*.csv", recur
     )
 
 
-def pin_splits(spark: SparkSession) -> None:
-    """Cut files alike in every pass, whatever number of executors is up at the time."""
-    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-
-
 def header_names(fields: Column, options: DecodeOptions) -> Column:
     named = F.transform(fields, normalize_header) if options.normalize_headers else fields
     return F.transform(
@@ -76,35 +70,37 @@ def header_names(fields: Column, options: DecodeOptions) -> Column:
 
 def read_lines(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     options: DecodeOptions = DecodeOptions(),
     pattern: str = "*.csv",
     recursive: bool = True,
 ) -> DataFrame:
     """Every line below the header with its 1-based number, fields and the file's header.
 
-    Files stay splittable. One pass counts the lines of each file block, one
-    picks the header lines, one reads the rows; the two small tables between
+    Files stay splittable. One pass counts the lines of each file block and takes its first
+    one, which is the header of the block that begins the file; one reads the rows. Headers
+    further down take a pass of their own. The small tables between
     them are written to the shared folder. The lines themselves are not shuffled
     while the block table is provably small; beyond the bound the join shuffles
     on (path, block), whose groups are one block large.
     """
-    pin_splits(spark)
     lines = numbered_lines(spark, path, pattern, recursive)
-    per_block = lines.groupBy("path", "block").agg(F.min("rid").alias("first"), F.count("*").alias("n"))
+    per_block = lines.groupBy("path", "block").agg(F.min("rid").alias("first"), F.count("*").alias("n"), F.min_by("value", "rid").alias("top"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = materialize(
+    counted = materialize(
         per_block.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "blocks"
     )
+    blocks = counted.drop("top")
     at = F.col("rid") - F.col("first") + F.col("offset") + 1
     lost = F.raise_error("a file changed or was split differently while it was read")
     line = F.when(F.col("first").isNotNull(), at).otherwise(lost.cast("bigint"))
     placed = lines.join(broadcast_if_small(blocks), ["path", "block"], "left").withColumn("line", line.cast("int"))
     header_line = options.header_row_index + 1
-    headers = placed.where(F.col("line") == header_line).select(
-        "path", header_names(split_line(F.col("value")), options).alias("header")
-    )
-    headers = materialize(headers, "headers")
+    if header_line == 1:
+        first = counted.where(F.col("offset") == 0).withColumn("value", F.col("top"))
+    else:
+        first = placed.where(F.col("line") == header_line)
+    headers = materialize(first.select("path", header_names(split_line(F.col("value")), options).alias("header")), "headers")
     return (
         placed.where(F.col("line") > header_line)
         .join(broadcast_if_small(headers), "path", "left")
@@ -134,7 +130,7 @@ def line_cells(fields: Column, header: Column, options: DecodeOptions) -> Column
 
 def csv_rows(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     options: DecodeOptions = DecodeOptions(),
     pattern: str = "*.csv",
     recursive: bool = True,

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def extension(path: Column) -> Column:
     """Lower-case extension without its dot, empty when there is none."""
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
 
+def literal_path(path: str) -> str:
+    """A path whose own characters stand for themselves, where a reader takes patterns."""
+    return re.sub(r"([\[\]{}*?\\^])", r"\\\1", path)
+
+
 def file_name(path: Column) -> Column:
     """The last part of a URI, as in `_metadata.file_path`; paths of binary files are no URIs."""
     return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
 
 
 def scan_files(
-    spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True, content: bool = False
+    spark: SparkSession, path: str | list[str], pattern: str = "*", recursive: bool = True, content: bool = False
 ) -> DataFrame:
     """One row per file; `recursive=False` takes the root's own files only.
 

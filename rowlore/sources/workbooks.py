@@ -1,11 +1,16 @@
-"""Workbooks. One task opens one file and streams its raw cells; the rest is Spark."""
+"""Workbooks. A file is cut into its worksheets, still compressed; each is streamed by a task of its own."""
 
 from __future__ import annotations
 
 import io
 import re
+import struct
+import tempfile
 import zipfile
+import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -32,6 +37,15 @@ ARROW_SCHEMA = pa.schema(
     ]
 )
 ROWS_PER_BATCH = 2000
+# A worksheet as it lies in its file: the compressed bytes of its part and of the shared texts, and the kinds of its styles.
+SHEETS = (
+    "path string, file string, sheet_index int, worksheet string, method int, part binary, texts_method int, texts binary, "
+    "kinds array<string>, error string"
+)
+# Shared texts of a workbook up to this many bytes stay in memory, more go to a file of the task.
+TEXTS_IN_MEMORY = 16 << 20
+CACHED_TEXTS = 4096
+UNREADABLE = (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, EOFError, IndexError, zlib.error, struct.error, NotImplementedError)
 BLANK = {"kind": "blank", "raw": None}
 # Number formats of the file format that show a date or a time.
 DATE_FORMATS = frozenset((14, 15, 16, 17, 22))
@@ -70,11 +84,60 @@ def _style_kinds(book: zipfile.ZipFile) -> list[str]:
     return kinds
 
 
-def _shared_texts(book: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in book.namelist():
-        return []
-    root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-    return ["".join(t.text or "" for t in si.iter() if _tag(t) == "t") for si in root if _tag(si) == "si"]
+class _Inflated(io.RawIOBase):
+    """Compressed bytes as a stream of the bytes they stand for."""
+
+    def __init__(self, data: bytes):
+        self.inflate, self.rest = zlib.decompressobj(-zlib.MAX_WBITS), data
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.inflate.eof:
+            found = self.inflate.decompress(self.rest, len(out))
+            self.rest = self.inflate.unconsumed_tail
+            if found:
+                out[: len(found)] = found
+                return len(found)
+            if not self.rest:
+                raise EOFError("a part of the file ends early")
+        return 0
+
+
+def _stream(method: int, data: bytes) -> io.IOBase:
+    return io.BufferedReader(_Inflated(data), 1 << 16) if method == zipfile.ZIP_DEFLATED else io.BytesIO(data)
+
+
+def _member(book: zipfile.ZipFile, content: bytes, name: str) -> tuple[int, bytes]:
+    """How a part is compressed, and its bytes as they lie in the file."""
+    info = book.getinfo(name)
+    if info.flag_bits & 1 or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise NotImplementedError(f"{name} is encrypted or compressed in an unknown way")
+    lengths = struct.unpack_from("<HH", content, info.header_offset + 26)
+    start = info.header_offset + 30 + sum(lengths)
+    return info.compress_type, content[start : start + info.compress_size]
+
+
+class SharedTexts:
+    """The shared texts of a workbook by number, read as a stream; large tables lie in a file."""
+
+    def __init__(self, method: int | None, data: bytes | None):
+        self.file, self.ends = tempfile.SpooledTemporaryFile(max_size=TEXTS_IN_MEMORY), array("Q", [0])
+        self.get = lru_cache(CACHED_TEXTS)(self._read)
+        if data is not None:
+            root = None
+            for event, e in ElementTree.iterparse(_stream(method, data), ("start", "end")):
+                root = e if root is None else root
+                if event == "end" and _tag(e) == "si":
+                    text = "".join(t.text or "" for t in e.iter() if _tag(t) == "t").encode()
+                    self.file.write(text)
+                    self.ends.append(self.ends[-1] + len(text))
+                    root.clear()
+
+    def _read(self, number: int) -> str:
+        self.file.seek(self.ends[number])
+        return self.file.read(self.ends[number + 1] - self.ends[number]).decode()
 
 
 def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
@@ -96,82 +159,120 @@ def _value(c, ns: str):
     return None if v is None or (not len(v) and not v.text) else v
 
 
-def _cell(c, v, texts: list[str], kinds: list[str]) -> dict:
+def _cell(c, v, texts: SharedTexts, kinds: list[str]) -> dict:
     raw, t = "".join(v.itertext()), c.get("t", "n")
     if t == "s":
-        return {"kind": "text", "raw": texts[int(raw)]}
+        return {"kind": "text", "raw": texts.get(int(raw))}
     if t == "n":
         style = int(c.get("s", "0"))
         return {"kind": kinds[style] if style < len(kinds) else "number", "raw": raw}
     return {"kind": {"b": "boolean", "e": "error"}.get(t, "text"), "raw": raw}
 
 
-def _rows(book: zipfile.ZipFile, part: str, hidden_columns: set[int]):
-    """(row element, its non-blank cells, namespace), streamed; fills `hidden_columns` on the way."""
-    with book.open(part) as stream:
-        for _, e in ElementTree.iterparse(stream):
-            tag = e.tag
-            if tag.endswith("row") and _tag(e) == "row":
-                ns = tag[: tag.rfind("}") + 1]
-                filled = [(_column(c.get("r")), c, v) for c in e if (v := _value(c, ns)) is not None]
-                if filled:
-                    yield e, filled
-                e.clear()
-            elif tag.endswith("col") and _tag(e) == "col" and e.get("hidden") in ("1", "true"):
-                hidden_columns.update(range(int(e.get("min")), int(e.get("max")) + 1))
-
-
-def _decode(path: str, file: str, content: bytes, header_index: int, skip_hidden: bool) -> Iterator[dict]:
-    """Rows of all sheets: cells and header dense over the used columns."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        texts, kinds = _shared_texts(book), _style_kinds(book)
-        for index, (sheet, part) in enumerate(_sheets(book)):
-            first_row, low, high, header, hidden_columns = None, 1 << 30, 0, {}, set()
-            for e, filled in _rows(book, part, hidden_columns):
-                number = int(e.get("r"))
-                first_row = number if first_row is None else first_row
-                if number == first_row + header_index:
-                    header = {col: _cell(c, v, texts, kinds) for col, c, v in filled}
-                low, high = min(low, filled[0][0]), max(high, filled[-1][0])
-            columns = [c for c in range(low, high + 1) if not (skip_hidden and c in hidden_columns)]
-            names = [header.get(c, BLANK) for c in columns]
-            for e, filled in _rows(book, part, set()):
-                found = {col: _cell(c, v, texts, kinds) for col, c, v in filled}
-                yield {
-                    "path": path, "file": file, "sheet_index": index, "worksheet": sheet, "first_row": first_row,
-                    "row_number": int(e.get("r")), "hidden": e.get("hidden") in ("1", "true"), "columns": columns,
-                    "header": names, "cells": [found.get(c, BLANK) for c in columns],
-                }
-
-
-def _decode_batches(header_index: int, skip_hidden: bool):
+def _rows(stream: io.IOBase, hidden_columns: set[int]):
+    """(row element, its non-blank cells), streamed; fills `hidden_columns` on the way."""
+    parents = []
+    for event, e in ElementTree.iterparse(stream, ("start", "end")):
+        if event == "start":
+            parents.append(e)
+            continue
+        parents.pop()
+        tag = e.tag
+        if tag.endswith("row") and _tag(e) == "row":
+            ns = tag[: tag.rfind("}") + 1]
+            filled = [(_column(c.get("r")), c, v) for c in e if (v := _value(c, ns)) is not None]
+            if filled:
+                yield e, filled
+            # What is read is forgotten: a sheet of any length takes the room of a row.
+            parents[-1].clear()
+        elif tag.endswith("col") and _tag(e) == "col" and e.get("hidden") in ("1", "true"):
+            hidden_columns.update(range(int(e.get("min")), int(e.get("max")) + 1))
+
+
+def _decode(sheet: dict, header_index: int, skip_hidden: bool) -> Iterator[dict]:
+    """Rows of one worksheet: cells and header dense over the used columns."""
+    texts, kinds = SharedTexts(sheet["texts_method"], sheet["texts"]), sheet["kinds"]
+    first_row, low, high, header, hidden_columns = None, 1 << 30, 0, {}, set()
+    for e, filled in _rows(_stream(sheet["method"], sheet["part"]), hidden_columns):
+        number = int(e.get("r"))
+        first_row = number if first_row is None else first_row
+        if number == first_row + header_index:
+            header = {col: _cell(c, v, texts, kinds) for col, c, v in filled}
+        low, high = min(low, filled[0][0]), max(high, filled[-1][0])
+    columns = [c for c in range(low, high + 1) if not (skip_hidden and c in hidden_columns)]
+    names = [header.get(c, BLANK) for c in columns]
+    for e, filled in _rows(_stream(sheet["method"], sheet["part"]), set()):
+        found = {col: _cell(c, v, texts, kinds) for col, c, v in filled}
+        yield {
+            "path": sheet["path"], "file": sheet["file"], "sheet_index": sheet["sheet_index"], "worksheet": sheet["worksheet"],
+            "first_row": first_row, "row_number": int(e.get("r")), "hidden": e.get("hidden") in ("1", "true"), "columns": columns,
+            "header": names, "cells": [found.get(c, BLANK) for c in columns],
+        }
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each worksheet of a file, or one with what is wrong with the file."""
+    names = ("path", "file", "sheet_index", "worksheet", "method", "part", "texts_method", "texts", "kinds", "error")
+    types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.string())
+    schema = pa.schema(list(zip(names, types)))
+    for batch in batches:
+        for i in range(batch.num_rows):
+            path, file, content = (batch.column(c)[i].as_py() for c in range(3))
+            try:
+                with zipfile.ZipFile(io.BytesIO(content or b"")) as book:
+                    kinds = _style_kinds(book)
+                    texts = _member(book, content, "xl/sharedStrings.xml") if "xl/sharedStrings.xml" in book.namelist() else (None, None)
+                    sheets = [(path, file, n, sheet, *_member(book, content, part), *texts, kinds, None) for n, (sheet, part) in enumerate(_sheets(book))]
+            except UNREADABLE as exc:
+                sheets = [(path, file, 0, None, None, None, None, None, None, f"{type(exc).__name__}: {exc}")]
+            for sheet in sheets:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, sheet))], schema=schema)
+
+
+def _decode_sheets(header_index: int, skip_hidden: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for files in batches:
-            for one in files.to_pylist():
-                path, file, rows = one["path"], one["file"], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sheet, rows = batch.slice(i, 1).to_pylist()[0], []
+                failed = {k: sheet[k] for k in ("path", "file", "sheet_index", "worksheet")} | {"row_number": 0}
                 try:
-                    for row in _decode(path, file, one["content"], header_index, skip_hidden):
+                    for row in () if sheet["error"] else _decode(sheet, header_index, skip_hidden):
                         rows.append(row)
                         if len(rows) >= ROWS_PER_BATCH:
                             yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
                             rows = []
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, EOFError) as exc:
-                    rows.append({"path": path, "file": file, "row_number": 0, "error": f"{type(exc).__name__}: {exc}"})
+                    if sheet["error"]:
+                        rows.append(failed | {"error": sheet["error"]})
+                except UNREADABLE as exc:
+                    rows.append(failed | {"error": f"{type(exc).__name__}: {exc}"})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
 
     return run
 
 
+def worksheets(files: DataFrame) -> DataFrame:
+    """`(path, file, content)` to one row per worksheet, dealt to as many tasks; parts stay compressed.
+
+    The shared texts of a file go with each of its worksheets.
+    """
+    split = files.select("path", "file", "content").mapInArrow(_split, SHEETS)
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return split.repartition(parts, "path", "sheet_index")
+
+
 def decode_workbooks(files: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
-    """Raw cells of every used row of `(path, file, content)`, one error row per undecodable file."""
-    return files.select("path", "file", "content").mapInArrow(
-        _decode_batches(options.header_row_index, options.skip_hidden_columns), RAW_SCHEMA
-    )
+    """Raw cells of every used row of `(path, file, content)`, an error row for what cannot be decoded.
+
+    Each worksheet is a task's own; its rows are streamed, so what a task holds is
+    the worksheet's compressed bytes and the file's shared texts.
+    """
+    decode = _decode_sheets(options.header_row_index, options.skip_hidden_columns)
+    return worksheets(files).mapInArrow(decode, RAW_SCHEMA)
 
 
 def raw_workbooks(
-    spark: SparkSession, path: str, options: DecodeOptions = DecodeOptions(), pattern: str = "*.xlsx", recursive: bool = True
+    spark: SparkSession, path: str | list[str], options: DecodeOptions = DecodeOptions(), pattern: str = "*.xlsx", recursive: bool = True
 ) -> DataFrame:
     """The same for the workbooks of a folder."""
     return decode_workbooks(scan_files(spark, path, pattern, recursive, content=True), options)
@@ -179,7 +280,8 @@ def raw_workbooks(
 
 def decode_errors(raw: DataFrame) -> DataFrame:
     """One note per undecodable file with the processing error."""
-    return raw.where(F.col("error").isNotNull()).select(
+    failed = raw.where(F.col("error").isNotNull()).groupBy("path", "file").agg(F.min("error").alias("error"))
+    return failed.select(
         "path", "file",
         F.concat(F.lit("This workbook could not be read: "), F.col("file")).alias("text"),
         F.create_map(F.lit("processing_error"), F.col("error")).alias("metadata"),
@@ -233,5 +335,5 @@ def workbook_rows(raw: DataFrame, options: DecodeOptions = DecodeOptions()) -> D
     )
 
 
-def xlsx_rows(spark: SparkSession, path: str, options: DecodeOptions = DecodeOptions(), **how) -> DataFrame:
+def xlsx_rows(spark: SparkSession, path: str | list[str], options: DecodeOptions = DecodeOptions(), **how) -> DataFrame:
     return workbook_rows(raw_workbooks(spark, path, options, **how), options)

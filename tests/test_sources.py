@@ -1,17 +1,21 @@
+import os
 import zipfile
+import zlib
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from rowlore.functions.maps import entries_to_map
 from rowlore.model import DecodeOptions
 from rowlore.operators.aggregates import import_summary
+from rowlore.operators.store import RecordStore, Written
 from rowlore.plans.ingest import ingest_tabular, store_schemas
 from rowlore.sources.decoders import decode, register_decoder
 from rowlore.sources.delimited import csv_rows, read_lines
 from rowlore.sources.folders import extension_counts, read_texts, route, scan_files
-from rowlore.sources.workbooks import decode_errors, raw_workbooks, workbook_rows, xlsx_rows
-from rowlore.streaming.incremental import file_stream, ingest_new_files, line_stream, run_once
+from rowlore.sources.workbooks import SharedTexts, decode_errors, raw_workbooks, workbook_rows, worksheets, xlsx_rows
+from rowlore.streaming.incremental import file_stream, ingest_new_files, ingest_new_tables, line_stream, run_once
 
 CSV = 'Server Name,Env,,Env\nA1,Prod,x,y,EXTRA\n\n"B ""2""",,z\n'
 
@@ -198,3 +202,50 @@ def test_incremental_second_run_adds_nothing(spark, tmp_path):
     assert sum(seen) == 2
     run_once(line_stream(spark, str(src)), str(tmp_path / "out3"), str(tmp_path / "check3"))
     assert spark.read.parquet(str(tmp_path / "out3")).count() == 4
+
+
+def test_incremental_tables_reach_the_store(spark, tmp_path):
+    """A second run, a repeated batch and a file written again add no record; new files do."""
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a [1]{x}.csv").write_text("Name,Size\nA,1\nB,2\n")
+    (src / "b.csv").write_text("Name,Size\nC,3\n")
+    store = RecordStore(spark, str(tmp_path / "store"))
+    store.create("c", 4, 2)
+    run = lambda check: ingest_new_tables(spark, str(src), "csv", "d", store, "c", str(tmp_path / check), width=4, batches=done)
+    done = []
+    run("check")
+    run("check")
+    assert [w for _, w in done] == [Written(3, 0, 3, 0, 0)]
+    run("another")  # the same files as a batch that was not known to be done
+    assert done[-1][1] == Written(3, 0, 0, 3, 0)
+    (src / "c.csv").write_text("Name,Size\nD,4\n")
+    run("check")
+    assert done[-1][1] == Written(1, 0, 1, 0, 0) and len(done) == 3
+    rows = store.read("c").collect()
+    assert {(r["file"], r["row_number"], r["data"].toPython()["name"]) for r in rows} == {("a [1]{x}.csv", 2, "A"), ("a [1]{x}.csv", 3, "B"), ("b.csv", 2, "C"), ("c.csv", 2, "D")}
+    assert [f.name for f in tmp_path.iterdir() if f.name == "in"] and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_worksheets_are_tasks_of_their_own(spark, tmp_path):
+    write_workbook(tmp_path / "w.xlsx")
+    (tmp_path / "cut.xlsx").write_bytes((tmp_path / "w.xlsx").read_bytes()[:-400])
+    parts = worksheets(scan_files(spark, str(tmp_path), "*.xlsx", content=True))
+    whole = parts.where("error IS NULL")
+    assert [(r["sheet_index"], r["worksheet"]) for r in whole.orderBy("sheet_index").collect()] == [(0, "One"), (1, "Two")]
+    assert parts.where("error IS NOT NULL").count() == 1
+    plan = raw_workbooks(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "hashpartitioning(path" in plan
+    many = spark.range(40).select(F.concat(F.lit("p"), "id").alias("path"), F.lit("w.xlsx").alias("file"), F.lit((tmp_path / "w.xlsx").read_bytes()).alias("content"))
+    assert worksheets(many).select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_shared_texts_beyond_memory(monkeypatch):
+    monkeypatch.setattr("rowlore.sources.workbooks.TEXTS_IN_MEMORY", 100)
+    listed = [f"text {i} é" * (i % 5) for i in range(300)]
+    xml = "<sst>" + "".join(f"<si><r><t>{t[:3]}</t></r><r><t>{t[3:]}</t></r></si>" for t in listed) + "</sst>"
+    deflate = zlib.compressobj(wbits=-15)
+    texts = SharedTexts(8, deflate.compress(xml.encode()) + deflate.flush())
+    assert [texts.get(i) for i in range(300)] == listed and SharedTexts(0, xml.encode()).get(7) == listed[7]
+    with pytest.raises(EOFError):
+        SharedTexts(8, (zlib.compressobj(wbits=-15).compress(os.urandom(5000)) or b"") + b"")
