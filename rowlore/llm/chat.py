@@ -21,6 +21,23 @@ def canonical(json: Column) -> Column:
 
 
 NODE = ["conv_id", "call_id"]
+# Links into and out of a call through which shortcuts are looked for.
+FEW = 8
+
+
+def _without_shortcuts(links: DataFrame) -> DataFrame:
+    """Links less those that two others together stand for: a call that depends on the last and the one before that.
+
+    Only links that lead on in one order of calls (by turn, or against it) are looked at, so
+    what is reached stays the same, on cycles too. Only links through calls of few links are
+    tried: others cost rounds, not results.
+    """
+    few = lambda c: links.groupBy("conv_id", F.col(c).alias("via")).agg(F.count("*").alias(f"_{c}")).filter(F.col(f"_{c}") <= FEW).drop(f"_{c}")
+    first = links.select("conv_id", "src", F.col("dst").alias("via"), F.col("_from").alias("_a"), F.col("_to").alias("_b"))
+    second = links.select("conv_id", F.col("src").alias("via"), "dst", F.col("_to").alias("_c"))
+    met = first.join(few("src"), ["conv_id", "via"]).join(few("dst"), ["conv_id", "via"]).join(second, ["conv_id", "via"])
+    onward = (F.col("_a") < F.col("_b")) & (F.col("_b") < F.col("_c")) | (F.col("_a") > F.col("_b")) & (F.col("_b") > F.col("_c"))
+    return links.join(met.filter(onward).select("conv_id", "src", "dst"), ["conv_id", "src", "dst"], "left_anti")
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,14 +48,15 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     calls the first turn does. Each round takes off the calls that wait for none, whose level
     is then known, and splices calls with one predecessor and one successor out of
     chains: one whose hash exceeds those of both, so no two neighbours go at once. So a long
-    chain takes a logarithm of rounds. What stays when nothing more can go is on or
+    chain takes a logarithm of rounds, with or without shortcuts; other shapes one for each level that is left. What stays when nothing more can go is on or
     behind a cycle: level -1. Spliced calls get theirs from their predecessor's, last
     round first. Each round is written to the shared folder.
     """
     nodes = calls.groupBy(*NODE).agg(F.min("turn").alias("turn"))
-    ids = nodes.select(*NODE)
     links = edges.select("conv_id", F.col("depends_on").alias("src"), F.col("call_id").alias("dst")).distinct()
-    links = links.join(ids.withColumnRenamed("call_id", "src"), ["conv_id", "src"], "left_semi").join(ids.withColumnRenamed("call_id", "dst"), ["conv_id", "dst"], "left_semi")
+    place = lambda name, at: nodes.select("conv_id", F.col("call_id").alias(name), F.struct("turn", "call_id").alias(at))
+    links = links.join(place("src", "_from"), ["conv_id", "src"]).join(place("dst", "_to"), ["conv_id", "dst"])
+    links = _without_shortcuts(materialize(links, "links"))
     links = materialize(links.select("conv_id", "src", "dst", F.lit(1).cast("long").alias("steps"), F.lit(None).cast("long").alias("turns")), "links")
     live = nodes.withColumns({"level": F.lit(0).cast("long"), "after": F.lit(None).cast("long")})
     done, spliced, number = [], [], 0

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowlore.llm.chat import FORMAT_SQL, canonical, format_conversations, levels, link_calls
+from rowlore.plans.sizing import materialize
 
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, depends_on string"
 RESULTS = "conv_id long, turn long, call_id string, content string"
@@ -100,6 +101,18 @@ def test_levels_of_a_long_chain(spark):
     assert {r["call_id"]: r["level"] for r in levels(calls, edges).collect()} == {f"c{i}": i for i in range(200)}
 
 
+def test_levels_with_shortcuts_and_cycles(spark, monkeypatch):
+    """Calls that depend on the three before, and three that all depend on each other: few rounds, the same levels."""
+    calls = {f"c{i:03}": i for i in range(60)} | {"x": 1, "y": 2, "z": 3, "behind": 0}
+    names = list(calls)[:60]
+    edges = [(names[i], names[i - k]) for i in range(60) for k in (1, 2, 3) if i >= k] + [(a, b) for a in "xyz" for b in "xyz" if a != b] + [("behind", "z")]
+    frames = spark.createDataFrame([(1, c, t) for c, t in calls.items()], LEVELS[0]), spark.createDataFrame([(1, a, b) for a, b in edges], LEVELS[1])
+    written = []
+    monkeypatch.setattr("rowlore.llm.chat.materialize", lambda df, label: written.append(label) or materialize(df, label))
+    assert {r["call_id"]: (r["level"], r["after"]) for r in levels(*frames).collect()} == brute_levels(calls, edges)
+    assert written.count("live") < 20
+
+
 def test_order_of_several_dependencies(spark):
     """Two dependencies, one of them absent, and one in a later turn."""
     calls = [(1, 1, "x", "t", "{}", "y"), (1, 3, "y", "t", "{}", None), (1, 4, "a", "t", "{}", None), (1, 4, "c", "t", "{}", "a"), (1, 4, "d", "t", "{}", "c"), (1, 4, "e", "t", "{}", "a")]
