@@ -30,7 +30,7 @@ CHUNK = 1 << 18
 # Anchors' bytes that more suffixes than this share are dealt by window instead.
 HOT = 20_000
 NO_ID = np.iinfo(np.int64).max
-MESSAGE = "part int, run int, kind int, data binary"
+MESSAGE = "part long, run long, kind int, data binary"
 HASHES, CODES, SUFFIXES, MASKS = range(4)
 _TABLE = np.random.default_rng(11).integers(1, 1 << 32, 256, dtype=np.uint32)
 
@@ -127,7 +127,7 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
 
 def _message(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     part, run, kind, data = zip(*rows) if rows else ((), (), (), ())
-    numbers = [pa.array(c, pa.int32()) for c in (part, run, kind)]
+    numbers = [pa.array(c, t) for c, t in zip((part, run, kind), (pa.int64(), pa.int64(), pa.int32()))]
     return pa.table([*numbers, pa.array(data, pa.binary())], names=["part", "run", "kind", "data"])
 
 
@@ -413,8 +413,8 @@ def removed_bytes(run: Run, own: Suffixes, masks: np.ndarray) -> np.ndarray:
 
 
 def run_number(runs: int) -> Column:
-    """The run of a row, by id and text: rows without an id, or with one id, spread over all runs."""
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(runs)).cast("int")
+    """The run of a row, any one: by id, text and place, so that equal rows spread over all runs, too."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(runs))
 
 
 def without_earlier_passages(docs: DataFrame, run_bytes: int = RUN_BYTES, least_runs: int = LEAST_RUNS, hot: int = HOT) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from rowlore.llm.suffixes import ROW, earlier_windows, front_code, front_decode, merge, without_earlier_passages, run_number
+from rowlore.llm.suffixes import ROW, _message, earlier_windows, front_code, front_decode, merge, without_earlier_passages, run_number
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 NONE = (1 << 63) - 1
@@ -99,6 +99,19 @@ def test_rows_without_id_or_with_one_id_spread_over_runs(spark):
         assert rows.select(run_number(16)).distinct().count() == 16
 
 
+def test_equal_rows_spread_over_runs(spark):
+    rows = spark.range(1000).selectExpr("cast(null AS long) AS doc_id", "cast('' AS binary) AS text")
+    sizes = [r["n"] for r in rows.groupBy(run_number(16).alias("r")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 150
+
+
+def test_numbers_of_very_many_runs():
+    """More runs than 32 bits hold in pairs: 300 GB and beyond."""
+    runs = 70_000
+    made = _message([(-1 - (runs - 1) * runs - 5, runs - 1, 1, b"x"), (1 << 33, 1 << 32, 2, b"")])
+    assert made.column("part").to_pylist() == [-1 - (runs - 1) * runs - 5, 1 << 33] and (-1 - made.column("part")[0].as_py()) % runs == 5
+
+
 def test_one_id_in_many_runs_is_not_smaller_than_itself(spark):
     same = "a passage of well over fifty bytes that two rows of one id have in common; "
     rows = [(i, same + str(k) * 9) for i in (7, None) for k in range(20)]
