@@ -12,14 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlore.llm.common import in_groups
+from rowlore.llm.common import ENTRY_BYTES, LONGEST_CHUNK, TABLE_BYTES, in_groups
 from rowlore.plans.sizing import materialize
 
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-TABLE_LIMIT = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 # Unicode white space. The byte-level rule never joins a character to white space
@@ -34,8 +33,11 @@ class IdTable(dict):
 
     The default vocabulary is also there as ranks, which encode a short chunk
     faster; a chunk with a special token's text goes to the tokenizers library.
+    The table is bounded by bytes, and very long chunks are not kept.
     """
 
+    held = 0
+
     def __init__(self, path: str | None):
         import base64
 
@@ -58,16 +60,21 @@ class IdTable(dict):
             ids = self.model.encode(chunk, add_special_tokens=False).ids
         else:
             ids = self.encode(chunk)
-        self[chunk] = blob = np.array(ids, "<u4").tobytes()
+        blob = np.array(ids, "<u4").tobytes()
+        if len(chunk) <= LONGEST_CHUNK:
+            if self.held > TABLE_BYTES:
+                # A full table starts anew, which costs time but changes no id.
+                self.clear()
+                self.held = 0
+            self[chunk] = blob
+            self.held += ENTRY_BYTES + len(chunk) + len(blob)
         return blob
 
 
 def _id_table(path: str | None) -> IdTable:
-    """This worker's table; one over the limit starts anew, which costs time but changes no id."""
+    """This worker's table."""
     if path not in _TABLES:
         _TABLES[path] = IdTable(path)
-    elif len(_TABLES[path]) > TABLE_LIMIT:
-        _TABLES[path].clear()
     return _TABLES[path]
 
 
@@ -182,12 +189,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     their counts are summed over all pieces and packed at once, and each piece
     finds its place by its rank among the pieces of its length. Ranks come from
     salted windows plus the counts of the salts before, so a length that most
-    pieces share is spread over many tasks. No piece gives an empty table.
+    pieces share is spread over many tasks, equal pieces too: salts go by a number that a piece is
+    written with. No piece gives an empty table.
     """
-    pieces = materialize(pieces, "pieces")
+    pieces = materialize(pieces.withColumn("_at", F.monotonically_increasing_id()), "pieces")
     total = pieces.count()
     salts = max(16, -(-total // 250_000))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -209,7 +217,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             bins, place_in = np.divmod(rank - first, np.maximum(each, 1))
             yield frame.assign(sequence_id=bin_id + bins, offset=offset + place_in * size)
 
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    order = Window.partitionBy("length", "_salt").orderBy("_at")
     ranked = salted.withColumn("_row", F.row_number().over(order)).join(offsets, ["length", "_salt"])
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked = ranked.select(*columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))

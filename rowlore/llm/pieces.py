@@ -15,7 +15,6 @@ from rowlore.llm.common import ChunkTable, in_groups
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-TABLE_LIMIT = 300_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _MODELS: dict = {}
 
@@ -30,7 +29,7 @@ class PieceModel:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.local = not any(MARK in p.lstrip(MARK) for p in pieces) and self.model.normalize("a") == f"{MARK}a"
         self.mark_id = self.model.piece_to_id(MARK)
-        self.table = ChunkTable(self._words, TABLE_LIMIT)
+        self.table = ChunkTable(self._words)
 
     def _words(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids, as decimal text, and decoded text of each marked word."""
@@ -65,7 +64,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, with_values: bool =
 
     No piece of the vocabulary continues past a white-space marker, so a marked
     word has the same ids wherever it stands: each distinct one is segmented once
-    per worker, and a document's ids are those of its words in order. A model
+    per worker (once more after its table was full, or if it is very long), and a document's ids are those of its words in order. A model
     with pieces across markers is applied to whole texts instead. A null text is
     empty and has no ids. Rows are kept as they are, with equal or null doc_id;
     other columns are ignored.

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlore.llm.common import held_out
+from rowlore.llm.common import TRAIN_BYTES, bounded, held_out
 from rowlore.llm.features import Bytes, chunks, mixed
 
 # Bound of the training set.
@@ -101,18 +101,18 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, seed:
     return QualityModel(vectors, out, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, text_bytes: int = TRAIN_BYTES) -> QualityModel | None:
     """A model of `labels.quality`, or None without a label outside the held-out fold.
 
     It learns from at most `rows` labelled texts, those with the least hashes of
-    their ids, so training is as large at any input size; one task holds their
-    distinct buckets. Whole texts count.
+    their ids, and at most `text_bytes` of them in that order, so training is as large at any input size; one task holds their
+    distinct buckets. Whole texts count; of an id with several rows one does.
     """
     known = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # At most `rows` ids: a broadcast of fixed size.
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    texts = texts.join(F.broadcast(known), "doc_id").select("doc_id", F.col("quality").cast("int"), "text")
+    texts = bounded(texts.join(F.broadcast(known), "doc_id").select("doc_id", F.col("quality").cast("int"), "text"), "quality", text_bytes)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

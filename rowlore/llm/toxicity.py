@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlore.llm.common import held_out
+from rowlore.llm.common import TRAIN_BYTES, bounded, held_out
 from rowlore.llm.features import Bytes, chunks, mixed
 
 # Bounds of the training set: confirmed toxic rows, and rows of unknown kind.
@@ -91,13 +91,14 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return ToxicModel(weights, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicModel | None:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, text_bytes: int = TRAIN_BYTES) -> ToxicModel | None:
     """A model of `labels.toxic`, or None without a confirmed toxic text.
 
     Labels count only outside the held-out fold. The class prior is the share of
     toxic ones among them, over all rows. Texts: at most `positives` confirmed
-    and `unlabelled` of any kind, those with the least hashes of their ids, so
-    training is as large at any input size; one task holds their buckets.
+    and `unlabelled` of any kind, those with the least hashes of their ids,
+    and at most `text_bytes` in that order, so training is as large at any input size; one task holds their
+    buckets. Of an id with several rows one counts.
     """
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     row = known.agg(F.avg("toxic").alias("p")).first()
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     # At most positives + unlabelled ids: a broadcast of fixed size.
     chosen = chosen.union(some(docs.filter(~held_out()), unlabelled).select("doc_id", F.lit(0).alias("kind")))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    texts = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "kind", "text")
+    texts = bounded(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "kind", "text"), "kind", text_bytes)
     prior = float(row["p"])
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rowlore.llm.packing import CHUNK, IdTable, OpenBins, best_fit, pack_documents
@@ -91,3 +92,22 @@ def test_odd_rows(spark):
     rows = pack_documents(docs).collect()
     assert len(rows) == 3 and sorted(r["offset"] for r in rows) == [0, 2, 4]
     assert pack_documents(docs.limit(0)).count() == 0
+
+
+def test_equal_pieces_without_an_id_are_spread(spark):
+    """All rows empty and without an id: ranks come from many windows, and every piece has a place of its own."""
+    docs = spark.range(20_000).selectExpr("cast(null AS long) AS doc_id", "cast(null AS string) AS text")
+    rows = pack_documents(docs)
+    places = rows.groupBy("sequence_id").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("d"), F.max("offset").alias("m")).collect()
+    assert sum(r["n"] for r in places) == 20_000 and all(r["n"] == r["d"] == r["m"] + 1 for r in places) and len(places) == -(-20_000 // 1024)
+    plan = rows._jdf.queryExecution().toString()
+    assert "xxhash64(_at" in plan
+
+
+def test_table_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr("rowlore.llm.packing.TABLE_BYTES", 20_000)
+    table = IdTable(None)
+    for i in range(300):
+        chunk = f" w{i}" if i % 3 else "\u4e2d\u6587" * (40 + i)
+        assert np.frombuffer(table[chunk], "<u4").tolist() == MODEL.encode(chunk, add_special_tokens=False).ids
+        assert table.held < 21_000 and all(len(c) <= 64 for c in table)

@@ -2,8 +2,10 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
+from rowlore.llm.common import in_groups
 from rowlore.llm.pieces import PieceModel, encode_decode
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -41,3 +43,26 @@ def test_rows_equal_the_library(spark):
     row = encode_decode(docs.filter("doc_id is null"), with_values=True).first()
     assert row["ids"] == MODEL.encode("x") and row["decoded"] == "x"
     assert encode_decode(docs.limit(0)).count() == 0
+
+
+def test_table_is_bounded_by_bytes(monkeypatch):
+    """Texts without blanks are not kept, and the words that are take no more than the bound."""
+    model = PieceModel(PATH)
+    rng = random.Random(9)
+    for _ in range(20):
+        texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000)) for _ in range(10)]
+        assert [t for _, t in model.run(texts)] == [MODEL.decode(x).encode() for x in MODEL.encode(texts)]
+    assert model.table.held < 20 * 10 * 1000 and len(model.table.values) <= 10
+    model.table.limit = 50_000
+    for _ in range(40):
+        texts = [" ".join(str(rng.randrange(10**6)) for _ in range(100))]
+        assert [t for _, t in model.run(texts)] == [MODEL.decode(x).encode() for x in MODEL.encode(texts)]
+        assert model.table.held < 50_000 + 100 * 400
+
+
+def test_groups_of_texts_are_bounded(monkeypatch):
+    monkeypatch.setattr("rowlore.llm.common.GROUP_BYTES", 100)
+    texts = pa.array(["x" * 60, None, "", "é" * 20, "y" * 500, "z"] + ["a"] * 700)
+    groups = list(in_groups(texts))
+    assert [t for _, g in groups for t in g] == [t or "" for t in texts.to_pylist()] and all(len(g) == 1 or sum(map(len, g)) <= 100 for _, g in groups)
+    assert [f for f, _ in groups][0] == 0 and list(in_groups(pa.array([], pa.string()))) == []
