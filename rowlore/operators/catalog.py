@@ -234,6 +234,30 @@ def merge_schema(
     )
 
 
+def update_entry(entry: DataFrame, cells: DataFrame, at: Column, keep: int = COMMON_VALUES) -> DataFrame:
+    """One catalog entry with new cells folded in; its import date becomes `at` only if some column changed.
+
+    Columns are matched by name or normalised name, and keep what the fold does not touch.
+    """
+    before = schema_columns(entry, "id")
+    merged = merge_schema(before.select("position", "name", "normalized_name", "data_type", "common_values"), cells, True, keep)
+    rest = before.select(F.col("name").alias("_name"), "is_required", F.col("description").alias("_description"))
+    full = merged.join(rest, F.col("name") == F.col("_name"), "left")
+    column = F.struct(
+        "name", "normalized_name", "data_type", F.coalesce("is_required", F.lit(False)).alias("is_required"),
+        F.coalesce("_description", F.lit("")).alias("description"), "common_values",
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("sort_key", column.alias("c"))))
+    one = full.agg(F.transform(ordered, lambda e: e["c"]).alias("_columns"), F.bool_or("changed").alias("_changed"))
+    changed = F.coalesce("_changed", F.lit(False))
+    # One row each.
+    met = entry.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
+    return met.select(*[
+        (F.when(changed, at).otherwise(F.col(c)) if c == "import_date" else F.when(changed, F.col("_columns")).otherwise(F.col(c)) if c == "columns" else F.col(c)).alias(c)
+        for c in entry.columns
+    ])
+
+
 def latest_schemas(schemas: DataFrame) -> DataFrame:
     """C3 by name: the most recent import of each dataset, ties by id."""
     rest = [c for c in schemas.columns if c != "dataset_name"]

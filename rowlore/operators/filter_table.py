@@ -198,7 +198,8 @@ def _fits(df: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
-def _all_hold(conditions: Column, case_insensitive: bool) -> Column:
+def all_hold(conditions: Column, case_insensitive: bool) -> Column:
+    """Whether a record, as the maps `_data` and `_tags`, meets all packed conditions."""
     return F.forall(conditions, lambda c: _holds(c, F.col("_data"), F.col("_tags"), case_insensitive))
 
 
@@ -208,7 +209,7 @@ def _holding(listed: str, case_insensitive: bool, tag: tuple[str, str] | None =
     def first(f: Column) -> Column:
         return F.get(F.filter(F.col(tag[0]), lambda t: F.array_contains(f["texts"], t)), F.lit(0)) == F.col(tag[1])
 
-    kept = F.filter(listed, lambda f: (first(f) & _all_hold(f["conditions"], case_insensitive)) if tag else _all_hold(f["conditions"], case_insensitive))
+    kept = F.filter(listed, lambda f: (first(f) & all_hold(f["conditions"], case_insensitive)) if tag else all_hold(f["conditions"], case_insensitive))
     return F.transform(kept, lambda f: f["id"])
 
 
@@ -256,7 +257,7 @@ def _shuffled(met: DataFrame, cells: DataFrame, marked: DataFrame, frequencies:
     pairs = held.join(postings, [*by, "_part"]).select(partition, record_id, filter_id).distinct()
     asked = pairs.join(marked.select(partition, filter_id, "conditions"), [partition, filter_id])
     facts = met.select(partition, record_id, "_data", "_tags")
-    held = asked.join(facts, [partition, record_id]).where(_all_hold(F.col("conditions"), case_insensitive)).select(partition, record_id, filter_id).distinct()
+    held = asked.join(facts, [partition, record_id]).where(all_hold(F.col("conditions"), case_insensitive)).select(partition, record_id, filter_id).distinct()
     lists = max(1, marked.count() // LISTED_VERDICTS)
     listed = held.groupBy(partition, record_id, F.pmod(F.xxhash64(filter_id), F.lit(lists)).alias("_block")).agg(F.collect_list(filter_id).alias("verdicts")).drop("_block")
     salts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))

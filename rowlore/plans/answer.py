@@ -11,13 +11,13 @@ from rowlore.functions.vectors import rank_key
 from rowlore.model import ANSWER_MATCHES, DATASET_CANDIDATES, SEARCH_LIMIT, FuzzyMatch
 from rowlore.operators.aggregates import dedup_first
 from rowlore.operators.blocks import BLOCK_ROWS, numbered, text_blocks
-from rowlore.operators.catalog import latest_schemas, schema_columns, validate_params
-from rowlore.operators.filter_table import CONDITIONS, filter_verdicts, pack_filters
+from rowlore.operators.catalog import describe_all, latest_schemas, schema_columns, validate_params
+from rowlore.operators.filter_table import CONDITIONS, all_hold, filter_templates, filter_verdicts, pack_filters
 from rowlore.operators.masked import masked_search
 from rowlore.operators.phrases import phrase_matches
 from rowlore.operators.retrieve import similar_batch
-from rowlore.operators.text import words
-from rowlore.plans.prompts import build_prompt
+from rowlore.operators.text import complete_batch, words
+from rowlore.plans.prompts import build_prompt, parse_dataset_reply
 from rowlore.plans.sizing import BROADCAST_ROWS, broadcast_if_small, materialize
 
 # Datasets looked at first for each word of a question.
@@ -265,6 +265,38 @@ def with_prompts(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     )
 
 
+def strict_hits(hits: DataFrame, filters: DataFrame, data_map=None, tags=None) -> DataFrame:
+    """The hits that meet the filter they were found by again, with no fuzziness; `filters` as for the search."""
+    keyed = filters.withColumn("_one", F.lit("one"))
+    packed = pack_filters(keyed, ("question_id", "ordinal"), FuzzyMatch(enabled=False), "_one").drop("_one")
+    data_map = F.col("data").try_cast("map<string,string>") if data_map is None else data_map
+    facts = hits.withColumns({"_data": data_map, "_tags": F.col("tags") if tags is None else tags})
+    met = facts.join(broadcast_if_small(packed), ["question_id", "ordinal"]).where(all_hold(F.col("conditions"), True))
+    return met.select(*hits.columns)
+
+
+def ask_datasets(questions: DataFrame, schemas: DataFrame, provider, **how) -> DataFrame:
+    """T6 by a model: `questions` with the dataset that a reply names, of those ranked first; null for none or an unknown one."""
+    described = describe_all(latest_schemas(schemas)).select("dataset_name", "description")
+    ranked = rank_datasets(questions, schemas).join(broadcast_if_small(described), "dataset_name")
+    listed = F.array_sort(F.collect_list(F.struct("rank", "description")))
+    context = ranked.groupBy("question_id").agg(F.array_join(F.transform(listed, lambda e: e["description"]), "\n\n").alias("_context"))
+    prompts = questions.join(context, "question_id", "left").withColumn("_prompt", build_prompt("dataset", F.col("question"), F.col("_context")))
+    replied = complete_batch(prompts.select("question_id", "_prompt"), provider, "_prompt", **how)
+    named = replied.select("question_id", parse_dataset_reply(F.col("completion")).alias("dataset_name"))
+    known = broadcast_if_small(described.select("dataset_name", F.lit(True).alias("_known")))
+    named = named.join(known, "dataset_name", "left").select("question_id", F.when(F.col("_known"), F.col("dataset_name")).alias("dataset_name"))
+    return questions.join(named, "question_id", "left")
+
+
+def ask_filters(asked: DataFrame, schemas: DataFrame, provider, **how) -> DataFrame:
+    """T7 by a model: filter rows from replies to the description of each question's dataset; see `filter_templates`."""
+    described = broadcast_if_small(describe_all(latest_schemas(schemas)).select("dataset_name", F.col("description").alias("_context")))
+    prompts = asked.join(described, "dataset_name", "left").withColumn("_prompt", build_prompt("filter", F.col("question"), F.col("_context")))
+    replied = complete_batch(prompts.select("question_id", "dataset_name", "_prompt"), provider, "_prompt", **how)
+    return filter_templates(replied, "completion", ("question_id", "dataset_name"))
+
+
 def ask_tabular(
     questions: DataFrame,
     records: DataFrame,
@@ -274,20 +306,31 @@ def ask_tabular(
     fuzzy: FuzzyMatch = FuzzyMatch(),
     data_map=None,
     tags=None,
+    provider=None,
+    strict: bool = False,
 ) -> DataFrame:
     """Dataset, filters, validation, search, context and prompt for every question.
 
     `questions` has `question_id, question, collection, question_vector`;
-    `records` also carries `collection`. Given `filters` replace the derived ones.
+    `records` also carries `collection`. Given `filters` replace the derived
+    ones. With a completion provider its replies choose dataset and filters. `strict` keeps
+    only hits that meet their filter without fuzziness.
     """
-    best = rank_datasets(questions, schemas, 1).select("question_id", "dataset_name")
+    if provider is None:
+        best = rank_datasets(questions, schemas, 1).select("question_id", "dataset_name")
+        asked = questions.join(best, "question_id", "left")
+    else:
+        asked = ask_datasets(questions, schemas, provider)
     # Questions and filters are read several times below; records only once.
-    asked = materialize(questions.join(best, "question_id", "left"), "questions")
-    questions = asked.select(*questions.columns)
+    asked = materialize(asked, "questions")
+    questions = asked.select(*[c for c in asked.columns if c != "dataset_name"])
     if filters is None:
-        filters = materialize(validated_filters(derive_filters(asked, schemas), schemas), "filters")
+        found = derive_filters(asked, schemas) if provider is None else ask_filters(asked, schemas, provider)
+        filters = materialize(validated_filters(found, schemas), "filters")
     hits = search_multi_filter(records, questions, filters, limit, fuzzy, data_map, tags)
-    contexts = answer_context(hits.withColumnRenamed("file", "source"), limit)
+    hits = strict_hits(hits, filters, data_map, tags) if strict else hits
+    # A stored record has a map called `source`; what is shown as its source is its file.
+    contexts = answer_context(hits.drop("source").withColumnRenamed("file", "source"), limit)
     return with_prompts(asked.drop("question_vector"), contexts)
 
 

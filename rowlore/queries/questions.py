@@ -1,12 +1,16 @@
 """Questions over the catalog and the records: T6, T7, T13, T14."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from rowlore.functions.sentences import row_sentence
+from rowlore.operators.store import RecordStore
 from rowlore.operators.text import chunk_text, embed_text
 from rowlore.plans.answer import ask_documents, ask_tabular, derive_filters, rank_datasets
+from rowlore.plans.ingest import ingest_tabular, store_schemas
 from rowlore.plans.prompts import TEMPLATES
-from rowlore.plans.sizing import spread
+from rowlore.plans.sizing import materialize, scratch_dir, spread
 from rowlore.queries.book import PART_COLUMNS, Book, as_record_form, catalog, catalog_columns_sql, cells_sql, load, load_spread, parts
 
 BOOK = Book()
@@ -131,6 +135,30 @@ def q_ask_tabular(spark, sf):
     return done.select("question_id", "dataset_name", "hits", F.md5("context").alias("context"), F.md5("prompt").alias("prompt"))
 
 
+@BOOK.query("ingest_and_ask", """
+SELECT p_brand || '/' || p_type AS question_id, 'parts' AS dataset_name, CAST(count(*) AS INTEGER) AS hits, CAST(count(*) AS INTEGER) AS lines FROM part GROUP BY ALL""")
+def q_ingest_and_ask(spark, sf):
+    """Parts as CSV files, ingested, stored, and asked for by brand and type from the store."""
+    root = scratch_dir(spark, "ask")
+    part = load(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    part.write.option("header", True).csv(f"{root}/in")
+    done = ingest_tabular(spark, f"{root}/in", "csv", "parts", datetime(2024, 1, 5), "tabular", width=WIDTH)
+    store = RecordStore(spark, f"{root}/store")
+    store.create("tabular", WIDTH, 4)
+    store.upsert("tabular", done.records)
+    asked = part.select("p_brand", "p_type").distinct().select(
+        F.concat_ws("/", "p_brand", "p_type").alias("question_id"), F.concat(F.lit("Which parts of "), "p_type", F.lit(" are by "), "p_brand").alias("question"),
+        F.lit("tabular").alias("collection"), "p_brand", "p_type",
+    )
+    fields = F.create_map(F.lit("data.p_brand"), F.array("p_brand"), F.lit("data.p_type"), F.array("p_type"))
+    filters = asked.select("question_id", F.lit(0).alias("ordinal"), F.explode(fields).alias("key", "values"))
+    questions = asked.select("question_id", "question", "collection", embed_text(F.col("question"), WIDTH).alias("question_vector"))
+    records = store.read("tabular").withColumn("collection", F.when(F.col("id").isNotNull(), "tabular"))
+    schemas = materialize(store_schemas(None, done.schemas), "schemas")
+    found = ask_tabular(questions, records, schemas, 0, filters, strict=True)
+    return found.select("question_id", "dataset_name", "hits", F.size(F.split("context", "\nROW ")).alias("lines"))
+
+
 @BOOK.query("ask_documents", f"""
 WITH chunks AS (SELECT doc_id || '-' || i AS id, source, array_to_string(toks[i * 900 + 1 : i * 900 + 1000], ' ') AS text
   FROM (SELECT doc_id, source, toks, unnest(range(CAST(ceil(greatest(len(toks) - 1000, 0) / 900.0) AS BIGINT) + 1)) AS i

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rowlore.model import CATALOG_SCHEMA
+from rowlore.model import CATALOG_SCHEMA, FuzzyMatch
 from rowlore.operators.filters import where_filters
 from rowlore.operators.text import (
     chunk_text, complete_batch, embed_text, embed_with, extract_text, join_counts, summarize,
@@ -99,6 +99,33 @@ def test_ask_with_given_filters(spark, questions, records, schemas):
     assert answered.first()["completion"] == UNKNOWN
 
 
+def test_replies_choose_dataset_and_filters(questions, records, schemas):
+    """A provider's replies name the dataset, then filters over its fields; what it makes up is not followed."""
+
+    def reply(prompts):
+        out = []
+        for p in prompts:
+            about = p.split("Question: ")[1]
+            if p.startswith("Decide"):
+                out.append('```json\n["ServerInventory"]\n```' if "servers" in about else '["Unknown"]' if "everything" in about else "NetworkDevices")
+            else:
+                assert "Data fields" in p or "everything" in about
+                out.append('[{"data.Environment": "production", "data.purpose": ["web"]}]' if "servers" in about else "[{}]")
+        return out
+
+    got = {r["question_id"]: r for r in ask_tabular(questions, records, schemas, 10, provider=reply).collect()}
+    assert {q: r["dataset_name"] for q, r in got.items()} == {1: "ServerInventory", 2: "NetworkDevices", 3: None}
+    assert got[1]["hits"] == 1 and "#r3]" in got[1]["context"] and got[3]["hits"] == 4
+
+
+def test_strict_hits(spark, questions, records, schemas):
+    filters = spark.createDataFrame([(1, 0, "data.purpose", ["network"]), (3, 0, "data.purpose", ["web"])], "question_id int, ordinal int, key string, values array<string>")
+    loose, strict = (
+        {r["question_id"]: r["hits"] for r in ask_tabular(questions, records, schemas, 5, filters, FuzzyMatch(True, "CONTAINS"), strict=s).collect()} for s in (False, True)
+    )
+    assert loose == {1: 2, 2: None, 3: 1} and strict == {1: None, 2: None, 3: 1}
+
+
 def test_completions_in_the_plan_and_by_a_provider(spark):
     df = spark.createDataFrame([("Records:\r\n ROW 1: a \nROW 2: b\nNo ROW 3",), ("nothing",), (None,)], "prompt string")
     assert [r["completion"] for r in complete_batch(df).collect()][:2] == [f"{KNOWN}: ROW 1: a | ROW 2: b", UNKNOWN]

@@ -9,7 +9,7 @@ from rowlore.operators.aggregates import (
 )
 from rowlore.operators.catalog import (
     catalog_text, common_values, describe_all, extract_schema, infer_column_types, latest_schemas, list_datasets,
-    merge_schema, schema_by_dataset, schema_by_id, schema_for_record, schemas_by_source_file, to_cells, validate_params,
+    merge_schema, schema_by_dataset, schema_by_id, schema_for_record, schemas_by_source_file, to_cells, update_entry, validate_params,
 )
 
 
@@ -143,3 +143,15 @@ def test_dedup_first_and_batches(spark):
     df = spark.createDataFrame([("a", 1, 2, "x"), ("a", 0, 5, "y"), ("b", 3, 1, "z")], "k string, o int, r int, v string")
     assert {(r["k"], r["v"]) for r in dedup_first(df, "k", ("o", "r")).collect()} == {("a", "y"), ("b", "z")}
     assert {(r["k"], r["records"]) for r in batch_count(df, "k").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_update_stamps_the_date_only_on_a_change(spark, schemas):
+    entry = schemas.where("id = 's2'")
+    cells = lambda rows: spark.createDataFrame(rows, "seq long, position int, column string, value string")
+    at = F.lit(datetime(2030, 1, 1)).cast("timestamp")
+    known = {c["name"]: c["common_values"] for c in entry.first()["columns"]}
+    same = update_entry(entry, cells([(1, 0, list(known)[0], None)]).limit(0), at).first()
+    assert same == entry.first()
+    changed = update_entry(entry, cells([(1, 0, "Brand New", "v")]), at).first()
+    assert changed["import_date"] == datetime(2030, 1, 1) and [c["name"] for c in changed["columns"]] == [*known, "Brand New"]
+    assert {c["name"]: c["common_values"] for c in changed["columns"]} == known | {"Brand New": ["v"]} and changed["id"] == "s2"
