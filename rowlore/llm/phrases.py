@@ -211,7 +211,8 @@ def _frequent(partial: DataFrame, min_count: int) -> DataFrame:
     second = F.shiftright("check", COUNT_BITS)
     # Of the runs that have it; another one is first for each fingerprint, so all runs lead some.
     turn = F.col("run").bitwiseXOR(F.col("fp"))
-    found = partial.select(
+    # Dealt first: what the window computes is added behind the shuffle.
+    found = partial.repartition("fp").select(
         "run", "fp", F.sum(F.col("check").bitwiseAND((1 << COUNT_BITS) - 1)).over(own).alias("total"),
         (F.min(turn).over(own) == turn).alias("lead"), (F.min(second).over(own) < F.max(second).over(own)).alias("mixed"),
     )
