@@ -77,6 +77,11 @@ def variant_path(name: str) -> str:
     return f"$['{escaped}']"
 
 
+def shadow_of(name: str) -> str:
+    """The lower-cased copy of a text column, where a table has one."""
+    return f"_lower_{name}"
+
+
 def real_column(df: DataFrame, name: str) -> str | None:
     """The DataFrame's own column for a field name, matched without case."""
     return next((c for c in df.columns if c.lower() == name.lower()), None)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlore.functions.names import filter_key
-from rowlore.model import FuzzyMatch, field_type, real_column, resolve_field, variant_path
+from rowlore.model import FuzzyMatch, field_type, real_column, resolve_field, shadow_of, variant_path
 
 log = logging.getLogger(__name__)
 
@@ -64,7 +64,9 @@ def _exact(df: DataFrame, name: str, values: list[str], fuzzy: FuzzyMatch) -> Co
         return field.isin(*numbers) if numbers else F.lit(False)
     text = field if kind == "string" else field.cast("string")
     folded = [_folded(v, fuzzy) for v in values]
-    text = F.lower(text) if fuzzy.case_insensitive else text
+    shadow = real_column(df, shadow_of(real_column(df, name) or name))
+    # A lower-cased copy keeps its column bare: the comparison reaches the scan.
+    text = (F.col(f"`{shadow}`") if shadow else F.lower(text)) if fuzzy.case_insensitive else text
     return text == F.lit(folded[0]) if len(folded) == 1 else text.isin(*folded)
 
 

@@ -8,7 +8,8 @@ from rowlore.operators.filter_table import filter_table_match, filter_templates,
 from rowlore.operators.filters import (
     compile_filter, data_filter, exclude_catalog, strict_recheck, tag_filter, where_filters,
 )
-from rowlore.plans.sizing import spread
+from rowlore.operators.searchable import write_searchable
+from rowlore.plans.sizing import scratch_dir, spread
 from rowlore.queries.book import CUSTOMERS, PART_COLUMNS, Book, as_record_form, catalog, customers, documents, load, parts
 
 BOOK = Book()
@@ -56,6 +57,14 @@ on_customers("filter_builder", "lower(c_mktsegment) = 'furniture' OR lower(n_nam
              [data_filter("c_mktsegment", "Furniture"), tag_filter("nation", "nation_9")])
 
 
+@BOOK.query("filter_shadow", f"SELECT {C_COLS} FROM customer WHERE lower(c_mktsegment) IN ('building', 'machinery')")
+def q_filter_shadow(spark, sf):
+    """Equality without case on a table written with shadow columns: it reaches the scan."""
+    path = scratch_dir(spark, "searchable")
+    write_searchable(load(spark, sf, "customer"), path, ("c_mktsegment",), ("c_name",))
+    return where_filters(spark.read.parquet(path), {"data.c_mktsegment": ["Building", "MACHINERY"]}).select(*C_OUT)
+
+
 @BOOK.query("filter_tag_typed", "SELECT p_partkey, p_size FROM part WHERE p_size = 12")
 def q_filter_tag_typed(spark, sf):
     df = load(spark, sf, "part").withColumn("tags", F.create_map(F.lit("size"), F.array(F.col("p_size").cast("string"))))

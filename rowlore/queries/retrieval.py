@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from rowlore.operators.retrieve import list_records, records_by, similar, similar_batch
+from rowlore.operators.searchable import VectorIndex
 from rowlore.plans.answer import context_blocks, search_multi_filter
+from rowlore.plans.sizing import scratch_dir
 from rowlore.queries.book import (
     PART_COLUMNS, VECTORS, Book, as_record_form, customers, documents, load, parts, vectors,
 )
@@ -31,6 +33,13 @@ def q_vector_topk(spark, sf):
     return shown(similar(load(spark, sf, "embeddings"), QUESTION, record_id="vec_id"))
 
 
+@BOOK.query("vector_topk_index", top_sql("true", "LIMIT 5"))
+def q_vector_topk_index(spark, sf):
+    """The same through an index of blocks around pivots, which reads those only that can hold a hit."""
+    index = VectorIndex(spark, scratch_dir(spark, "vectors"), "vec_id").build(load(spark, sf, "embeddings"))
+    return shown(index.search(QUESTION)[0])
+
+
 def hybrid_search(spark, sf, limit=20):
     return shown(similar(vectors(spark, sf), QUESTION, limit, HYBRID, record_id="vec_id"))
 
