@@ -35,14 +35,14 @@ def write_searchable(df: DataFrame, path: str, columns: Sequence[str], ids: Sequ
     writer.parquet(path)
 
 
-def _nearest(pivots: np.ndarray):
+def _nearest(pivots: np.ndarray | None):
     """Block of each vector, that of its nearest pivot, and the distance to it; block -1 for vectors without a direction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, present = as_matrix(batch.column(batch.schema.get_field_index("_v")))
             block, distance = np.full(batch.num_rows, -1, np.int32), np.full(batch.num_rows, np.nan)
-            if m.size:
+            if m.size and pivots is not None:
                 unit = unit_rows(m)
                 near = unit @ pivots.T
                 best = np.nan_to_num(near, nan=-2.0).argmax(axis=1)
@@ -72,7 +72,7 @@ class VectorIndex:
         length = F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x)
         some = df.select(self.record_id, own.alias("_v")).where(length > 0).orderBy(F.xxhash64(self.record_id), self.record_id).limit(pivots)
         m, _ = as_matrix(some.select("_v").toArrow().column(0))
-        found = unit_rows(m) if m.size else np.zeros((1, 1))
+        found = unit_rows(m) if m.size else None
         schema = StructType([*df.schema.fields, StructField("block", IntegerType()), StructField("_distance", DoubleType())])
         placed = df.withColumn("_v", F.col(self.vector)).mapInArrow(_nearest(found), schema)
         placed.repartition("block").write.partitionBy("block").parquet(f"{self.path}/vectors")
