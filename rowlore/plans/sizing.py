@@ -55,9 +55,21 @@ def scratch_root(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "rowlore-scratch")
 
 
+# Paths given out by this driver, until they are cleared.
+_MADE: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; nothing is created yet."""
-    return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove what this driver has written aside so far; results that still read it must be done with."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _MADE]
+    _MADE.clear()
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True) for p in paths)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
