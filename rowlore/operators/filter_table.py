@@ -233,12 +233,14 @@ def _looked_up(met: DataFrame, marked: DataFrame, fields: list[tuple[str, str]],
             met = met.withColumn(value, F.when(F.col("_slot") == 0, field))
         met = met.join(F.broadcast(_gathered(own, [partition, value], filter_id, name)), [partition, value], "left")
         found.append(_holding(name, case_insensitive, tag))
-    rest = _gathered(marked.where(F.col("_anchor").isNull()).withColumn("_slot", F.lit(0)), [partition, "_slot"], filter_id, "_rest")
-    met = met.join(F.broadcast(rest), [partition, "_slot"], "left")
-    found.append(_holding("_rest", case_insensitive))
+    rest = marked.where(F.col("_anchor").isNull())
+    if not rest.isEmpty():
+        by = [partition, "_slot"] if tags else [partition]
+        met = met.join(F.broadcast(_gathered(rest.withColumn("_slot", F.lit(0)), by, filter_id, "_rest")), by, "left")
+        found.append(_holding("_rest", case_insensitive))
     none = F.array().cast(f"array<{dict(marked.dtypes)[filter_id]}>")
     # Each filter has one anchor, so no two arrays hold the same filter.
-    return met.withColumn("verdicts", F.flatten(F.array(*[F.coalesce(f, none) for f in found])))
+    return met.withColumn("verdicts", F.flatten(F.array(none, *[F.coalesce(f, none) for f in found])))
 
 
 def _shuffled(met: DataFrame, cells: DataFrame, marked: DataFrame, frequencies: DataFrame, filter_id: str, partition: str, record_id: str, case_insensitive: bool) -> DataFrame:
