@@ -12,7 +12,6 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from rowlore.functions.vectors import as_matrix, unit_rows
 from rowlore.model import LIST_LIMIT, shadow_of
-from rowlore.operators.filters import min_relevance
 from rowlore.operators.retrieve import similar
 
 # Pivots of an index; they are the vectors of least hash, so a table has the same ones at each build.

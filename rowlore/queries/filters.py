@@ -6,7 +6,7 @@ from rowlore.model import FuzzyMatch
 from rowlore.operators.catalog import validate_params
 from rowlore.operators.filter_table import filter_table_match, filter_templates, pack_filters
 from rowlore.operators.filters import (
-    compile_filter, data_filter, exclude_catalog, strict_recheck, tag_filter, where_filters,
+    data_filter, exclude_catalog, strict_recheck, tag_filter, where_filters,
 )
 from rowlore.operators.searchable import write_searchable
 from rowlore.plans.sizing import scratch_dir, spread

@@ -55,6 +55,14 @@ def test_registry_needs_no_session():
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
 
 
+@pytest.mark.parametrize("gone", ["rowlore.llm", "corpus_pipeline"])
+def test_entry_without_the_optional_part(gone):
+    root = str(Path(__file__).resolve().parent.parent)
+    code = f"import sys; sys.modules[{gone!r}] = None; import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); assert 'pipeline' not in q and 'csv_rows' in q"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, check=True, capture_output=True, text=True)
+    assert "left out" not in done.stderr
+
+
 def test_functions_travel_by_value(tmp_path):
     """A worker without the package can load the package's functions."""
     file = tmp_path / "f.bin"
