@@ -1,6 +1,5 @@
 import hashlib
 import random
-import uuid
 from collections import Counter
 
 import duckdb
