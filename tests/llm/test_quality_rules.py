@@ -89,3 +89,13 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert [(r["kept"], r["ratio"]) for r in judge(docs, none).collect()] == [(True, 0.0)] * 3
     assert judge(docs.limit(0), none).count() == 0
+
+
+def test_a_filter_on_the_verdict_stays_above_the_counts(spark, sf):
+    """What is counted for every document is counted once, not again within a filter that was pushed down."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    found = judge(docs, docs.select("doc_id").limit(5)).filter("kept")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    whole = judge(docs, docs.select("doc_id").limit(5))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= whole.count("regexp_extract_all") and plan.count("split(") <= whole.count("split(")
+    assert plan.index("Filter") < plan.index("monotonically_increasing_id")
