@@ -195,7 +195,8 @@ def search_multi_filter(
     ranked = ranked.where(F.col("rank") <= limit) if limit > 0 else ranked
     keyed = ranked.withColumn("_doc", F.struct("question_id", F.col(document).alias("id")))
     hits = materialize(dedup_first(keyed, "_doc", ("ordinal", "rank")).drop("_doc"), "hits")
-    return records.drop(vector).join(broadcast_if_small(hits), ["collection", document])
+    own = [c for c in hits.columns if c not in ("collection", document)]
+    return records.drop(vector, *own).join(broadcast_if_small(hits), ["collection", document])
 
 
 def _source_name() -> Column:
