@@ -157,22 +157,23 @@ def _exact(filters: DataFrame, partition: str, filter_id: str) -> DataFrame:
 def _frequencies(cells: DataFrame, wanted: DataFrame, partition: str) -> DataFrame:
     """`(partition, kind, key, text, n)`: how many records hold each wanted value."""
     by = [partition, *CELL]
-    counted = cells.select(*by).join(broadcast_if_small(wanted), by, "left_semi").groupBy(*by).agg(F.count("*").alias("n"))
-    return materialize(counted, "frequencies")
+    return cells.select(*by).join(wanted, by, "left_semi").groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def _anchored(filters: DataFrame, partition: str, filter_id: str, cells: DataFrame, measure: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def _anchored(filters: DataFrame, partition: str, filter_id: str, cells: DataFrame, small: bool) -> tuple[DataFrame, DataFrame | None]:
     """Filters with `_anchor` (kind, key, texts), the exact condition that fewest records meet; null without any.
 
     Frequencies are measured, in one pass over the records' values, where some
-    filter has a choice (or `measure` says so), and returned then.
+    filter has a choice; of filters that are not `small` always, and given back.
     """
     options = _exact(filters, partition, filter_id)
     anchor, frequencies = F.struct(*CELL[:2], "texts"), None
-    if measure or not options.filter("_i > 0").isEmpty():
+    if not small or not options.filter("_i > 0").isEmpty():
         spread_texts = options.select("*", F.explode("texts").alias("text"))
-        frequencies = _frequencies(cells, spread_texts.select(partition, *CELL).distinct(), partition)
-        cost = spread_texts.join(broadcast_if_small(frequencies), [partition, *CELL], "left").groupBy(partition, filter_id, "_i")
+        wanted = spread_texts.select(partition, *CELL).distinct()
+        # Values of filters that measured small are as small as those.
+        frequencies = _frequencies(cells, F.broadcast(wanted), partition) if small else materialize(_frequencies(cells, wanted, partition), "frequencies")
+        cost = spread_texts.join(frequencies, [partition, *CELL], "left").groupBy(partition, filter_id, "_i")
         options = options.join(cost.agg(F.sum(F.coalesce("n", F.lit(0))).alias("_n")), [partition, filter_id, "_i"])
     else:
         options = options.withColumn("_n", F.lit(0))
@@ -213,7 +214,7 @@ def _holding(listed: str, case_insensitive: bool, tag: tuple[str, str] | None =
     return F.transform(kept, lambda f: f["id"])
 
 
-def _looked_up(met: DataFrame, marked: DataFrame, fields: list[tuple[str, str]], filter_id: str, partition: str, case_insensitive: bool) -> DataFrame:
+def _looked_up(met: DataFrame, marked: DataFrame, fields: list[tuple[str, str]], has_rest: bool, filter_id: str, partition: str, case_insensitive: bool) -> DataFrame:
     """Verdicts by one broadcast join per field; a record with several values of a tag has a row for each."""
     tags = [(i, key) for i, (kind, key) in enumerate(fields) if kind == "tag"]
     for i, key in tags:
@@ -233,8 +234,8 @@ def _looked_up(met: DataFrame, marked: DataFrame, fields: list[tuple[str, str]],
             met = met.withColumn(value, F.when(F.col("_slot") == 0, field))
         met = met.join(F.broadcast(_gathered(own, [partition, value], filter_id, name)), [partition, value], "left")
         found.append(_holding(name, case_insensitive, tag))
-    rest = marked.where(F.col("_anchor").isNull())
-    if not rest.isEmpty():
+    if has_rest:
+        rest = marked.where(F.col("_anchor").isNull())
         by = [partition, "_slot"] if tags else [partition]
         met = met.join(F.broadcast(_gathered(rest.withColumn("_slot", F.lit(0)), by, filter_id, "_rest")), by, "left")
         found.append(_holding("_rest", case_insensitive))
@@ -295,18 +296,20 @@ def filter_verdicts(
     ci = fuzzy.case_insensitive
     met = records.withColumn("_data", data_map).withColumn("_tags", tags)
     filters = materialize(filters, "filters")
+    small = _fits(filters)
     # Only fields that some filter names are looked at.
-    named = broadcast_if_small(_exact(filters, partition, filter_id).select("kind", "key").distinct())
+    named = _exact(filters, partition, filter_id).select("kind", "key").distinct()
     cells = met.select(partition, record_id, F.explode(_cells(F.col("_data"), F.col("_tags"), ci)).alias("_c"))
-    cells = cells.select(partition, record_id, "_c.*").join(named, ["kind", "key"], "left_semi")
-    marked, frequencies = _anchored(filters, partition, filter_id, cells)
-    fields = sorted(tuple(r) for r in marked.where("_anchor IS NOT NULL").select("_anchor.kind", "_anchor.key").distinct().limit(MAX_ANCHORS + 1).collect())
+    cells = cells.select(partition, record_id, "_c.*").join(F.broadcast(named) if small else broadcast_if_small(named), ["kind", "key"], "left_semi")
+    marked, frequencies = _anchored(filters, partition, filter_id, cells, small)
+    found = [tuple(r) for r in marked.select("_anchor.kind", "_anchor.key").distinct().limit(MAX_ANCHORS + 2).collect()]
+    fields = sorted(f for f in found if f[0] is not None)
     # Each value of an anchor gets a copy of its filter.
-    if len(fields) <= MAX_ANCHORS and _fits(marked.withColumn("_copy", F.explode_outer("_anchor.texts"))):
-        verdicts = _looked_up(met, marked, fields, filter_id, partition, ci)
+    if small and len(fields) <= MAX_ANCHORS and _fits(marked.withColumn("_copy", F.explode_outer("_anchor.texts"))):
+        verdicts = _looked_up(met, marked, fields, len(fields) < len(found), filter_id, partition, ci)
     else:
-        if frequencies is None:
-            marked, frequencies = _anchored(filters, partition, filter_id, cells, measure=True)
+        if small:
+            marked, frequencies = _anchored(filters, partition, filter_id, cells, False)
         verdicts = _shuffled(met, cells, marked, frequencies, filter_id, partition, record_id, ci)
     return verdicts.where(F.size("verdicts") > 0).select(*records.columns, "verdicts")
 
