@@ -45,7 +45,7 @@ def bounded(texts: DataFrame, kind: str, most: int) -> DataFrame:
 
 
 # Bytes of chunks and values that a worker keeps, about; what an entry takes beside them; the longest chunk that is kept.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 72 << 20
 ENTRY_BYTES = 200
 LONGEST_CHUNK = 64
 # Bytes of the texts that are in Python at a time.
