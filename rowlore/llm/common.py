@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -27,6 +28,15 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(fold == 0, F.lit(True))
 
 
+def drop_old_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of plans that nothing refers to any more: what they led to is written.
+
+    It does so when the driver's garbage is collected, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # Bound of the texts that a model learns from, in all.
 TRAIN_BYTES = 128 << 20
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlore.llm.common import in_groups
+from rowlore.llm.common import drop_old_shuffles, in_groups
 from rowlore.plans.sizing import materialize
 
 LONGEST = 4
@@ -242,8 +242,10 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, run_tokens: int =
     short = _frequent(runs.mapInArrow(_short(bits), PARTIAL), min_count)
     pairs = F.col("fp").bitwiseAND(LONGEST - 1) == 1
     short = materialize(short.filter(pairs | F.col("spells")), "frequent")
+    drop_old_shuffles(docs.sparkSession)
     longer = keyed.cogroup(short.filter(pairs).select("run", "fp").groupBy("run")).applyInArrow(_long(bits), PARTIAL)
     longer = materialize(_frequent(longer, min_count).filter("spells"), "frequent")
+    drop_old_shuffles(docs.sparkSession)
     named = short.filter("spells").union(longer).select("run", "fp", "total", "mixed")
     spelled = keyed.cogroup(named.groupBy("run")).applyInArrow(_spell(bits), COUNTED)
     known = spelled.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
