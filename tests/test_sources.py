@@ -1,8 +1,10 @@
 import os
 import zipfile
 import zlib
+from collections import Counter
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from rowlore.model import DecodeOptions
 from rowlore.operators.aggregates import import_summary
 from rowlore.operators.store import RecordStore, Written
 from rowlore.plans.ingest import ingest_tabular, store_schemas
+from rowlore.queries import fixtures
 from rowlore.sources.decoders import decode, register_decoder
 from rowlore.sources.delimited import csv_rows, read_lines
 from rowlore.sources.folders import extension_counts, read_texts, route, scan_files
-from rowlore.sources.workbooks import SharedTexts, decode_errors, raw_workbooks, workbook_rows, worksheets, xlsx_rows
+from rowlore.sources.workbooks import SharedTexts, decode_errors, decode_workbooks, raw_workbooks, workbook_rows, worksheets, xlsx_rows
 from rowlore.streaming.incremental import file_stream, ingest_new_files, ingest_new_tables, line_stream, run_once
 
 CSV = 'Server Name,Env,,Env\nA1,Prod,x,y,EXTRA\n\n"B ""2""",,z\n'
@@ -249,3 +252,29 @@ def test_shared_texts_beyond_memory(monkeypatch):
     assert [texts.get(i) for i in range(300)] == listed and SharedTexts(0, xml.encode()).get(7) == listed[7]
     with pytest.raises(EOFError):
         SharedTexts(8, (zlib.compressobj(wbits=-15).compress(os.urandom(5000)) or b"") + b"")
+
+
+def test_workbooks_are_built_as_their_orders_come(spark, tmp_path):
+    """A task holds the orders of a batch, not those of all its workbooks."""
+    taken = []
+
+    def batches():
+        for n in range(4):
+            taken.append(n)
+            order = {"file": f"{n}.xlsx", "key": n, "status": "O", "priority": "5-LOW", "day": 45296, "price": 1.5, "urgent": False}
+            yield pa.RecordBatch.from_pylist([order])
+
+    books = fixtures._books(batches())
+    assert next(books).column("file").to_pylist() == ["0.xlsx"] and taken == [0, 1]
+    n = F.col("id")
+    orders = spark.range(50_000).select(
+        n.alias("o_orderkey"), F.substring(F.lit("FOP"), (n % 3 + 1).cast("int"), F.lit(1)).alias("o_orderstatus"),
+        F.lit("1-URGENT").alias("o_orderpriority"), F.lit(datetime(2024, 1, 5)).alias("o_orderdate"), (n / 4).alias("o_totalprice"),
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    books = fixtures.order_workbooks(spark, str(tmp_path))
+    assert "collect_list" not in books._jdf.queryExecution().executedPlan().toString()
+    got = workbook_rows(decode_workbooks(books)).groupBy("file", "worksheet").agg(F.count("*").alias("n"), F.max("row_number").alias("last"))
+    found = {(r["file"], r["worksheet"]): (r["n"], r["last"]) for r in got.collect()}
+    want = Counter((f"{i // 20_000}.xlsx", "FOP"[i % 3]) for i in range(50_000))
+    assert found == {k: (n, n + 1) for k, n in want.items()}
