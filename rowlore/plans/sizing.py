@@ -14,6 +14,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 # Inputs below this many bytes per core are worth one shuffle before CPU-heavy work.
 SPREAD_BYTES = 32 << 20
+# Bytes of a sorted range, as estimated.
+RANGE_BYTES = 64 << 20
 
 
 def measured(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[int, int]:
@@ -43,6 +45,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
+def in_ranges(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows sorted over all tasks, of RANGE_BYTES or so at most: more ranges than shuffles have where those do not do."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = -(-size // RANGE_BYTES)
+    more = (parts,) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+    return df.repartitionByRange(*more, *columns).sortWithinPartitions(*columns)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share.
 

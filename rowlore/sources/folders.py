@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# What Spark's writers name the part of each task: its number, and an id of the write.
+PART = r"/part-(\d+)-(\p{XDigit}{8}(?:-\p{XDigit}{4}){3}-\p{XDigit}{12})(?:[.-]c\d+)?(?=\.[^/]*$|$)"
+
 
 def extension(path: Column) -> Column:
     """Lower-case extension without its dot, empty when there is none."""
@@ -23,6 +26,25 @@ def file_name(path: Column) -> Column:
     return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
 
 
+def whole_path(path: Column) -> Column:
+    """One path for all parts of a file that tasks of one write have left in a folder, other paths as they are."""
+    return F.regexp_replace(path, PART, "/$2")
+
+
+def part_number(path: Column) -> Column:
+    """Place of a part in its file, 0 for other files."""
+    return F.coalesce(F.regexp_extract(path, PART, 1).try_cast("bigint"), F.lit(0))
+
+
+def whole_files(files: DataFrame) -> DataFrame:
+    """Scanned files with the parts of one write as one file: their bytes added, the time of the last."""
+    whole = files.withColumn("path", whole_path(F.col("path"))).groupBy("path", "extension").agg(
+        F.max("modificationTime").alias("modificationTime"), F.sum("length").alias("length")
+    )
+    file = F.substring_index("path", "/", -1).alias("file")
+    return whole.select("path", "modificationTime", "length", file, "extension")
+
+
 def scan_files(
     spark: SparkSession, path: str | list[str], pattern: str = "*", recursive: bool = True, content: bool = False
 ) -> DataFrame:

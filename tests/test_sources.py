@@ -13,10 +13,10 @@ from rowlore.model import DecodeOptions
 from rowlore.operators.aggregates import import_summary
 from rowlore.operators.store import RecordStore, Written
 from rowlore.plans.ingest import ingest_tabular, store_schemas
-from rowlore.queries import fixtures
+from rowlore.queries import files, fixtures
 from rowlore.sources.decoders import decode, register_decoder
 from rowlore.sources.delimited import csv_rows, read_lines
-from rowlore.sources.folders import extension_counts, read_texts, route, scan_files
+from rowlore.sources.folders import extension_counts, read_texts, route, scan_files, whole_files
 from rowlore.sources.workbooks import SharedTexts, decode_errors, decode_workbooks, raw_workbooks, workbook_rows, worksheets, xlsx_rows
 from rowlore.streaming.incremental import file_stream, ingest_new_files, ingest_new_tables, line_stream, run_once
 
@@ -278,3 +278,46 @@ def test_workbooks_are_built_as_their_orders_come(spark, tmp_path):
     found = {(r["file"], r["worksheet"]): (r["n"], r["last"]) for r in got.collect()}
     want = Counter((f"{i // 20_000}.xlsx", "FOP"[i % 3]) for i in range(50_000))
     assert found == {k: (n, n + 1) for k, n in want.items()}
+
+
+@pytest.fixture
+def many_tasks(spark, tmp_path):
+    """Tables of one language and type whose exports take several tasks."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    n, rows = F.col("id"), spark.range(400).repartition(4)
+    tables = {
+        "documents": rows.select(n.alias("doc_id"), F.concat(F.lit('a "b", '), n).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), n.alias("n_chars")),
+        "customer": rows.select(n.alias("c_custkey"), F.concat(F.lit("c"), n).alias("c_name"), F.lit("X").alias("c_mktsegment"), (n - 100.0).alias("c_acctbal")),
+        "part": rows.select(n.alias("p_partkey"), F.lit("PROMO").alias("p_type")),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    for key, value in zip(kept, ("false", "0", "4k")):
+        spark.conf.set(key, value)
+    yield str(tmp_path)
+    for key, value in kept.items():
+        spark.conf.set(key, value)
+
+
+def test_csv_of_many_tasks_is_one_file(spark, many_tasks):
+    """No task writes a whole language, and lines are numbered as in one file."""
+    path = files.export_documents(spark, many_tasks)
+    parts = scan_files(spark, path, "*.csv")
+    assert parts.count() > 3 and whole_files(parts).count() == 1
+    assert {r["file"].split(".", 1)[1] for r in whole_files(parts).collect()} == {"csv"}
+    rows = files.q_csv_rows(spark, many_tasks).collect()
+    assert sorted((r["row_number"], r["doc_id"]) for r in rows) == [(i + 2, i) for i in range(400)]
+    # Headers further down, and parts shorter than that.
+    lines = lambda at, whole: csv_rows(spark, path, DecodeOptions(header_row_index=at), whole=whole)
+    assert sorted(r["row_number"] for r in lines(3, True).collect()) == list(range(5, 405 - 3 * parts.count()))
+    assert lines(3, False).agg(F.max("row_number")).first()[0] < 404 and lines(10_000, True).count() == 0
+
+
+def test_only_parts_of_one_write_are_one_file(spark, tmp_path):
+    for _ in range(2):
+        spark.range(6).repartition(3).write.mode("append").json(str(tmp_path / "a"))
+    (tmp_path / "a" / "part-1-notes.json").write_text("{}")
+    (tmp_path / "b.json").write_text("{}")
+    assert scan_files(spark, str(tmp_path), "*.json").count() == 8
+    got = whole_files(scan_files(spark, str(tmp_path), "*.json"))
+    assert got.count() == 4 and {r["file"] for r in got.collect()} > {"b.json", "part-1-notes.json"}
