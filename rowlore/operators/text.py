@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from rowlore.functions.vectors import bag_vector, hashed_buckets
 from rowlore.model import CHUNK_OVERLAP, CHUNK_TOKENS
 from rowlore.plans.prompts import KNOWN, UNKNOWN
-from rowlore.plans.sizing import materialize
+from rowlore.plans.sizing import BROADCAST_ROWS, materialize
 
 Provider = Callable[[list[str]], list]
 
@@ -21,6 +21,8 @@ DROPPED_ELEMENTS = ("script", "style", "head", "noscript", "template")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 # A term counting for more than 1/HOT_SHARE of all term rows is hot; there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
+# Bytes of a key that is broadcast without being that hot: BROADCAST_ROWS of them stay below BROADCAST_BYTES.
+SHORT_KEY = 256
 
 
 def tokens(text: Column) -> Column:
@@ -81,12 +83,25 @@ def extract_text(html: Column, is_page: Column | bool = False) -> Column:
 def join_counts(rows: DataFrame, counts: DataFrame, key: str, weight: str) -> DataFrame:
     """Look counts up for rows whose keys may be very uneven.
 
-    Keys above 1/HOT_SHARE of the total weight are at most HOT_SHARE many, so
-    they are broadcast; what is left has no hot key and is shuffled.
+    Keys above 1/HOT_SHARE of the total weight, at most HOT_SHARE many, are broadcast; so are
+    short keys from a power of two on, the least that BROADCAST_ROWS or fewer of them reach. What
+    is left has no hot key and is shuffled. Where nothing is left, rows stay where they are.
     """
     counts = materialize(counts, "counts")
-    total = counts.agg(F.sum(weight)).first()[0] or 0
+    short, power = F.octet_length(key) <= SHORT_KEY, F.floor(F.log2(weight))
+    powers = counts.groupBy(power.alias("power")).agg(F.count_if(short).alias("short"), F.count_if(~short).alias("long"), F.sum(weight).alias("w"))
+    found = powers.orderBy(F.desc("power")).collect()
+    total, some, least = sum(r["w"] for r in found), 0, None
+    for r in found:
+        some += r["short"]
+        if some > BROADCAST_ROWS:
+            break
+        least = r["power"]
     is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
+    if least is not None:
+        is_hot = is_hot | (short & (power >= least))
+    if some <= BROADCAST_ROWS and not any(r["long"] for r in found):
+        return rows.join(F.broadcast(counts), key)
     hot = counts.where(is_hot)
     marked = rows.join(F.broadcast(hot.withColumnRenamed(weight, "_hot")), key, "left")
     known = marked.where(F.col("_hot").isNotNull()).withColumnRenamed("_hot", weight)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rowlore.model import CATALOG_SCHEMA, FuzzyMatch
 from rowlore.operators.filters import where_filters
+from rowlore.operators import text
 from rowlore.operators.text import (
     chunk_text, complete_batch, embed_text, embed_with, extract_text, join_counts, summarize,
 )
@@ -251,3 +252,20 @@ def test_strict_filters_on_typed_tables(table):
     customers = table("customer")
     got = where_filters(customers, {"data.c_mktsegment": ["building", "machinery"], "data.c_name": "%00001%"})
     assert {r["c_mktsegment"] for r in got.collect()} <= {"BUILDING", "MACHINERY"}
+
+
+def test_join_counts_broadcasts_frequent_keys(spark, monkeypatch):
+    """Few keys, or few frequent ones, are looked up where their rows are; long and rare ones by a shuffle."""
+    n = F.col("id")
+    rows = spark.range(4000).select("id", F.when(n % 2 == 0, n % 100).otherwise(n).cast("string").alias("term"))
+    rows = rows.unionByName(spark.range(3).select("id", F.lit("x" * 300).alias("term")))
+    counts = rows.groupBy("term").agg(F.count("*").alias("n"))
+    want = {(r["id"], r["term"], r["n"]) for r in rows.join(counts, "term").collect()}
+    sent = []
+    monkeypatch.setattr(text.F, "broadcast", lambda df, f=F.broadcast: (sent.append(df.count()), f(df))[1])
+    for most, short, share in ((200_000, 300, 1000), (200_000, 256, 1000), (100, 256, 1), (0, 256, 1000), (0, 256, 1)):
+        for name, value in (("BROADCAST_ROWS", most), ("SHORT_KEY", short), ("HOT_SHARE", share)):
+            monkeypatch.setattr(text, name, value)
+        joined = join_counts(rows, counts, "term", "n")
+        assert {(r["id"], r["term"], r["n"]) for r in joined.collect()} == want and joined.count() == 4003
+    assert sent == [2051, 2050, 50, 50, 0]
