@@ -17,6 +17,8 @@ from rowlore.plans.sizing import BROADCAST_BYTES
 
 # Target size of one group of vectors in the shuffled form of the batch search.
 GROUP_BYTES = 64 << 20
+# Blocks of records are not made smaller than this.
+LEAST_BYTES = 8 << 20
 
 
 def limited(df: DataFrame, limit: int) -> DataFrame:
@@ -66,21 +68,59 @@ def _best(q: np.ndarray, score: np.ndarray, ids: pd.Series, k: int) -> pd.DataFr
     return found.groupby("q", sort=False).head(k)
 
 
-def _candidates(unit: np.ndarray, ids: pd.Series, questions: np.ndarray, k: int) -> pd.DataFrame:
-    """Every record that can still be among a question's first k within these rows."""
-    scores = (1 + unit @ questions.T) / 2
-    keys = np.round(scores, TIE_DIGITS)
-    if len(keys) > k:
-        floor = -np.partition(-keys, k - 1, axis=0)[k - 1]
-        row, q = np.nonzero(keys >= floor)
-    else:
-        row, q = np.nonzero(~np.isnan(keys))
-    return _best(q, scores[row, q], ids.take(row).reset_index(drop=True), k)
+def _candidates(unit: np.ndarray, ids: pd.Series, questions: np.ndarray, k: int, floor: np.ndarray) -> pd.DataFrame:
+    """Every record that can still be among a question's first k: within these rows, and by the key of its k-th so far.
+
+    Scores in single precision only rule out; what is left is scored in double precision.
+    """
+    near = unit.astype(np.float32) @ questions.astype(np.float32).T
+    error = (unit.shape[1] + 8) * 2.0**-23  # more than a sum of so many single-precision products can be off
+    least = 2 * floor - 1 - error - 4 * 10.0**-TIE_DIGITS
+    if not np.isfinite(floor).all() and len(near) > k:
+        within = -np.partition(-near, k - 1, axis=0)[k - 1].astype(np.float64) - 2 * error - 4 * 10.0**-TIE_DIGITS
+        least = np.fmax(least, within)
+    # Rounded down, so that the comparison stays in single precision.
+    reached = near >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+    row, q = np.divmod(np.flatnonzero(reached), len(questions))
+    score = np.empty(len(row))
+    for at in range(0, len(row), TILE * 16):
+        some = slice(at, at + TILE * 16)
+        score[some] = (1 + np.einsum("ij,ij->i", unit[row[some]], questions[q[some]])) / 2
+    key = np.round(score, TIE_DIGITS)
+    kept = key >= floor[q]
+    return pd.DataFrame({"q": q[kept], "score": score[kept], "key": key[kept], "id": ids.take(row[kept]).reset_index(drop=True)})
+
+
+class _First:
+    """The first k records of some questions; what may belong to them is sorted in when there is enough of it."""
+
+    def __init__(self, questions: np.ndarray, k: int):
+        self.questions, self.k, self.new, self.waiting = questions, k, [], 0
+        self.floor = np.full(len(questions), -np.inf)
+
+    def add(self, unit: np.ndarray, ids: pd.Series) -> None:
+        found = _candidates(unit, ids, self.questions, self.k, self.floor)
+        if len(found):
+            self.new.append(found)
+            self.waiting += len(found)
+        # The first rows set the floor, later ones seldom reach it.
+        if self.waiting > TILE * self.k or not np.isfinite(self.floor).any():
+            self.best()
+
+    def best(self) -> pd.DataFrame | None:
+        if self.waiting:
+            both = pd.concat(self.new, ignore_index=True)
+            first = _best(both["q"].to_numpy(), both["score"].to_numpy(), both["id"], self.k)
+            ends = first.groupby("q")["key"].agg(["size", "last"])
+            full = ends[ends["size"] >= self.k]
+            self.floor[full.index.to_numpy()] = full["last"].to_numpy()
+            self.new, self.waiting = [first], 0
+        return self.new[0] if self.new else None
 
 
 def _search(batches: Iterator[pa.RecordBatch], questions: np.ndarray, k: int) -> pd.DataFrame | None:
     """The first k records of each question; scores exist for TILE records and TILE questions at a time."""
-    best: dict[int, pd.DataFrame] = {}
+    tiles = {at: _First(questions[at : at + TILE], k) for at in range(0, len(questions), TILE)}
     for batch in batches:
         m, present = as_matrix(batch.column(1))
         if not m.size:
@@ -88,14 +128,12 @@ def _search(batches: Iterator[pa.RecordBatch], questions: np.ndarray, k: int) ->
         ids = batch.column(0).filter(pa.array(present)).to_pandas()
         alive = (m * m).sum(axis=1) > 0
         unit, ids = unit_rows(m[alive]), ids[alive].reset_index(drop=True)
-        for at in range(0, len(questions), TILE):
-            for i in range(0, len(unit), TILE):
-                found = _candidates(unit[i : i + TILE], ids[i : i + TILE].reset_index(drop=True), questions[at : at + TILE], k)
-                if at in best:
-                    both = pd.concat([best[at], found], ignore_index=True)
-                    found = _best(both["q"].to_numpy(), both["score"].to_numpy(), both["id"], k)
-                best[at] = found
-    return pd.concat([found.assign(q=found["q"] + at) for at, found in best.items()], ignore_index=True) if best else None
+        for i in range(0, len(unit), TILE):
+            some = ids[i : i + TILE].reset_index(drop=True)
+            for first in tiles.values():
+                first.add(unit[i : i + TILE], some)
+    found = [best.assign(q=best["q"] + at) for at, first in tiles.items() if (best := first.best()) is not None]
+    return pd.concat(found, ignore_index=True) if found else None
 
 
 def similar_batch(
@@ -157,7 +195,9 @@ def _broadcast_search(stored: DataFrame, pairs: DataFrame, k: int, schema: str)
 def _block_search(stored: DataFrame, pairs: DataFrame, k: int, schema: str, size: int, block_bytes: int) -> DataFrame:
     n_questions = max(1, -(-size // min(block_bytes, GROUP_BYTES)))
     record_bytes = stored.agg(F.coalesce(F.sum(F.size("_v") * F.lit(8)), F.lit(0))).first()[0]
-    n_records = max(1, -(-record_bytes // GROUP_BYTES))
+    # Pairs of blocks enough to keep all cores busy to the end.
+    busy = -(-4 * stored.sparkSession.sparkContext.defaultParallelism // n_questions)
+    n_records = max(1, -(-record_bytes // GROUP_BYTES), min(busy, -(-record_bytes // LEAST_BYTES)))
     qid, rid = pairs.columns[0], stored.columns[0]
     q_block = F.pmod(F.xxhash64(qid), F.lit(n_questions)).cast("int")
     r_block = F.pmod(F.xxhash64(rid), F.lit(n_records)).cast("int")

@@ -7,7 +7,7 @@ from rowlore.operators.searchable import VectorIndex
 from rowlore.plans.answer import context_blocks, search_multi_filter
 from rowlore.plans.sizing import scratch_dir
 from rowlore.queries.book import (
-    PART_COLUMNS, VECTORS, Book, as_record_form, customers, documents, load, parts, vectors,
+    PART_COLUMNS, VECTORS, Book, as_record_form, customers, documents, load, load_spread, parts, vectors,
 )
 
 BOOK = Book()
@@ -66,7 +66,7 @@ SELECT question_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS sc
     FROM embeddings q, embeddings r)) WHERE rank <= 5""")
 def q_vector_topk_batch(spark, sf):
     """Every stored vector asked against all of them."""
-    stored = load(spark, sf, "embeddings")
+    stored = load_spread(spark, sf, "embeddings")
     questions = stored.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_vector"))
     found = similar_batch(stored, questions, 5, record_id="vec_id")
     return found.select("question_id", "vec_id", "rank", F.round("score", 6).alias("score"))

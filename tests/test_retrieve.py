@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import rowlore.operators.retrieve as retrieve
-from rowlore.functions.vectors import pair_relevance
+from rowlore.functions.vectors import pair_relevance, unit_rows
 from rowlore.model import FuzzyMatch
 from rowlore.operators.filters import where_filters
 from rowlore.operators.retrieve import list_records, records_by, similar, similar_batch
@@ -138,3 +139,20 @@ def test_equality_without_case_reaches_the_scan(spark, tmp_path):
     assert "_lower_Name" in pushed and "ab" in pushed
     exact = where_filters(spark.read.parquet(str(tmp_path / "t")), {"data.name": "Ab"}, FuzzyMatch(case_insensitive=False))
     assert {r["id"] for r in exact.collect()} == {1}
+
+
+def test_batch_search_sorts_what_can_still_be_found(monkeypatch):
+    """Records below a question's k-th so far are not sorted; scores that only double precision tells apart are."""
+    rng = np.random.default_rng(5)
+    m, questions = rng.normal(size=(4000, 16)), rng.normal(size=(60, 16))
+    m[1::4] = m[::4] * (1 + 1e-8 * rng.normal(size=(1000, 16)))
+    unit, questions = unit_rows(m), unit_rows(questions)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 500)), pa.array(m[i : i + 500].tolist())], names=["id", "v"]) for i in range(0, 4000, 500)]
+    whole, rows = retrieve._best, []
+    monkeypatch.setattr(retrieve, "TILE", 50)
+    monkeypatch.setattr(retrieve, "_best", lambda q, *a: (rows.append(len(q)), whole(q, *a))[1])
+    found = retrieve._search(iter(batches), questions, 3).sort_values(["q", "key", "id"], ascending=[True, False, True])
+    keys = np.round((1 + unit @ questions.T) / 2, 10)
+    want = [[int(i) for i in np.lexsort((np.arange(4000), -keys[:, q]))[:3]] for q in range(60)]
+    assert found.groupby("q")["id"].agg(list).tolist() == want
+    assert sum(rows) < 4000  # every tile's first three of each question were 60 * 3 * 80 rows
